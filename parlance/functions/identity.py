@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.text import ISOLATES, squeeze, strip
 
@@ -21,7 +22,7 @@ CHAIN_PLACEHOLDERS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """NFKC, then case folding."""
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values ----
@@ -12,8 +12,10 @@ ODD_SPACES = "\u202f\u00a0"
 TIME_SHAPE = r"^([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(\s*)([AaPp][Mm])?$"
 
 
-def _parts(raw: Column) -> Column:
-    return F.filter(F.split(F.trim(raw), r"[-/. ]+"), lambda p: p != "")
+def _parts(raw: Column) -> list[Column]:
+    """The first three parts of a date string, and a fourth that is null in a whole one."""
+    parts = F.split(F.regexp_replace(raw, r"^[-/.\s]+|[-/.\s]+$", ""), r"[-/. ]+")
+    return [F.get(parts, F.lit(i)) for i in range(4)]
 
 
 def _month_number(part: Column) -> Column:
@@ -26,61 +28,65 @@ def _calendar(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
-def _by_order(year: Column, first: Column, second: Column, day_first: Column) -> Column:
-    """Year known, the other two in written order: a part above 12 is the day, else `day_first` decides."""
-    first_is_day = F.when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False)
-    first_is_day = F.coalesce(first_is_day, day_first)
-    return F.when(first_is_day, _calendar(year, second, first)).otherwise(_calendar(year, first, second))
+def _is_day(first: Column, second: Column, day_first: Column) -> Column:
+    """Whether the first of two parts is the day: a part above 12 must be, else `day_first` decides."""
+    return F.when((first > 12) & (second <= 12), True).when((second > 12) & (first <= 12), False).otherwise(day_first)
 
 
-def flexible_date(raw: Column, day_first: Column) -> Column:
-    """A date string in any of the export shapes as DATE; null if it names no real day.
+def with_date(df: DataFrame, raw: str, day_first: Column, out: str) -> DataFrame:
+    """Adds DATE `out` for the date string `raw` in any of the export shapes; null if it names no
+    real day.
 
-    A month name decides; then a four-digit part is the year (leading: month-day, swapped if
-    impossible); else a leading part above 31 is a two-digit year, else the last part is.
+    A month name decides; then a four-digit part is the year (leading: month before day, unless
+    that part is above 12); else a leading part above 31 is a two-digit year, else the last part
+    is. Done in steps, so that no step repeats the expressions of the one before.
     """
-    p = _parts(raw)
-    at = [F.get(p, F.lit(i)) for i in range(3)]
-    num = [x.try_cast("int") for x in at]
-    size = [F.length(x) for x in at]
-    month = [_month_number(x) for x in at]
-
-    def named(m: int) -> Column:
-        a, b = (i for i in range(3) if i != m)
-        a_is_year = (
-            F.when(size[a] == 4, True)
-            .when(size[b] == 4, False)
-            .when(size[a] > size[b], True)
-            .when(size[a] == size[b], num[a] > 31)
-            .otherwise(False)
-        )
-        year, day = F.when(a_is_year, num[a]).otherwise(num[b]), F.when(a_is_year, num[b]).otherwise(num[a])
-        return _calendar(F.when(year < 100, year + 2000).otherwise(year), month[m], day)
-
-    numeric = (
-        F.when(size[0] == 4, F.coalesce(_calendar(num[0], num[1], num[2]), _calendar(num[0], num[2], num[1])))
-        .when(size[1] == 4, _by_order(num[1], num[0], num[2], day_first))
-        .when(size[2] == 4, _by_order(num[2], num[0], num[1], day_first))
-        .when(num[0] > 31, _by_order(num[0] + 2000, num[1], num[2], day_first))
-        .otherwise(_by_order(num[2] + 2000, num[0], num[1], day_first))
-    )
-    whole = num[0].isNotNull() & num[1].isNotNull() & num[2].isNotNull()
-    return F.when(
-        F.size(p) == 3,
-        F.when(month[0] > 0, named(0))
-        .when(month[1] > 0, named(1))
-        .when(month[2] > 0, named(2))
-        .when(whole, numeric),
-    )
+    *at, fourth = _parts(F.col(raw))
+    parts = df.withColumn("_p", F.struct(
+        *(x.try_cast("int").alias(f"n{i}") for i, x in enumerate(at)),
+        *(F.length(x).alias(f"s{i}") for i, x in enumerate(at)),
+        *(_month_number(x).alias(f"m{i}") for i, x in enumerate(at)),
+        (at[2].isNotNull() & fourth.isNull()).alias("whole"), day_first.alias("day_first"),
+    ))
+    n, size, month = ([F.col(f"_p.{k}{i}") for i in range(3)] for k in "nsm")
+    name_at = F.when(month[0] > 0, 0).when(month[1] > 0, 1).when(month[2] > 0, 2)
+    year_at = F.when(size[0] == 4, 0).when(size[1] == 4, 1).when(size[2] == 4, 2).when(n[0] > 31, 0).otherwise(2)
+    placed = parts.withColumns({"_name": name_at, "_year": year_at})
+
+    # The two parts beside the month name, or beside the year, in written order.
+    skip = F.coalesce("_name", "_year")
+    a = F.when(skip == 0, F.struct(n[1].alias("n"), size[1].alias("s"))).otherwise(F.struct(n[0].alias("n"), size[0].alias("s")))
+    b = F.when(skip == 2, F.struct(n[1].alias("n"), size[1].alias("s"))).otherwise(F.struct(n[2].alias("n"), size[2].alias("s")))
+    paired = placed.withColumns({
+        "_a": a, "_b": b,
+        "_full": (size[0] == 4) | (size[1] == 4) | (size[2] == 4),
+        "_y": F.when(F.col("_year") == 0, n[0]).when(F.col("_year") == 1, n[1]).otherwise(n[2]),
+        "_named": F.when(F.col("_name") == 0, month[0]).when(F.col("_name") == 1, month[1]).otherwise(month[2]),
+    })
+    a, b, sa, sb = F.col("_a.n"), F.col("_b.n"), F.col("_a.s"), F.col("_b.s")
+    a_is_year = (sa == 4) | ((sb != 4) & ((sa > sb) | ((sa == sb) & (a > 31))))
+    a_is_day = _is_day(a, b, F.when(size[0] == 4, False).otherwise(F.col("_p.day_first")))
+    # Beside a month name `a` is the year or the day; beside the year it is the day or the month.
+    chosen = paired.withColumn("_flip", F.when(F.col("_name").isNotNull(), a_is_year).otherwise(a_is_day))
+    flip, by_name = F.col("_flip"), F.col("_name").isNotNull()
+    read = chosen.withColumns({
+        "_yy": F.when(by_name, F.when(flip, a).otherwise(b)).otherwise(F.col("_y")),
+        "_mm": F.when(by_name, F.col("_named")).when(flip, b).otherwise(a),
+        "_dd": F.when(by_name, F.when(flip, b).otherwise(a)).when(flip, a).otherwise(b),
+    })
+    short = F.when(by_name, F.col("_yy") < 100).otherwise(~F.col("_full"))
+    year = F.when(short, F.col("_yy") + 2000).otherwise(F.col("_yy"))
+    known = F.col("_p.whole") & F.col("_yy").isNotNull() & F.col("_mm").isNotNull() & F.col("_dd").isNotNull()
+    dated = read.withColumn(out, F.when(known, _calendar(year, F.col("_mm"), F.col("_dd"))))
+    return dated.drop("_p", "_name", "_year", "_a", "_b", "_full", "_y", "_named", "_flip", "_yy", "_mm", "_dd")
 
 
 def order_evidence(raw: Column) -> Column:
     """'day' or 'month' where a numeric date proves which comes first, 'open' where it fits both
     readings, null where the order is no question."""
-    p = _parts(raw)
-    at = [F.get(p, F.lit(i)) for i in range(3)]
+    *at, fourth = _parts(raw)
     num = [x.try_cast("int") for x in at]
-    whole = num[0].isNotNull() & num[1].isNotNull() & num[2].isNotNull()
+    whole = num[0].isNotNull() & num[1].isNotNull() & num[2].isNotNull() & fourth.isNull()
     middle_year = (F.length(at[1]) == 4) & (F.length(at[0]) != 4)
     no_year_first = (F.length(at[0]) != 4) & (middle_year | (F.length(at[2]) == 4) | (num[0] <= 31))
     second = F.when(middle_year, num[2]).otherwise(num[1])
@@ -89,7 +95,7 @@ def order_evidence(raw: Column) -> Column:
         .when((second > 12) & (num[0] <= 12), "month")
         .otherwise("open")
     )
-    return F.when((F.size(p) == 3) & whole & no_year_first, proof)
+    return F.when(whole & no_year_first, proof)
 
 
 def archive_date(day: Column, raw: Column) -> Column:
@@ -97,30 +103,37 @@ def archive_date(day: Column, raw: Column) -> Column:
     return F.coalesce(F.date_format(day, DATE_FORMAT), raw)
 
 
-def _clock(raw: Column) -> Column:
-    """STRUCT<h, m> of a time string, null if it is none."""
-    spaced = F.trim(F.translate(raw, ODD_SPACES, "  "))
-    hour, minute = (F.regexp_extract(spaced, TIME_SHAPE, i).try_cast("int") for i in (1, 2))
-    second = F.regexp_extract(spaced, TIME_SHAPE, 3)
-    gap = F.regexp_extract(spaced, TIME_SHAPE, 4)
-    half = F.lower(F.regexp_extract(spaced, TIME_SHAPE, 5))
+def with_clock(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Adds STRUCT<h, m> `out` for the time string `raw`, null if it is none."""
+    fields = "\u0001".join(f"${i}" for i in range(1, 6))
+    spaced = df.withColumn("_t", F.trim(F.translate(F.col(raw), ODD_SPACES, "  ")))
+    split = spaced.withColumn("_f", F.when(F.col("_t").rlike(TIME_SHAPE), F.split(F.regexp_replace("_t", TIME_SHAPE, fields), "\u0001")))
+    f = [F.get("_f", F.lit(i)) for i in range(5)]
+    typed = split.withColumn("_f", F.struct(
+        f[0].try_cast("int").alias("h"), f[1].try_cast("int").alias("m"), f[2].alias("s"), f[3].alias("gap"), F.lower(f[4]).alias("half")))
+    hour, minute, second, gap, half = (F.col(f"_f.{k}") for k in ("h", "m", "s", "gap", "half"))
     sane = (minute < 60) & ((second == "") | (second.try_cast("int") <= 61))
     plain = (half == "") & (hour < 24)
     halved = (half != "") & hour.between(1, 12) & ((second == "") | (gap != ""))
     h24 = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    return F.when(sane & (plain | halved), F.struct(h24.alias("h"), minute.alias("m")))
+    clock = F.when(sane & (plain | halved), F.struct(h24.alias("h"), minute.alias("m")))
+    return typed.withColumn(out, clock).drop("_t", "_f")
 
 
-def archive_time(raw: Column) -> Column:
+def archive_time(clock: Column, raw: Column) -> Column:
     """HH:mm, or the string as it came."""
-    clock = _clock(raw)
     return F.when(clock.isNotNull(), F.format_string("%02d:%02d", clock["h"], clock["m"])).otherwise(raw)
 
 
-def moment(day: Column, raw_time: Column) -> Column:
-    """TIMESTAMP_NTZ at minute precision from a DATE and a time string."""
-    clock = _clock(raw_time)
-    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), clock["h"], clock["m"], F.lit(0))
+def moment(day: Column, hour: Column, minute: Column) -> Column:
+    """TIMESTAMP_NTZ at minute precision; null where any part is."""
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute, F.lit(0))
+
+
+def archive_moment(raw_date: Column, raw_time: Column) -> Column:
+    """The moment of an archive line's date and time; null for an impossible date."""
+    hour, minute = (F.get(F.split(raw_time, ":"), F.lit(i)).try_cast("int") for i in (0, 1))
+    return F.when((hour < 24) & (minute < 60), moment(F.try_to_date(raw_date, "d-MMM-yyyy"), hour, minute))
 
 
 def to_minute(ts: Column) -> Column:

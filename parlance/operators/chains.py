@@ -20,6 +20,7 @@ from parlance.functions.identity import chain_form
 from parlance.model import Profile
 from parlance.operators.enrich import spoken
 from parlance.operators.ordering import CELL_ROWS, dense_position, previous_row, running_max, top_k
+from parlance.session import materialize
 
 BLOCK_CHAINS = "chat_id long, block long, cycle_length long, members long, first_pos long, last_pos long, member_runs array<struct<from:long,to:long>>"
 
@@ -77,22 +78,26 @@ def chain_blocks(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows
     ))).where(F.expr(f"pos div {cell_rows}") == F.col("cell"))
     fits = F.array_compact(F.array(*(
         F.when(F.exists(F.slice("_next", p, p * reach - p + 1), lambda hit: hit), p) for p in cycles)))
-    flagged = partners.select(*keys, "pos", F.explode(fits).alias("p"))
+    # Each step below reads its input twice, so the narrow tables between them are written out.
+    flagged = materialize(partners.select(*keys, F.col("pos").alias("seq"), F.explode(fits).alias("p")), "partners")
     per_p = [*keys, "p"]
-    gaps = previous_row(flagged.withColumnRenamed("pos", "seq"), ["seq"], per_p, cell_rows)
+    gaps = previous_row(flagged, ["seq"], per_p, cell_rows)
     fresh = F.col("prev").isNull() | (F.col("seq") - F.col("prev.seq") > reach)
-    isles = running_max(gaps.withColumn("_a", F.when(fresh, F.col("seq"))).drop("prev"), "_a", "isle", per_p, cell_rows)
+    opened = materialize(gaps.withColumn("_a", F.when(fresh, F.col("seq"))).drop("prev"), "islands")
+    isles = running_max(opened, "_a", "isle", per_p, cell_rows)
     spans = isles.groupBy(*per_p, "isle").agg(F.count("*").alias("_n"), F.max("seq").alias("_z")).where(F.col("_n") >= F.col("p"))
     spans = spans.groupBy(*keys, F.col("isle").alias("seq")).agg(F.max(F.col("_z") + F.col("p") * reach).alias("_end"))
+    spans = materialize(spans, "spans")
     # Spans that overlap become one: a span opens a block unless an earlier one reaches it.
-    ends = running_max(spans, "_end", "_reach", keys, cell_rows)
+    ends = materialize(running_max(spans, "_end", "_reach", keys, cell_rows), "reach")
     tops = previous_row(ends, ["_reach"], keys, cell_rows)
     opens = F.col("prev").isNull() | (F.col("prev._reach") < F.col("seq"))
-    starts = tops.select(*keys, F.col("seq").alias("pos"), F.when(opens, F.col("seq")).alias("_open"), "_reach")
-    filled = rows.join(starts, [*keys, "pos"], "left")
-    filled = running_max(filled, "_open", "block", keys, cell_rows)
-    filled = running_max(filled, "_reach", "_until", keys, cell_rows)
-    return filled.where(F.col("pos") <= F.col("_until")).drop("_open", "_reach", "_until")
+    merged = materialize(tops.select(*keys, "seq", F.when(opens, F.col("seq")).alias("_open"), "_reach"), "overlaps")
+    opened = running_max(merged, "_open", "block", keys, cell_rows)
+    blocks = opened.groupBy(*keys, "block").agg(F.max("_reach").alias("_until"))
+    # A block is a stretch of positions: its rows are found by listing them.
+    inside = blocks.select(*keys, "block", F.explode(F.sequence("block", "_until")).alias("pos"))
+    return rows.join(inside, [*keys, "pos"])
 
 
 # ---- the scan over one block ----

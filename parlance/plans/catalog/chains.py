@@ -1 +1,44 @@
+"""Repeat chains."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.model import Profile
+from parlance.operators import chains as ch
+from parlance.operators.enrich import enrich
+from parlance.plans import views
+from parlance.plans.catalog.registry import query
+from parlance.session import materialize
+
+# Event type and a letter for the amount: some thirty texts that are no typos of each other.
+_TEXT = "concat(event_type, ' ', repeat(chr(97 + CAST(floor(value) AS INT) % 6), 6))"
+RUNS = f"""WITH m AS (SELECT CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 10 END AS BIGINT) AS chat_id, event_id AS seq, date_trunc('minute', ts) AS ts,
+    concat('User ', user_id) AS sender, {_TEXT} AS norm FROM events),
+    g AS (SELECT *, CASE WHEN norm = LAG(norm) OVER w THEN 0 ELSE 1 END AS f FROM m WINDOW w AS (PARTITION BY chat_id ORDER BY seq)),
+    i AS (SELECT *, SUM(f) OVER (PARTITION BY chat_id ORDER BY seq) AS k FROM g)"""
+
+
+def sequence(spark, sf):
+    rows = views.events(spark, sf).drop("text", "is_system", "sender").join(
+        views.table(spark, sf, "events").selectExpr("event_id AS seq", f"{_TEXT} AS text", "concat('User ', CAST(user_id AS STRING)) AS sender"), "seq")
+    return ch.chain_rows(enrich(rows.withColumn("is_system", F.lit(False))), cell_rows=1024)
+
+
+@query(RUNS + """ SELECT chat_id, MIN(seq) AS run, norm, COUNT(*) AS length, COUNT(DISTINCT sender) AS people, MIN(ts) AS start_ts, MAX(ts) AS end_ts
+    FROM i GROUP BY chat_id, k, norm HAVING COUNT(*) >= 2 AND COUNT(DISTINCT sender) >= 2""")
+def exact_runs(spark, sf):
+    return ch.exact_runs(sequence(spark, sf), Profile(chain_min_length=2), cell_rows=1024)
+
+
+@query()
+def chains(spark, sf):
+    rows = materialize(sequence(spark, sf), "sequence")
+    return ch.find_chains(ch.chain_blocks(rows, Profile(), cell_rows=1024), Profile())
+
+
+@query()
+def chain_report(spark, sf):
+    rows = materialize(sequence(spark, sf), "sequence")
+    found = materialize(ch.find_chains(ch.chain_blocks(rows, Profile()), Profile()), "chains")
+    return ch.chain_report(rows, found, Profile())

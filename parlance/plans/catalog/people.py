@@ -36,8 +36,8 @@ COUNTS = """n AS (SELECT chat_id, sender, COUNT(*) AS total_messages, COUNT(*) F
     COUNT(*) FILTER (is_media) AS media_sent, COUNT(*) FILTER (is_deleted) AS deleted_sent, COUNT(*) FILTER (is_edited) AS edited_sent,
     COUNT(*) FILTER (is_real_text) AS real_texts, CAST(COALESCE(SUM(word_count) FILTER (is_real_text), 0) AS BIGINT) AS real_words,
     CAST(COALESCE(SUM(char_count) FILTER (is_real_text), 0) AS BIGINT) AS real_chars,
-    CAST(COALESCE(SUM(len(list_filter(runs, x -> x IN ('the', 'und', 'les')))) FILTER (is_real_text), 0) AS BIGINT) AS swear_count,
-    CAST(COALESCE(SUM(len(list_filter(runs, x -> regexp_full_match(x, 'hahaha|lol|la|(ha){2,}h?|(en){2,}')))
+    CAST(COALESCE(SUM(len(list_filter(runs, lambda x: x IN ('the', 'und', 'les')))) FILTER (is_real_text), 0) AS BIGINT) AS swear_count,
+    CAST(COALESCE(SUM(len(list_filter(runs, lambda x: regexp_full_match(x, 'hahaha|lol|la|(ha){2,}h?|(en){2,}')))
         + length(lexical_text) - length(replace(lexical_text, '\U0001F602', ''))) FILTER (is_real_text), 0) AS BIGINT) AS laugh_count,
     COUNT(*) FILTER (is_real_text AND (lexical_text LIKE '%?%' OR runs[1] IN ('is', 'the') AND regexp_matches(lexical_text, '^\\s*(is|the)', 'i')
         OR regexp_matches(lexical_text, '^\\s*what now\\b', 'i'))) AS question_count,
@@ -49,9 +49,9 @@ COUNTS = """n AS (SELECT chat_id, sender, COUNT(*) AS total_messages, COUNT(*) F
 RR = f", r AS (SELECT *, {RUNS} AS runs FROM e WHERE NOT is_system), "
 VOCAB = ("w AS (SELECT chat_id, sender, lower(replace(UNNEST(regexp_extract_all(lexical_text, " + views.WORD_SQL + ")), '’', '''')) AS term "
          "FROM e WHERE NOT is_system AND is_real_text), v AS (SELECT chat_id, sender, COUNT(*) AS total_words, COUNT(DISTINCT term) AS unique_words FROM w GROUP BY 1, 2)")
-TURNS = """t0 AS (SELECT chat_id, sender, LAG(sender) OVER w AS ps, epoch(ts)::BIGINT - epoch(LAG(ts) OVER w)::BIGINT AS gap FROM e
+TURNS = """ta AS (SELECT chat_id, sender, LAG(sender) OVER w AS ps, epoch(ts)::BIGINT - epoch(LAG(ts) OVER w)::BIGINT AS gap FROM e
     WHERE NOT is_system WINDOW w AS (PARTITION BY chat_id ORDER BY seq)),
-    t AS (SELECT chat_id, sender, COUNT(*) FILTER (ps = sender) AS double_texts, COUNT(*) FILTER (gap >= 10800) AS conversation_starts FROM t0 GROUP BY 1, 2)"""
+    t AS (SELECT chat_id, sender, COUNT(*) FILTER (ps = sender) AS double_texts, COUNT(*) FILTER (gap >= 10800) AS conversation_starts FROM ta GROUP BY 1, 2)"""
 HOURS = "h0 AS (SELECT chat_id, sender, hour, COUNT(*) AS n FROM e WHERE NOT is_system GROUP BY 1, 2, 3)"
 PEAK = HOURS + ", h AS (SELECT chat_id, sender, hour AS peak_hour FROM h0 QUALIFY ROW_NUMBER() OVER (PARTITION BY chat_id, sender ORDER BY n DESC, hour) = 1)"
 LONGEST = """l AS (SELECT chat_id, sender, substr(text, 1, 300) AS longest_text, CAST(word_count AS BIGINT) AS longest_words, ts AS longest_ts
@@ -211,7 +211,7 @@ def search_table(spark, sf):
     return search(spark, sf)
 
 
-@query(SEARCH + """, x AS (SELECT *, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), x -> x IN ('clicked', 'nice'))) AS k FROM s)
+@query(SEARCH + """, x AS (SELECT *, len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+'), lambda x: x IN ('clicked', 'nice'))) AS k FROM s)
     SELECT chat_id, sender, COUNT(*) AS messages, CAST(SUM(k) AS BIGINT) AS occurrences, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM x WHERE k > 0 GROUP BY 1, 2""")
 def term_search(spark, sf):
     return se.term_matches(search(spark, sf), "clicked", ["nice"])

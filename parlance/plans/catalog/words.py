@@ -39,7 +39,7 @@ def phrase_index(spark, sf):
 
 
 def tokens_sql(column: str) -> str:
-    return f"list_transform(regexp_extract_all({column}, {views.WORD_SQL}), x -> lower(replace(x, '’', '''')))"
+    return f"list_transform(regexp_extract_all({column}, {views.WORD_SQL}), lambda x: lower(replace(x, '’', '''')))"
 
 
 def phrase_sql(column: str) -> str:
@@ -115,8 +115,9 @@ def eligible_words(spark, sf):
     return table.select("chat_id", "term", "cnt", "days", "weight")
 
 
-BASE = f", b0 AS (SELECT UNNEST({tokens_sql(chr(39) + chr(39))}) AS term), " .replace(tokens_sql("''"), tokens_sql("regexp_replace(text, '@\\w+', ' ', 'g')")).replace(") AS term)", ") AS term FROM benchmark)") + \
-    "b AS (SELECT term, COUNT(*) AS base_cnt FROM b0 GROUP BY 1), bt AS (SELECT SUM(base_cnt) AS base_total, COUNT(*) AS base_vocab FROM b)"
+_BASE_TEXT = "regexp_replace(text, '@\\w+', ' ', 'g')"
+BASE = f""", b0 AS (SELECT UNNEST({tokens_sql(_BASE_TEXT)}) AS term FROM benchmark),
+    b AS (SELECT term, COUNT(*) AS base_cnt FROM b0 GROUP BY 1), bt AS (SELECT SUM(base_cnt) AS base_total, COUNT(*) AS base_vocab FROM b)"""
 
 
 @query("WITH x AS (SELECT 1)" + BASE + " SELECT * FROM b")
@@ -191,16 +192,21 @@ def slice_fingerprint(spark, sf):
     return te.fingerprints(index, te.window_days(cut, keys), slice_participants(cut, 1), SMALL)
 
 
-@query("""WITH w AS (SELECT DISTINCT lower(UNNEST(string_split(text, ' '))) AS a FROM benchmark),
-    x AS (SELECT a, LEAD(a) OVER (ORDER BY a) AS b FROM w WHERE length(a) > 0),
-    s AS (SELECT a, b, length(a) AS la, length(b) AS lb, levenshtein(a, b) AS d, damerau_levenshtein(a, b) AS dd FROM x WHERE b IS NOT NULL)
-    SELECT a, b, CASE WHEN LEAST(la, lb) < 4 OR ABS(la - lb) > 1 THEN false ELSE d = 1 OR (d = 2 AND dd = 1 AND la = lb) END AS alike FROM s""")
-def one_typo_neighbours(spark, sf):
-    from pyspark.sql import Window
-    words = views.table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(F.lower("w").alias("a")).distinct()
-    # A dictionary of the benchmark's words in order, cut by first letter for the neighbours.
-    ordered = words.where(F.length("a") > 0).withColumn("b", F.lead("a").over(Window.orderBy("a")))
-    return ordered.where(F.col("b").isNotNull()).select("a", "b", similar(F.col("a"), F.col("b")).alias("alike"))
+# Words next to forms of themselves: as they are, two letters swapped, one dropped, added or
+# replaced, and two changes at once.
+_FORMS = ("w", "concat(substr(w, 2, 1), substr(w, 1, 1), substr(w, 3))", "substr(w, 2)", "concat(w, 'x')",
+          "concat('#', substr(w, 2))", "concat('##', substr(w, 3))", "concat(substr(w, 2, 1), substr(w, 1, 1), substr(w, 3), 'x')")
+
+
+@query("WITH w AS (SELECT DISTINCT UNNEST(string_split(regexp_replace(lower(text), '[^a-z ]', '', 'g'), ' ')) AS w FROM benchmark), x AS ("
+       + " UNION ALL ".join(f"SELECT w AS a, {f} AS b, {i} AS form FROM w" for i, f in enumerate(_FORMS))
+       + """), s AS (SELECT *, length(a) AS la, length(b) AS lb, levenshtein(a, b) AS d, damerau_levenshtein(a, b) AS dd FROM x)
+    SELECT a, b, form, CASE WHEN la = 0 OR lb = 0 THEN false WHEN a = b THEN true WHEN LEAST(la, lb) < 4 OR ABS(la - lb) > 1 THEN false
+        ELSE d = 1 OR (d = 2 AND dd = 1 AND la = lb) END AS alike FROM s""")
+def one_typo_forms(spark, sf):
+    words = views.table(spark, sf, "benchmark").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " ")).alias("w")).distinct()
+    pairs = words.select(F.col("w").alias("a"), F.posexplode(F.array(*map(F.expr, _FORMS))).alias("form", "b"))
+    return pairs.select("a", "b", "form", similar(F.col("a"), F.col("b")).alias("alike"))
 
 
 @query("""WITH t AS (SELECT DISTINCT source AS label FROM documents), o AS (SELECT DISTINCT lang AS label FROM documents)

@@ -31,7 +31,7 @@ ARCHIVE = T.StructType([
 
 def normalize(lines: DataFrame, claims: DataFrame, day_first: bool | None = None) -> DataFrame:
     """Raw lines as normalized rows: canonical senders, resolved mentions, nothing dropped."""
-    parsed = parse_export(lines, day_first)
+    parsed = materialize(parse_export(lines, day_first), "parsed")
     resolved = ids.resolve_senders(parsed, ids.sender_labels(parsed, claims))
     texted = ids.resolve_mentions(resolved, claims)
     return ar.render_blocks(texted)

@@ -30,10 +30,6 @@ def slot_columns(block_text) -> dict:
     }
 
 
-def _day(raw):
-    return F.when(raw != "", tm.flexible_date(raw, F.lit(True)))
-
-
 def parse_blocks(lines: DataFrame) -> DataFrame:
     """(chat_id, file, seq, dt, block_text, slot_*): blocks verbatim; dt is null for an impossible
     date and for lines before the first dated one."""
@@ -43,7 +39,7 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
     }).withColumn("part", F.when(F.col("is_blank"), "").otherwise(F.col("value")))
     rows = put_together(with_entries(marked), ["headless"])
     first = F.substring_index("text", "\n", 1)
-    dt = tm.moment(_day(F.regexp_extract(first, BLOCK_LINE, 1)), F.regexp_extract(first, BLOCK_LINE, 2))
+    dt = tm.archive_moment(F.regexp_extract(first, BLOCK_LINE, 1), F.regexp_extract(first, BLOCK_LINE, 2))
     return rows.select(
         "chat_id", "file", F.col("entry").alias("seq"), F.when(~F.col("headless"), dt).alias("dt"),
         F.col("text").alias("block_text"), *(c.alias(n) for n, c in slot_columns(F.col("text")).items()),
@@ -69,7 +65,7 @@ def parse_messages(lines: DataFrame) -> DataFrame:
         "sender": F.when(F.col("is_start") & spoken, tx.strip(F.substring_index(rest, ":", 1))),
         "is_system": ~spoken,
         "part": F.when(~F.col("is_start"), F.col("value")).when(spoken, F.substr(rest, F.locate(": ", rest) + 2)).otherwise(rest),
-        "ts": F.when(F.col("is_start"), tm.moment(_day(F.regexp_extract("value", DATED_LINE, 1)), F.regexp_extract("value", DATED_LINE, 2))),
+        "ts": F.when(F.col("is_start"), tm.archive_moment(F.regexp_extract("value", DATED_LINE, 1), F.regexp_extract("value", DATED_LINE, 2))),
     })
     entries = with_entries(fields).where(~F.col("headless"))
     rows = put_together(entries, ["ts", "sender", "is_system"], drop_trailing_blanks=False)

@@ -66,12 +66,12 @@ def parse_export(lines: DataFrame, day_first: bool | None = None) -> DataFrame:
         order = F.coalesce(settled, F.col("style") != "plain")
     else:
         order = F.lit(day_first)
-    dated = rows.withColumn("_day", tm.flexible_date(F.col("date_raw"), order))
+    dated = tm.with_clock(tm.with_date(rows, "date_raw", order, "_day"), "time_raw", "_clock")
     return dated.select(
         "chat_id", "file", "entry",
         tm.archive_date(F.col("_day"), F.col("date_raw")).alias("date"),
-        tm.archive_time(F.col("time_raw")).alias("time"),
-        tm.moment(F.col("_day"), F.col("time_raw")).alias("dt"),
+        tm.archive_time(F.col("_clock"), F.col("time_raw")).alias("time"),
+        tm.moment(F.col("_day"), F.col("_clock.h"), F.col("_clock.m")).alias("dt"),
         "sender", F.col("text").alias("msg"), F.col("headless").alias("unparsed"), "n_lines",
     )
 

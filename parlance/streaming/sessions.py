@@ -29,6 +29,7 @@ def stream_conversations(messages: DataFrame, profile: Profile, lateness: str =
     """The same on a stream of messages at minute precision. A session window joins rows whose
     distance equals its gap, so the gap is one second short."""
     seconds = profile.conversation_gap_hours * 3600 - 1
-    window = F.session_window("ts", f"{seconds} seconds")
-    grouped = messages.where(~F.col("is_system")).withWatermark("ts", lateness).groupBy(*keys, window)
+    # Event time has to be an instant; the naive time is read in the session's zone and given back.
+    timed = messages.where(~F.col("is_system")).withColumn("at", F.col("ts").cast("timestamp"))
+    grouped = timed.withWatermark("at", lateness).groupBy(*keys, F.session_window("at", f"{seconds} seconds"))
     return grouped.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("messages")).drop("session_window")
