@@ -56,13 +56,14 @@ EMOJI_CHAR = (
     r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}"
     r"\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}]"
 )
-# Any placeholder must hold one of these, so that plain text skips the longer patterns.
-_MAYBE_PLACEHOLDER = r"(?i)omitted|message|forwarded|unparsed"
+# Every placeholder and notice holds one of these, so that plain text skips the patterns above.
+NOTICE_PARTS = ("OMITTED", "MESSAGE", "FORWARDED", "UNPARSED", "CALL")
 
 
 def squeeze(c: Column) -> Column:
     """Every run of whitespace as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    # Single spaces are most of all whitespace and stay as they are.
+    return F.trim(F.regexp_replace(c, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
 
 
 def strip(c: Column) -> Column:
@@ -79,6 +80,15 @@ def strip_isolates(c: Column) -> Column:
     return F.regexp_replace(c, ISOLATES, "")
 
 
+def may_be_notice(text: Column) -> Column:
+    """A quick byte search that every edited, media, deleted, call or other marked text passes."""
+    upper = F.upper(text)
+    hit = F.contains(upper, F.lit(NOTICE_PARTS[0]))
+    for part in NOTICE_PARTS[1:]:
+        hit = hit | F.contains(upper, F.lit(part))
+    return hit
+
+
 def is_edited(text: Column) -> Column:
     return text.rlike(EDITED_SUFFIX)
 
@@ -99,18 +109,20 @@ def is_call(text: Column) -> Column:
     return text.rlike(CALL)
 
 
-def analysis_text(text: Column) -> Column:
-    """The text that statistics look at: placeholders and markers out, whitespace squeezed."""
+def analysis_text(text: Column, marked: Column) -> Column:
+    """The text that statistics look at: placeholders and markers out, whitespace squeezed.
+    `marked` tells which texts may hold any."""
     plain = F.regexp_replace(text, ISOLATES, "")
     cleared = plain
     for pattern in (MEDIA, FORWARDED, WAITING, UNPARSED):
         cleared = F.regexp_replace(cleared, pattern, " ")
-    return squeeze(F.when(text.rlike(_MAYBE_PLACEHOLDER), cleared).otherwise(plain))
+    return squeeze(F.when(marked, cleared).otherwise(plain))
 
 
 def lexical_text(analysis: Column) -> Column:
     """Analysis text without line breaks (also written out as backslash-n) and @tags."""
-    return F.regexp_replace(F.regexp_replace(analysis, r"\\n|\n", " "), TAG, " ")
+    lines = F.replace(F.replace(analysis, F.lit("\\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    return F.when(F.contains(lines, F.lit("@")), F.regexp_replace(lines, TAG, " ")).otherwise(lines)
 
 
 def is_ingest_media(msg: Column) -> Column:
@@ -144,7 +156,7 @@ def tokens(text: Column) -> Column:
 
 def phrase_form(text: Column) -> Column:
     """The form under which two whole messages are the same phrase."""
-    bare = F.regexp_replace(F.lower(F.regexp_replace(text, f"{EMOJI_CHAR}+", "")), r"[^\p{L}\p{N}_\s]", " ")
+    bare = F.regexp_replace(F.lower(F.regexp_replace(text, f"{EMOJI_CHAR}+", "")), r"[^\p{L}\p{N}_\s]+", " ")
     return squeeze(bare)
 
 

@@ -22,6 +22,7 @@ from parlance.operators.enrich import spoken
 from parlance.operators.ordering import CELL_ROWS, dense_position, previous_row, running_max, top_k
 from parlance.session import materialize
 
+BLOCKS_TOGETHER = 8192
 BLOCK_CHAINS = "chat_id long, block long, cycle_length long, members long, first_pos long, last_pos long, member_runs array<struct<from:long,to:long>>"
 
 
@@ -254,17 +255,20 @@ def scan_block(texts, senders, profile: Profile):
 def find_chains(blocks: DataFrame, profile: Profile) -> DataFrame:
     """Chains of every block: cycle length, members, first and last position, member stretches."""
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        first = int(pdf["pos"].iloc[0])
-        chat, block = int(pdf["chat_id"].iloc[0]), int(pdf["block"].iloc[0])
-        rows = [
-            (chat, block, p, count, first + runs[0][0], first + runs[-1][1],
-             [{"from": first + a, "to": first + z} for a, z in runs])
-            for count, p, runs in scan_block(pdf["norm"].tolist(), pdf["sender"].tolist(), profile)
-        ]
+        rows = []
+        for (chat, block), part in pdf.sort_values(["block", "pos"]).groupby(["chat_id", "block"], sort=False):
+            first = int(part["pos"].iloc[0])
+            rows += [
+                (chat, block, p, count, first + runs[0][0], first + runs[-1][1],
+                 [{"from": first + a, "to": first + z} for a, z in runs])
+                for count, p, runs in scan_block(part["norm"].tolist(), part["sender"].tolist(), profile)
+            ]
         return pd.DataFrame(rows, columns=["chat_id", "block", "cycle_length", "members", "first_pos", "last_pos", "member_runs"])
 
-    return blocks.select("chat_id", "block", "pos", "sender", "norm").groupBy("chat_id", "block").applyInPandas(scan, BLOCK_CHAINS)
+    # Blocks that begin in one range of positions go to Python together: a call per block costs
+    # more than most scans.
+    rows = blocks.select("chat_id", "block", "pos", "sender", "norm", F.expr(f"block div {BLOCKS_TOGETHER}").alias("_range"))
+    return rows.groupBy("chat_id", "_range").applyInPandas(scan, BLOCK_CHAINS)
 
 
 def ranked_chains(chains: DataFrame, profile: Profile) -> DataFrame:

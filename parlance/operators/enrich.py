@@ -13,17 +13,21 @@ from parlance.session import broadcast_if_small
 
 def enrich(messages: DataFrame) -> DataFrame:
     """All flags, texts and calendar parts of a message, in projections only."""
-    typed = messages.where(F.col("ts").isNotNull()).withColumns({
-        "is_system": F.coalesce("is_system", F.lit(False)),
-        "is_edited": tx.is_edited(F.coalesce("text", F.lit(""))),
-        "text": tx.without_edited_suffix(F.coalesce("text", F.lit(""))),
+    text = F.col("text")
+    rows = messages.where(F.col("ts").isNotNull()).withColumns({
+        "is_system": F.coalesce("is_system", F.lit(False)), "text": F.coalesce("text", F.lit("")),
+    }).withColumn("_marked", tx.may_be_notice(text))
+    marked = F.col("_marked")
+    typed = rows.withColumns({
+        "is_edited": F.when(marked, tx.is_edited(text)).otherwise(False),
+        "text": F.when(marked, tx.without_edited_suffix(text)).otherwise(text),
     })
     flagged = typed.withColumns({
-        "is_media": tx.is_media(F.col("text")),
-        "is_deleted": tx.is_deleted(F.col("text")),
-        "is_call": tx.is_call(F.col("text")),
-        "analysis_text": tx.analysis_text(F.col("text")),
-    })
+        "is_media": F.when(marked, tx.is_media(text)).otherwise(False),
+        "is_deleted": F.when(marked, tx.is_deleted(text)).otherwise(False),
+        "is_call": F.when(marked, tx.is_call(text)).otherwise(False),
+        "analysis_text": tx.analysis_text(text, marked),
+    }).drop("_marked")
     real = ~F.col("is_system") & ~F.col("is_deleted") & ~F.col("is_call") & (F.length("analysis_text") > 0)
     return flagged.withColumns({
         "is_real_text": real,

@@ -19,7 +19,7 @@ from parlance.operators import summary as su
 from parlance.operators.ordering import resequence
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
-from parlance.plans.update import ARCHIVE, archive_rows, normalize, update
+from parlance.plans.update import ARCHIVE, archive_rows, merge_lines, normalize, update
 from parlance.session import materialize, shared_dir
 from parlance.sources import archive as ar
 from parlance.sources import identities as ids
@@ -335,9 +335,8 @@ def full_update(spark, sf):
     """Files to archive, twice: the second merge of the same files adds nothing."""
     files, root = f"{_export_files(spark, sf)}/*/*.txt", _folder(spark, "archive")
     who = claims(spark, sf)
-    for _ in range(2):
-        tables = update(spark, files, root, who, chat_id=_chat_of_file(), sections=["overview"])
-    return _summary(tables["archive"])
+    update(spark, files, root, who, chat_id=_chat_of_file(), sections=["overview"])
+    return _summary(merge_lines(spark, files, root, who, _chat_of_file()))
 
 
 @query(MERGED_SQL)

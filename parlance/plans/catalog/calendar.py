@@ -13,6 +13,7 @@ from parlance.operators.ordering import previous_row
 from parlance.operators.slices import sliced
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
+from parlance.session import materialize
 from parlance.sources.tables import from_table
 
 E = views.sql_enriched("events")
@@ -142,7 +143,7 @@ SPARSE = views.sql_enriched("documents") + """, s AS (SELECT concat(sender, '/',
 
 def sparse_daily(spark, sf):
     """Each source of each chat by itself: few messages, so there are silent days."""
-    rows = en.with_lexical(en.enrich(views.documents(spark, sf)))
+    rows = materialize(en.with_lexical(en.enrich(views.documents(spark, sf))), "messages")
     rows = rows.withColumn("chat", F.concat_ws("/", "sender", F.col("chat_id").cast("string")))
     return su.daily_counts(rows, ["chat"])
 

@@ -12,6 +12,7 @@ from parlance.operators import search as se
 from parlance.operators.ordering import top_k
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
+from parlance.session import materialize
 from parlance.streaming.sessions import conversations
 
 E = views.sql_enriched("events")
@@ -29,7 +30,7 @@ def event_rows(spark, sf):
 
 
 def document_rows(spark, sf):
-    return en.with_lexical(en.enrich(views.documents(spark, sf)))
+    return materialize(en.with_lexical(en.enrich(views.documents(spark, sf))), "messages")
 
 
 COUNTS = """n AS (SELECT chat_id, sender, COUNT(*) AS total_messages, COUNT(*) FILTER (is_real_text AND NOT is_media) AS total_text_messages,

@@ -23,19 +23,20 @@ SMALL = Profile(extra_stopwords=(), last_period_days=14, last_period_min_word_le
 
 
 def rows(spark, sf):
-    return en.with_lexical(en.enrich(views.documents(spark, sf)))
+    """Documents with flags and lexical text, stored once per query as a pipeline would store them."""
+    return materialize(en.with_lexical(en.enrich(views.documents(spark, sf))), "messages")
 
 
 def baseline(spark, sf):
     return te.baseline_counts(views.table(spark, sf, "benchmark"))
 
 
-def word_index(spark, sf, profile=PROFILE):
-    return te.day_index(te.word_uses(rows(spark, sf), profile))
+def word_index(texts):
+    return te.day_index(te.word_uses(texts, PROFILE))
 
 
-def phrase_index(spark, sf):
-    return te.day_index(te.phrase_uses(rows(spark, sf), PHRASES))
+def phrase_index(texts):
+    return te.day_index(te.phrase_uses(texts, PHRASES))
 
 
 def tokens_sql(column: str) -> str:
@@ -70,9 +71,10 @@ def eligible_sql(count: int, days: int) -> str:
     w AS (SELECT *, days / (days + half_days) AS weight FROM el)"""
 
 
-@query(D + f"SELECT chat_id, seq, UNNEST({tokens_sql('text')}) AS term FROM e")
+@query(D + f", u AS (SELECT chat_id, UNNEST({tokens_sql('text')}) AS term FROM e) SELECT chat_id, term, COUNT(*) AS n FROM u GROUP BY 1, 2")
 def tokens(spark, sf):
-    return rows(spark, sf).select("chat_id", "seq", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    terms = rows(spark, sf).select("chat_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("chat_id", "term").agg(F.count("*").alias("n"))
 
 
 @query(D + f"SELECT chat_id, seq, {phrase_sql('text')} AS phrase FROM e")
@@ -82,23 +84,23 @@ def phrase_forms(spark, sf):
 
 @query(WORDS + INDEX + " SELECT chat_id, term, cnt, days, person_days, first_ts, first_by, last_ts, last_by FROM i")
 def word_index_terms(spark, sf):
-    return te.term_index(word_index(spark, sf))
+    return te.term_index(word_index(rows(spark, sf)))
 
 
 @query(WORDS + INDEX + " SELECT * FROM q")
 def word_index_people(spark, sf):
-    return te.person_index(word_index(spark, sf))
+    return te.person_index(word_index(rows(spark, sf)))
 
 
 @query(SENT + INDEX + ", f AS (SELECT chat_id, term, arg_min(display, seq) AS display FROM u GROUP BY 1, 2) "
        "SELECT chat_id, term, cnt, days, person_days, first_ts, first_by, last_ts, last_by, display FROM i JOIN f USING (chat_id, term)")
 def phrase_index_terms(spark, sf):
-    return te.term_index(phrase_index(spark, sf))
+    return te.term_index(phrase_index(rows(spark, sf)))
 
 
 @query(WORDS + " SELECT chat_id, COUNT(DISTINCT term) AS vocab_overall FROM u GROUP BY 1")
 def chat_vocabulary(spark, sf):
-    return te.vocabulary_size(word_index(spark, sf))
+    return te.vocabulary_size(word_index(rows(spark, sf)))
 
 
 @query(WORDS + INDEX + " SELECT chat_id, LEAST(3, window_days) AS min_days, LEAST(5.0, GREATEST(1.0, window_days / 4))::DOUBLE AS half_days, "
@@ -111,7 +113,8 @@ def spread_settings(spark, sf):
 
 @query(WORDS + INDEX + eligible_sql(4, 3) + " SELECT chat_id, term, cnt, days, CAST(weight AS DOUBLE) AS weight FROM w")
 def eligible_words(spark, sf):
-    table = te.eligible(te.term_index(word_index(spark, sf)), te.window_days(rows(spark, sf)), PROFILE)
+    texts = rows(spark, sf)
+    table = te.eligible(te.term_index(word_index(texts)), te.window_days(texts), PROFILE)
     return table.select("chat_id", "term", "cnt", "days", "weight")
 
 
@@ -133,7 +136,7 @@ def baseline_words(spark, sf):
     FROM r LEFT JOIN s ON r.chat_id = s.chat_id AND r.term = s.term WHERE rank <= 15""")
 def distinctive_words(spark, sf):
     texts = rows(spark, sf)
-    index = materialize(word_index(spark, sf), "words")
+    index = materialize(word_index(texts), "words")
     return te.distinctive_words(index, te.window_days(texts), en.participants(texts), baseline(spark, sf), PROFILE)
 
 
@@ -143,7 +146,7 @@ def distinctive_words(spark, sf):
     FROM r LEFT JOIN s ON r.chat_id = s.chat_id AND r.term = s.term JOIN f ON r.chat_id = f.chat_id AND r.term = f.term WHERE rank <= 15""")
 def repeated_phrases(spark, sf):
     texts = rows(spark, sf)
-    index = materialize(phrase_index(spark, sf), "phrases")
+    index = materialize(phrase_index(texts), "phrases")
     return te.repeated_phrases(index, te.window_days(texts), en.participants(texts), PHRASES)
 
 
@@ -159,14 +162,14 @@ def signature_sql(count: int) -> str:
 @query(WORDS + INDEX + PEOPLE + eligible_sql(4, 3) + signature_sql(4))
 def signature_words(spark, sf):
     texts = rows(spark, sf)
-    index = materialize(word_index(spark, sf), "words")
+    index = materialize(word_index(texts), "words")
     return te.signatures(index, te.window_days(texts), en.participants(texts), PROFILE)
 
 
 @query(SENT + INDEX + PEOPLE + eligible_sql(2, 2) + signature_sql(2))
 def signature_phrases(spark, sf):
     texts = rows(spark, sf)
-    index = materialize(phrase_index(spark, sf), "phrases")
+    index = materialize(phrase_index(texts), "phrases")
     return te.signatures(index, te.window_days(texts), en.participants(texts), PHRASES)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.functions import times as tm
+from parlance.sources.tables import spread_small_scan
 
 # One chat of a third of all users, the others spread over a few more. Every event type becomes
 # another kind of message. `event_id` rises with time.
@@ -51,7 +52,7 @@ ORDER = ["chat_id", "seq", "ts", "sender", "text", "is_system"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
