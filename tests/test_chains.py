@@ -7,11 +7,11 @@ from parlance.model import Profile
 from parlance.operators import chains as ch
 
 RULES = Profile()
-LETTERS = "abcdefgh"
+LETTERS = "abcdefghilnoxyz0123456789"
 
 
 def one_typo(word):
-    """Every string one edit or one adjacent swap away from `word`, over a small alphabet."""
+    """Every string one edit or one adjacent swap away from `word`, over the letters the tests use."""
     cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
     return ({a + b[1:] for a, b in cuts if b} | {a + c + b for a, b in cuts for c in LETTERS}
             | {a + c + b[1:] for a, b in cuts if b for c in LETTERS} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1})
