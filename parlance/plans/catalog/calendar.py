@@ -22,7 +22,9 @@ FIRST = "ROW_NUMBER() OVER (PARTITION BY chat_id ORDER BY"
 
 
 def enriched(spark, sf):
-    return en.with_lexical(en.enrich(views.events(spark, sf)))
+    """Events with flags and lexical text, stored once per query as a pipeline would store them:
+    filters on flags then read a column instead of working the flag out again."""
+    return materialize(en.with_lexical(en.enrich(views.events(spark, sf))), "messages")
 
 
 def daily(spark, sf):
@@ -84,7 +86,7 @@ def participant_list(spark, sf):
 @query(E + """SELECT chat_id, COUNT(*) FILTER (counted) AS counted, COUNT(*) FILTER (NOT is_system) AS spoken,
     COUNT(*) FILTER (is_real_text AND NOT is_system) AS worded FROM e GROUP BY 1""")
 def populations(spark, sf):
-    rows = en.enrich(views.events(spark, sf))
+    rows = enriched(spark, sf)
     parts = [p(rows).groupBy("chat_id").agg(F.count("*").alias(n))
              for p, n in ((en.counted, "counted"), (en.spoken, "spoken"), (en.worded, "worded"))]
     return parts[0].join(parts[1], "chat_id").join(parts[2], "chat_id")
@@ -248,7 +250,8 @@ def previous_rows(spark, sf):
 @query(C + """, r AS (SELECT chat_id, seq, ts, sender, CAST(word_count AS BIGINT) AS words, substr(text, 1, 300) AS text, """ + FIRST + """ word_count DESC, seq) AS rank
     FROM e WHERE counted AND is_real_text) SELECT * FROM r WHERE rank <= 3""")
 def longest_messages(spark, sf):
-    return su.longest_messages(en.with_lexical(en.enrich(views.conversations(spark, sf))))
+    rows = materialize(en.with_lexical(en.enrich(views.conversations(spark, sf))), "messages")
+    return su.longest_messages(rows)
 
 
 @query(E + """, d AS (SELECT chat_id, date, COUNT(*) AS n FROM e WHERE NOT is_system GROUP BY 1, 2)

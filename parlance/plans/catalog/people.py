@@ -26,7 +26,7 @@ RUNS = "regexp_extract_all(lower(lexical_text), '[\\p{L}\\p{M}\\p{N}_]+')"
 
 
 def event_rows(spark, sf):
-    return en.with_lexical(en.enrich(views.events(spark, sf)))
+    return materialize(en.with_lexical(en.enrich(views.events(spark, sf))), "messages")
 
 
 def document_rows(spark, sf):
@@ -147,7 +147,7 @@ def top_tagged_people(spark, sf):
         '@\\w+', ' ', 'g') AS lexical_text FROM k)
     SELECT *, len(regexp_extract_all(lexical_text, """ + views.WORD_SQL + """)) AS word_count FROM x""")
 def texts_without_mentions(spark, sf):
-    rows = en.enrich(views.events(spark, sf))
+    rows = materialize(en.enrich(views.events(spark, sf)), "messages")
     lookup = mn.name_lookup(en.participants(rows, 10))
     return mn.without_mentions(rows, lookup).select("chat_id", "seq", "lexical_text", "word_count")
 
