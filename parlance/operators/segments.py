@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.model import Profile
 from parlance.operators.enrich import spoken
 from parlance.operators.ordering import top_k
-from parlance.session import broadcast_if_small
+from parlance.session import broadcast_if_small, materialize
 
 
 def spoken_days(messages: DataFrame, keys=("chat_id",)) -> DataFrame:
@@ -126,7 +126,7 @@ def labelled(segments: DataFrame, curve: DataFrame, keys=("chat_id",)) -> DataFr
 
 def detect(messages: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
     """The whole chain: daily curve, peaks, regions, classes, fillers, labels."""
-    curve = rolling(spoken_days(messages, keys), profile, keys)
+    curve = materialize(rolling(spoken_days(messages, keys), profile, keys), "curve")
     peaks = kept_peaks(local_maxima(curve, profile, keys), profile, keys)
     regions = merged_regions(spike_regions(curve, peaks, profile, keys), profile, keys)
     return labelled(with_fillers(classified(regions, curve, profile, keys), curve, keys), curve, keys)
@@ -166,11 +166,15 @@ def in_segments(messages: DataFrame, segments: DataFrame, keys=("chat_id",)) ->
     return messages.withColumn("date", F.to_date("ts")).join(broadcast_if_small(days), [*keys, "date"])
 
 
-def segment_stats(messages: DataFrame, segments: DataFrame, keys=("chat_id",)) -> DataFrame:
-    """Messages, average per day and the peak day of each segment. Messages are counted per day
-    and person before they meet the segments."""
+def person_days(messages: DataFrame, keys=("chat_id",)) -> DataFrame:
+    """(keys, sender, date, n): what every segment statistic is made of."""
+    return spoken(messages).groupBy(*keys, "sender", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+
+
+def segment_stats(counts: DataFrame, segments: DataFrame, keys=("chat_id",)) -> DataFrame:
+    """Messages, average per day and the peak day of each segment, from person-day counts."""
     keys = list(keys)
-    daily = _person_days(messages, segments, keys).groupBy(*keys, "seg_no", "date").agg(F.sum("n").alias("n"))
+    daily = _in_segments(counts, segments, keys).groupBy(*keys, "seg_no", "date").agg(F.sum("n").alias("n"))
     stats = daily.groupBy(*keys, "seg_no").agg(
         F.sum("n").alias("n_messages"),
         F.max_by("date", F.struct(F.col("n"), -F.unix_date("date"))).alias("peak_day"),
@@ -185,26 +189,25 @@ def segment_stats(messages: DataFrame, segments: DataFrame, keys=("chat_id",)) -
     })
 
 
-def _person_days(messages: DataFrame, segments: DataFrame, keys) -> DataFrame:
-    counts = spoken(messages).groupBy(*keys, "sender", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+def _in_segments(counts: DataFrame, segments: DataFrame, keys) -> DataFrame:
     return counts.join(segment_days(segments, keys), [*keys, "date"])
 
 
-def contributors(messages: DataFrame, segments: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
+def contributors(counts: DataFrame, segments: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
     """(keys, seg_no, sender, cnt, place): the most active people of each segment."""
-    counts = _person_days(messages, segments, keys).groupBy(*keys, "seg_no", "sender").agg(F.sum("n").alias("cnt"))
-    return top_k(counts, [*keys, "seg_no"], [F.desc("cnt"), F.asc("sender")], profile.top_n_contributors, "place")
+    people = _in_segments(counts, segments, keys).groupBy(*keys, "seg_no", "sender").agg(F.sum("n").alias("cnt"))
+    return top_k(people, [*keys, "seg_no"], [F.desc("cnt"), F.asc("sender")], profile.top_n_contributors, "place")
 
 
-def distinctive_contributors(messages: DataFrame, segments: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
+def distinctive_contributors(counts: DataFrame, segments: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
     """(keys, seg_no, sender, diff, cnt, place): people whose share here most exceeds their share
     in the rest of the chat."""
     keys = list(keys)
-    counts = _person_days(messages, segments, keys).groupBy(*keys, "seg_no", "sender").agg(F.sum("n").alias("cnt"))
-    here = counts.groupBy(*keys, "seg_no").agg(F.sum("cnt").alias("_seg"))
-    person = counts.groupBy(*keys, "sender").agg(F.sum("cnt").alias("_own"))
-    total = counts.groupBy(*keys).agg(F.sum("cnt").alias("_all"))
-    table = counts.join(here, [*keys, "seg_no"]).join(person, [*keys, "sender"]).join(total, keys)
+    people = _in_segments(counts, segments, keys).groupBy(*keys, "seg_no", "sender").agg(F.sum("n").alias("cnt"))
+    here = people.groupBy(*keys, "seg_no").agg(F.sum("cnt").alias("_seg"))
+    person = people.groupBy(*keys, "sender").agg(F.sum("cnt").alias("_own"))
+    total = people.groupBy(*keys).agg(F.sum("cnt").alias("_all"))
+    table = people.join(here, [*keys, "seg_no"]).join(person, [*keys, "sender"]).join(total, keys)
     rest = F.col("_all") - F.col("_seg")
     share_rest = F.when(rest > 0, (F.col("_own") - F.col("cnt")) / rest).otherwise(0.0)
     scored = table.where(F.col("cnt") >= profile.min_messages_for_distinctive).select(
@@ -215,16 +218,17 @@ def distinctive_contributors(messages: DataFrame, segments: DataFrame, profile:
 def segment_table(messages: DataFrame, profile: Profile, names: DataFrame | None = None, keys=("chat_id",)) -> DataFrame:
     """Segments end to end, with names, statistics and the two contributor lists."""
     keys = list(keys)
-    segments = named(detect(messages, profile, keys), names, keys)
+    segments = materialize(named(detect(messages, profile, keys), names, keys), "segments")
+    counts = materialize(person_days(messages, keys), "person-days")
     on = [*keys, "seg_no"]
 
     def listed(people: DataFrame, fields, out: str) -> DataFrame:
         entries = F.array_sort(F.collect_list(F.struct("place", *fields)))
         return people.groupBy(*on).agg(F.transform(entries, lambda e: F.struct(*(e[f].alias(f) for f in fields))).alias(out))
 
-    top = listed(contributors(messages, segments, profile, keys), ["sender", "cnt"], "top_contributors")
-    special = listed(distinctive_contributors(messages, segments, profile, keys), ["sender", "diff", "cnt"], "distinctive")
-    return segment_stats(messages, segments, keys).join(top, on, "left").join(special, on, "left")
+    top = listed(contributors(counts, segments, profile, keys), ["sender", "cnt"], "top_contributors")
+    special = listed(distinctive_contributors(counts, segments, profile, keys), ["sender", "diff", "cnt"], "distinctive")
+    return segment_stats(counts, segments, keys).join(top, on, "left").join(special, on, "left")
 
 
 def report_rows(table: DataFrame, keys=("chat_id",)) -> DataFrame:

@@ -118,7 +118,7 @@ def filler_segments(spark, sf):
     COALESCE(peak_day, start_day) AS peak_day, COALESCE(peak_day_count, 0) AS peak_day_count
     FROM sg LEFT JOIN st ON sg.chat_id = st.chat_id AND sg.seg_no = st.seg_no LEFT JOIN pe ON sg.chat_id = pe.chat_id AND sg.seg_no = pe.seg_no""")
 def activity_segments(spark, sf):
-    return sg.segment_stats(messages(spark, sf), detected(spark, sf))
+    return sg.segment_stats(sg.person_days(messages(spark, sf)), detected(spark, sf))
 
 
 @query(TABLE + " SELECT chat_id, seg_no, type, label FROM sg WHERE type IN ('arc', 'miniarc')")
@@ -137,7 +137,7 @@ def messages_in_segments(spark, sf):
 
 @query(TABLE + " SELECT chat_id, seg_no, sender, cnt, ROW_NUMBER() OVER (PARTITION BY chat_id, seg_no ORDER BY cnt DESC, sender) AS place FROM cn QUALIFY place <= 3")
 def segment_contributors(spark, sf):
-    return sg.contributors(messages(spark, sf), detected(spark, sf), PROFILE)
+    return sg.contributors(sg.person_days(messages(spark, sf)), detected(spark, sf), PROFILE)
 
 
 @query(TABLE + """, sh AS (SELECT chat_id, seg_no, sender, cnt, CAST(SUM(cnt) OVER (PARTITION BY chat_id, seg_no) AS BIGINT) AS seg,
@@ -145,7 +145,7 @@ def segment_contributors(spark, sf):
     df AS (SELECT chat_id, seg_no, sender, cnt / seg - CASE WHEN al > seg THEN (own - cnt) / (al - seg) ELSE 0 END AS diff, cnt FROM sh WHERE cnt >= 2)
     SELECT *, ROW_NUMBER() OVER (PARTITION BY chat_id, seg_no ORDER BY diff DESC, sender) AS place FROM df QUALIFY place <= 5""")
 def distinctive_contributors(spark, sf):
-    return sg.distinctive_contributors(messages(spark, sf), detected(spark, sf), PROFILE)
+    return sg.distinctive_contributors(sg.person_days(messages(spark, sf)), detected(spark, sf), PROFILE)
 
 
 @query(TABLE + """, ed AS (SELECT chat_id, label, concat('Wave ', ROW_NUMBER() OVER (PARTITION BY chat_id ORDER BY seg_no)) AS w,
