@@ -1,9 +1,12 @@
 """The registered queries of this folder and their SQL twins."""
 
-from parlance.llm import secrets, toxicity
+from parlance.llm import byte_bpe, decontamination, secrets, token_counts, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
+    byte_bpe.op4_byte_bpe,
+    token_counts.op5_token_counts,
+    decontamination.op7_decontamination,
     toxicity.op9_toxicity,
 )}
-ORACLES = {"op1_secret_scan": secrets.SQL}
+ORACLES = {"op1_secret_scan": secrets.SQL, "op7_decontamination": decontamination.SQL}
