@@ -1,9 +1,10 @@
 """The registered queries of this folder and their SQL twins."""
 
-from parlance.llm import byte_bpe, decontamination, secrets, token_counts, toxicity
+from parlance.llm import byte_bpe, decontamination, jaccard, secrets, token_counts, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
+    jaccard.op3_jaccard_join,
     byte_bpe.op4_byte_bpe,
     token_counts.op5_token_counts,
     decontamination.op7_decontamination,
