@@ -142,15 +142,22 @@ def _curve(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of docs that may be learned from, with their label. Labels have no bound, so they are never broadcast."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return docs.where(~held_out()).join(marks, "doc_id")
+    return docs.where(~held_out()).join(marks.hint("merge"), "doc_id")
+
+
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic) of the labelled rows, copies of one text once; texts are shuffled once, by their id."""
+    marks = labelled(docs.select("doc_id", F.xxhash64("text").alias("h"), F.char_length("text").alias("n")), labels)
+    once = marks.groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    return docs.where(~held_out()).join(once.hint("merge"), "doc_id").where("h = xxhash64(text)").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and (doc_id, n_tokens, segments) of every document under it."""
     docs = texts(docs)
-    train = labelled(docs, labels).dropDuplicates(["text"])
-    seen = train.select("text", "toxic").mapInArrow(_counts, "slot long, toxic long, clean long").groupBy("slot").agg(
+    seen = training(docs, labels).mapInArrow(_counts, "slot long, toxic long, clean long").groupBy("slot").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seen = stored(seen, "toxic-slots")
     totals = {r["head"]: r for r in seen.groupBy((F.col("slot") >= SLOTS).alias("head")).agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()}
