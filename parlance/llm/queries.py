@@ -1,13 +1,15 @@
 """The registered queries of this folder and their SQL twins."""
 
-from parlance.llm import byte_bpe, decontamination, jaccard, secrets, token_counts, toxicity
+from parlance.llm import byte_bpe, decontamination, embeddings, jaccard, language_model, secrets, token_counts, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
+    embeddings.op2_embedding_links,
     jaccard.op3_jaccard_join,
     byte_bpe.op4_byte_bpe,
     token_counts.op5_token_counts,
     decontamination.op7_decontamination,
+    language_model.op8_language_model,
     toxicity.op9_toxicity,
 )}
-ORACLES = {"op1_secret_scan": secrets.SQL, "op7_decontamination": decontamination.SQL}
+ORACLES = {"op1_secret_scan": secrets.SQL, "op2_embedding_links": embeddings.SQL, "op7_decontamination": decontamination.SQL}
