@@ -202,8 +202,8 @@ def _compared(axes: dict[int, np.ndarray]):
             for k in range(right.num_rows):
                 row = right.slice(k, 1).to_pylist()[0]
                 same = row["b"] == own["id"]
-                y = np.frombuffer(row["matrix"], np.float64).reshape(-1, d)
-                weight = np.array(row["many"], np.int64)
+                y = np.frombuffer(row["matrix_b"], np.float64).reshape(-1, d)
+                weight = np.array(row["many_b"], np.int64)
                 theirs = list(pieces(y, y @ axes[d]))
                 back = np.zeros(len(y), np.int64)
                 for i, px, low_x, high_x in mine:
@@ -222,13 +222,13 @@ def _compared(axes: dict[int, np.ndarray]):
                         square = np.zeros((len(px) + len(py),) * 2, bool)
                         square[:len(px), len(px):] = linked
                         square[len(px):, :len(px)] = linked.T
-                        name = lambda e: own["nodes"][i + e] if e < len(px) else row["nodes"][j + e - len(px)]  # noqa: E731, B023
+                        name = lambda e: own["nodes"][i + e] if e < len(px) else row["nodes_b"][j + e - len(px)]  # noqa: E731, B023
                         for e, f in forest(square):
                             node.append(name(e))
                             other.append(name(f))
                             links.append(0)
                 for e in np.flatnonzero(back):
-                    node.append(row["nodes"][e])
+                    node.append(row["nodes_b"][e])
                     other.append(None)
                     links.append(int(back[e]))
             for e in np.flatnonzero(count):
@@ -250,8 +250,9 @@ def links(vectors: DataFrame) -> DataFrame:
     pairs = close_pairs(cut, cut.count())
     dealt = pairs.withColumn("some", F.floor(F.col("b") / TOGETHER))
     left = dealt.select("a", "some").distinct().join(cut.withColumnRenamed("id", "a"), "a").withColumn("id", F.col("a")).select("a", "some", "id", "dim", "nodes", "many", "matrix")
-    right = dealt.join(cut.withColumnRenamed("id", "b"), "b").select("a", "some", "b", "nodes", "many", "matrix")
-    found = stored(left.groupBy("a", "some").cogroup(right.groupBy("a", "some")).applyInArrow(_compared(axes), "a binary, b binary, n long"), "vector-links")
+    right = dealt.join(cut.withColumnRenamed("id", "b"), "b").select(
+        F.col("a").alias("to"), F.col("some").alias("part"), "b", *[F.col(c).alias(f"{c}_b") for c in ("nodes", "many", "matrix")])
+    found = stored(left.groupBy("a", "some").cogroup(right.groupBy("to", "part")).applyInArrow(_compared(axes), "a binary, b binary, n long"), "vector-links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = classes.select("node", "rep", "many").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
