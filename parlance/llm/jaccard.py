@@ -156,7 +156,10 @@ def jobs(stored_prefixes: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _verified(rows: pa.Table) -> pa.Table:
     """A spanning forest of the links among the sets of one pair of blocks."""
-    nodes = rows.column("node").to_pylist()
+    # A document that is there twice brings its set twice.
+    once = {n: i for i, n in enumerate(rows.column("node").to_pylist())}
+    rows = rows.take(pa.array(list(once.values())))
+    nodes = list(once)
     lists = [np.frombuffer(x, _U) for x in rows.column("values").to_pylist()]
     size = np.array([len(x) for x in lists], np.int64)
     owner = np.repeat(np.arange(len(lists)), size)
@@ -198,7 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     work = jobs(rows, classes)
     members = stored(work.join(classes.select("gid", "block", "node", "rep"), ["gid", "block"]).select("b1", "b2", "node", "rep"), "jaccard-members")
     asked = members.select("node", "rep").distinct()
-    held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary").dropDuplicates(["node"])
+    held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary")
     edges = members.join(held, "node").groupBy("b1", "b2").applyInArrow(_verified, "a binary, b binary")
     return _labelled(rows, classes, components(edges))
 

@@ -1,6 +1,6 @@
 """The registered queries of this folder and their SQL twins."""
 
-from parlance.llm import byte_bpe, decontamination, embeddings, jaccard, language_model, secrets, token_counts, toxicity
+from parlance.llm import byte_bpe, decontamination, embeddings, jaccard, language_model, secrets, suffixes, token_counts, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
@@ -11,5 +11,6 @@ QUERIES = {f.__name__: f for f in (
     decontamination.op7_decontamination,
     language_model.op8_language_model,
     toxicity.op9_toxicity,
+    suffixes.op10_suffix_dedup,
 )}
 ORACLES = {"op1_secret_scan": secrets.SQL, "op2_embedding_links": embeddings.SQL, "op7_decontamination": decontamination.SQL}
