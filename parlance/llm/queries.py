@@ -1,6 +1,6 @@
 """The registered queries of this folder and their SQL twins."""
 
-from parlance.llm import byte_bpe, decontamination, embeddings, jaccard, language_model, secrets, suffixes, token_counts, toxicity
+from parlance.llm import byte_bpe, decontamination, embeddings, jaccard, language_model, personal, secrets, suffixes, token_counts, toxicity
 
 QUERIES = {f.__name__: f for f in (
     secrets.op1_secret_scan,
@@ -8,6 +8,7 @@ QUERIES = {f.__name__: f for f in (
     jaccard.op3_jaccard_join,
     byte_bpe.op4_byte_bpe,
     token_counts.op5_token_counts,
+    personal.op6_personal_data,
     decontamination.op7_decontamination,
     language_model.op8_language_model,
     toxicity.op9_toxicity,
