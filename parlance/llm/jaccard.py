@@ -33,6 +33,8 @@ PERCENT = 75
 FREQUENT = 1 << 16
 _SEEN = 16
 _BLOCK = 200
+BAND = 1.08
+_FAR_BANDS = int(np.log(100 / PERCENT) / np.log(BAND)) + 1
 _U = np.uint64
 
 
@@ -137,21 +139,39 @@ def blocks(classes: DataFrame) -> DataFrame:
     return dealt.join(split, "range").withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("ways"))).drop("range", "ways", "key")
 
 
+def _band(n):
+    return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
+
+
+def _needed(n, band):
+    """Prefix shingles that a set of n shares at least with an alike one whose size lies in a band.
+
+    At most n - o of a set's n shingles are missing in one it overlaps by o, and of the two prefixes the one that ends first
+    lies within the reach of the other, so the prefixes share at least o - ceil(0.75 n) + 1, n being its size.
+    """
+    low, high = F.floor(F.pow(F.lit(BAND), band)), F.ceil(F.pow(F.lit(BAND), band + 1))
+    own = F.ceil((n + low) * PERCENT / (100 + PERCENT)) - F.ceil(n * PERCENT / 100) + 1
+    other = (n + high) * PERCENT / (100 + PERCENT) - high * PERCENT / 100
+    return F.least(own, other)
+
+
 def jobs(stored_prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
     each = Window.partitionBy("token")
     tokens = stored_prefixes.select(F.explode("prefix").alias("token"), "gid")
-    shared = tokens.withColumn("low", F.min("gid").over(each)).withColumn("high", F.max("gid").over(each)).where("low < high").select("token", "gid")
-    places = stored(classes.groupBy("gid", "block").agg(F.count("*").alias("members")), "jaccard-places")
-    crowds = places.groupBy("gid").agg(F.sum("members").alias("m")).where("m > 1").select(F.col("gid").alias("token"), "gid")
-    entries = shared.union(crowds).join(places.drop("members"), "gid").groupBy("token", "block").agg(F.collect_set("gid").alias("gids"))
-    entries = stored(entries, "jaccard-entries")
-    left = entries.select("token", F.col("block").alias("b1"), F.col("gids").alias("g1"))
-    right = entries.select("token", F.col("block").alias("b2"), F.col("gids").alias("g2"))
-    pairs = left.join(right, "token").where("b1 < b2 OR b1 = b2 AND (size(g1) > 1 OR token = g1[0])")
-    one = pairs.select("b1", "b2", F.col("b1").alias("block"), F.explode("g1").alias("gid"))
-    two = pairs.where("b1 < b2").select("b1", "b2", F.col("b2").alias("block"), F.explode("g2").alias("gid"))
-    return one.union(two).distinct()
+    shared = tokens.withColumn("low", F.min("gid").over(each)).withColumn("high", F.max("gid").over(each)).where("low < high").select("token", "gid").distinct()
+    places = stored(classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.count("*").alias("members")), "jaccard-places")
+    entries = stored(shared.join(places.select("gid", "block", "n", _band(F.col("n")).alias("band"), "members"), "gid"), "jaccard-entries")
+    # Group pairs are filtered by size, and by how many prefix shingles a group shares with one block's groups of one size band.
+    cells = entries.groupBy("token", F.col("block").alias("to"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
+    met = entries.join(cells, "token").where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("block") != F.col("to")) | (F.col("band") != F.col("to_band")) | (F.col("groups") > 1)))
+    near = met.groupBy("gid", "block", "n", "to", "to_band").agg(F.count("*").alias("c")).where(F.col("c") >= _needed(F.col("n"), F.col("to_band")))
+    pairs = near.select(F.least("block", "to").alias("b1"), F.greatest("block", "to").alias("b2"), "block", "gid")
+    # Members of one group share the whole prefix; they are compared wherever they lie.
+    own = places.select("gid", "block", "members")
+    crowds = own.join(own.select("gid", F.col("block").alias("to")), "gid").where("block <> to OR members > 1")
+    pairs = pairs.union(crowds.select(F.least("block", "to"), F.greatest("block", "to"), "block", "gid"))
+    return pairs.distinct()
 
 
 def _verified(rows: pa.Table) -> pa.Table:
@@ -199,7 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("key").alias("key"))
     classes = stored(blocks(stored(classes, "jaccard-classes")), "jaccard-blocks")
     work = jobs(rows, classes)
-    members = stored(work.join(classes.select("gid", "block", "node", "rep"), ["gid", "block"]).select("b1", "b2", "node", "rep"), "jaccard-members")
+    members = work.join(classes.select("gid", "block", "node", "rep"), ["gid", "block"]).select("b1", "b2", "node", "rep")
+    members = stored(members.withColumn("all", F.count("*").over(Window.partitionBy("b1", "b2"))).where("all > 1").drop("all"), "jaccard-members")
     asked = members.select("node", "rep").distinct()
     held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary")
     edges = members.join(held, "node").groupBy("b1", "b2").applyInArrow(_verified, "a binary, b binary")
