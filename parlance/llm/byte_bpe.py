@@ -130,16 +130,19 @@ def decoded(tokens: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, without storing the ids."""
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass; with the ids themselves if asked."""
     def run(batches):
         for part, own, all_ids in _batches(batches, path, pattern):
             names = own.names.__getitem__
-            rows = [(len(ids), hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in all_ids]
-            n, a, b = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            out = [part.column("doc_id"), pa.array(map(len, all_ids), pa.int64()),
+                   pa.array([hashlib.sha256(",".join(map(names, ids)).encode()).hexdigest() for ids in all_ids], pa.string()),
+                   pa.array([hashlib.sha256(own.decode(ids)).hexdigest() for ids in all_ids], pa.string())]
+            columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                out, columns = [*out, pa.array(all_ids, pa.list_(pa.int32()))], [*columns, "ids"]
+            yield pa.RecordBatch.from_arrays(out, columns)
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op4_byte_bpe(spark, sf_dir):

@@ -121,12 +121,12 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
                     if len(met) > 1 << 20:
                         met = set()
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(group.view(np.int64)),
-                    pa.array((key >> _U(1)).astype(np.int64)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "node", "gid", "key", "prefix"])
+                    part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(group.view(np.int64)),
+                    pa.array((key >> _U(1)).astype(np.int64)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "key", "prefix"])
     return run
 
 
-_PREFIXES = "doc_id long, n long, node binary, gid long, key long, prefix array<long>"
+_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, key long, prefix array<long>"
 
 
 def blocks(classes: DataFrame) -> DataFrame:
@@ -213,9 +213,12 @@ def _values(batches):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node), one row per row of docs; node is the digest of its set."""
+    """(doc_id, n_shingles, component_id, root, text_hash), one row per row of docs.
+
+    root names the component where ids don't (null for empty sets), text_hash tells rows with one doc_id apart.
+    """
     docs = texts(docs)
-    rows = stored(docs.mapInArrow(_prefixes(*frequent(docs)), _PREFIXES), "jaccard-prefixes")
+    rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_prefixes(*frequent(docs)), _PREFIXES), "jaccard-prefixes")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("key").alias("key"))
     classes = stored(blocks(stored(classes, "jaccard-classes")), "jaccard-blocks")
     work = jobs(rows, classes)
@@ -230,11 +233,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     named = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labels = named.join(smallest, "root").select("node", "component_id")
+    labels = named.join(smallest, "root").select("node", "root", "component_id")
     return rows.join(labels, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "text_hash")
 
 
 def op3_jaccard_join(spark, sf_dir):
     """The component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("root", "text_hash")

@@ -110,12 +110,12 @@ def _scanned(weight: np.ndarray):
                 base = W.buffers(part.column("text"))[1].tolist()
                 spans = [[{"start": int(starts[a]) - base[r], "end": int(ends[b]) - base[r], "score": float(s)} for s, a, b in segs]
                          for r, segs in enumerate(found)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(spans, kind)],
-                                                 ["doc_id", "n_tokens", "segments"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(bounds)), pa.array(spans, kind)],
+                                                 ["doc_id", "text_hash", "n_tokens", "segments"])
     return run
 
 
-_SCANNED = "doc_id long, n_tokens long, segments array<struct<start:long,end:long,score:double>>"
+_SCANNED = "doc_id long, text_hash long, n_tokens long, segments array<struct<start:long,end:long,score:double>>"
 
 
 def _lambda(scores: np.ndarray, share: np.ndarray) -> float:
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     share = token["clean"].to_numpy(float) / max(clean_total, 1.0)
     score = weight[0][token["slot"].to_numpy(int)].astype(float)
     decay = _lambda(np.append(score, DRIFT), np.append(share, max(0.0, 1 - share.sum())))
-    found = stored(docs.mapInArrow(_scanned(weight), _SCANNED), "toxic-segments")
+    found = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_scanned(weight), _SCANNED), "toxic-segments")
     marked = labelled(found, labels)
     # The Gumbel location of the clean rows gives K; then the calibration bins.
     best = F.array_max(F.transform("segments", lambda x: x["score"]))
@@ -205,18 +205,18 @@ def _bin(model: Model):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, n_passages, passages), one row per document row.
+    """(doc_id, held_out, score, predicted, n_passages, passages, text_hash), one row per document row.
 
-    passages: the segments beyond chance (fewer than one expected as good), in bytes of the UTF-8 text.
+    text_hash tells rows with one doc_id apart. passages: the segments beyond chance (fewer than one expected as good), in bytes of the UTF-8 text.
     """
     model, found = fit(docs, labels)
     score = F.element_at(F.array(*[F.lit(float(p)) for p in model.curve]), _bin(model) + 1)
     chance = F.log(F.greatest(F.col("n_tokens"), F.lit(1))) + float(np.log(model.scale))
     passages = F.filter("segments", lambda x: x["score"] * model.decay > chance)
     return found.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"),
-                        F.size(passages).cast("long").alias("n_passages"), passages.alias("passages"))
+                        F.size(passages).cast("long").alias("n_passages"), passages.alias("passages"), "text_hash")
 
 
 def op9_toxicity(spark, sf_dir):
     """Scores of every document, fitted on labels whose rows aren't held out."""
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages", "text_hash")
