@@ -19,7 +19,7 @@ MEDIA = (
 )
 FORWARDED = r"(?iU)\[\s*forwarded\s*\]"
 WAITING = r"(?iU)waiting for this message(?:\s*\.?\s*this may take a while\.?)?"
-UNPARSED = r"(?imU)^\s*\[UNPARSED\s*-\s*review this line\].*$"
+UNPARSED = r"(?imUd)^\s*\[UNPARSED\s*-\s*review this line\].*$"
 DELETED = r"(?iU)this message was deleted|you deleted this message"
 CALL = r"(?iU)missed voice call|missed video call|^\s*voice call\s*$|^\s*video call\s*$"
 INGEST_MEDIA_PARTS = (
@@ -52,6 +52,8 @@ SYSTEM_EVENT_LABEL = (
 WORD_CHARS = r"[\p{L}\p{Nl}\p{No}\x{0300}-\x{036f}\x{0610}-\x{061a}\x{064b}-\x{065f}\x{0670}]"
 WORD = rf"{WORD_CHARS}+(?:['’]{WORD_CHARS}+)*"
 TAG = r"(?U)@\w+"
+# Bold, italic and struck text; only a line feed ends a line.
+MARKUP = ((r"(?d)\*(.*?)\*", "b"), (r"(?d)_(.*?)_", "i"), (r"(?d)~(.*?)~", "strike"))
 EMOJI_CHAR = (
     r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}"
     r"\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}]"
@@ -215,6 +217,6 @@ def chat_markup(text: Column) -> Column:
     out = text
     for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(raw), F.lit(escaped))
-    for pattern, tag in ((r"\*(.*?)\*", "b"), (r"_(.*?)_", "i"), (r"~(.*?)~", "strike")):
+    for pattern, tag in MARKUP:
         out = F.regexp_replace(out, pattern, f"<{tag}>$1</{tag}>")
     return F.replace(out, F.lit("\n"), F.lit("<br/>"))

@@ -119,6 +119,10 @@ class Profile:
     signature_min_messages: int | Column = 50
     signature_top_n_per_person: int | Column = 15
 
+    # The larger size where the two above differ by slice; it limits the map side.
+    top_n_limit: int | None = None
+    signature_limit: int | None = None
+
     last_period_days: int = 91
     last_period_min_word_length: int = 3
     last_period_min_phrase_length: int = 8
@@ -206,7 +210,7 @@ class Profile:
         return dataclasses.replace(self, **{
             n: F.when(F.col("slice") == "full", F.lit(getattr(self, n))).otherwise(F.lit(getattr(small, n)))
             for n in names
-        })
+        }, top_n_limit=max(self.top_n, small.top_n), signature_limit=max(self.signature_top_n_per_person, small.signature_top_n_per_person))
 
 
 def value(setting) -> Column:

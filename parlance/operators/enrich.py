@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions import times as tm
 from parlance.operators.ordering import CELL_ROWS, previous_row
-from parlance.session import broadcast_if_small
 
 
 def enrich(messages: DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def last_days(df: DataFrame, days: int, keys=("chat_id",)) -> DataFrame:
     """The last `days` calendar days of each chat, counted from its newest row."""
     keys = list(keys)
     ends = df.groupBy(*keys).agg(F.date_sub(F.to_date(F.max("ts")), days - 1).alias("_from"))
-    return df.join(broadcast_if_small(ends), keys).where(F.to_date("ts") >= F.col("_from")).drop("_from")
+    return df.join(ends, keys).where(F.to_date("ts") >= F.col("_from")).drop("_from")
 
 
 def participants(df: DataFrame, min_messages: int | Column = 1, keys=("chat_id",)) -> DataFrame:

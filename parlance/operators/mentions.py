@@ -1,7 +1,8 @@
 """Known names behind an @: the lookup, the mention edges, and text without them.
 
-A name may hold several words, so a mention is found by an equi-join on the first word after the
-@ and then checked against the whole name. Only rows that hold an @ take part.
+A name may hold several words. Every beginning of what follows an @ that ends where a name may end,
+up to the longest name of its chat, is a probe, and probes meet the whole spelling in an equi-join:
+names that share a first word don't multiply. Only rows that hold an @ take part.
 """
 
 from __future__ import annotations
@@ -17,22 +18,19 @@ _AT = r"(?U)(?<![\w@])@"
 _NAME_END = r"(?U)^(?![\w@]|-\w|'(?!s\b))"
 
 
-def _first_word(c: Column) -> Column:
-    return F.regexp_extract(c, r"(?U)^(?:\w+|.)", 0)
-
-
-def name_lookup(people: DataFrame, aliases: DataFrame | None = None, keys=("chat_id",)) -> DataFrame:
-    """(keys, variant, target, head): every spelling that points at exactly one person.
+def name_lookup(people: DataFrame, aliases: DataFrame | None = None, keys=("chat_id",), everyone: DataFrame | None = None) -> DataFrame:
+    """(keys, variant, target, listed): every spelling that points at exactly one person.
 
     Full names and aliases are exact and beat first names, which are derived; a spelling that
     several people share is left out, and an ambiguous exact one is not replaced by a guess.
-    `aliases` is (alias_key, canonical) over all chats.
+    `aliases` is (alias_key, canonical) over all chats. Aliases count for `everyone` who writes in a
+    chat, also below the minimum that makes a participant; such targets are not `listed`.
     """
     keys = list(keys)
-    names = people.select(*keys, F.lower("sender").alias("variant"), F.col("sender").alias("target"))
-    exact = names
+    listed = people.select(*keys, F.col("sender").alias("target")).withColumn("listed", F.lit(True))
+    exact = people.select(*keys, F.lower("sender").alias("variant"), F.col("sender").alias("target"))
     if aliases is not None:
-        known = people.select(*keys, F.col("sender").alias("canonical"))
+        known = (people if everyone is None else everyone).select(*keys, F.col("sender").alias("canonical")).distinct()
         extra = aliases.where(~F.col("alias_key").contains("@")).join(known, "canonical")
         exact = exact.unionByName(extra.select(*keys, F.lower(F.trim("alias_key")).alias("variant"), F.col("canonical").alias("target")))
     first = F.regexp_extract("sender", r"(?U)^\s*(\S+)", 1)
@@ -45,7 +43,8 @@ def name_lookup(people: DataFrame, aliases: DataFrame | None = None, keys=("chat
     )
     low = F.when(F.col("_best") == 0, F.col("_a0")).otherwise(F.col("_a1"))
     high = F.when(F.col("_best") == 0, F.col("_z0")).otherwise(F.col("_z1"))
-    return owners.where(low == high).select(*keys, "variant", low.alias("target"), _first_word(F.col("variant")).alias("head"))
+    found = owners.where(low == high).select(*keys, "variant", low.alias("target"))
+    return found.join(listed, [*keys, "target"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
 
 
 def _pieces(rows: DataFrame, keys, column: str) -> DataFrame:
@@ -54,24 +53,24 @@ def _pieces(rows: DataFrame, keys, column: str) -> DataFrame:
 
 
 def _matched(pieces: DataFrame, lookup: DataFrame, keys) -> DataFrame:
-    """Adds the longest name each piece begins with (`target`, `name_length`); null if none."""
+    """Adds the longest name each piece begins with (`hit`: target, listed, name_length); null if none."""
     keys = list(keys)
-    probes = pieces.where(F.col("pos") > 0).withColumn("head", _first_word(F.lower("piece")))
-    found = probes.join(lookup, [*keys, "head"]).where(
-        F.startswith(F.lower("piece"), F.col("variant"))
-        & F.substr("piece", F.length("variant") + 1).rlike(_NAME_END)
-    )
-    best = found.groupBy(*keys, "seq", "pos").agg(
-        F.max_by(F.struct("target", F.length("variant").alias("name_length")), F.length("variant")).alias("hit"),
+    longest = lookup.groupBy(*keys).agg(F.max(F.length("variant")).alias("_most"))
+    probes = pieces.where((F.col("pos") > 0) & (F.col("piece") != "")).join(longest, keys)
+    ends = F.filter(F.sequence(F.lit(1), F.least(F.length("piece"), F.col("_most"))), lambda n: F.substr("piece", n + 1).rlike(_NAME_END))
+    probes = probes.select(*keys, "seq", "pos", "piece", F.explode(ends).alias("name_length"))
+    probes = probes.withColumn("variant", F.lower(F.left("piece", F.col("name_length")))).drop("piece")
+    best = probes.join(lookup, [*keys, "variant"]).groupBy(*keys, "seq", "pos").agg(
+        F.max_by(F.struct("target", "listed", "name_length"), "name_length").alias("hit"),
     )
     return pieces.join(best, [*keys, "seq", "pos"], "left")
 
 
 def mention_edges(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",)) -> DataFrame:
-    """(keys, src, dst, cnt): who mentions whom, and how often."""
+    """(keys, src, dst, cnt): who mentions which participant, and how often."""
     keys = list(keys)
     rows = spoken(enriched).where(F.contains(F.col("analysis_text"), F.lit("@")))
-    hits = _matched(_pieces(rows, keys, "analysis_text"), lookup, keys).where(F.col("hit").isNotNull())
+    hits = _matched(_pieces(rows, keys, "analysis_text"), lookup, keys).where(F.col("hit.listed"))
     return hits.groupBy(*keys, F.col("sender").alias("src"), F.col("hit.target").alias("dst")).agg(F.count("*").alias("cnt"))
 
 

@@ -87,8 +87,10 @@ def resequence(df: DataFrame, time: str, ties, keys=("chat_id",), out: str = "se
     return joined.withColumn(out, F.col("_start") + F.col("_n") - 1).drop(*names, "_day", "_n", "_start")
 
 
-def top_k(df: DataFrame, keys, order: list[Column], k, rank: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, keys, order: list[Column], k, rank: str = "rank", most: int | None = None) -> DataFrame:
     """The first k rows per key. With a plain number Spark limits each map side first, so a hot
-    key sends k rows per task into the shuffle; `k` may be a Column for per-slice sizes."""
+    key sends k rows per task into the shuffle. `k` may be a Column for sizes that differ by key;
+    `most`, the largest of them, then limits the map side."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col(rank) <= k)
+    limit = most if isinstance(k, Column) else k
+    return (ranked if limit is None else ranked.where(F.col(rank) <= limit)).where(F.col(rank) <= k)

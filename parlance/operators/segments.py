@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.model import Profile
 from parlance.operators.enrich import spoken
 from parlance.operators.ordering import top_k
-from parlance.session import broadcast_if_small, materialize
+from parlance.session import materialize
 
 
 def spoken_days(messages: DataFrame, keys=("chat_id",)) -> DataFrame:
@@ -163,7 +163,7 @@ def segment_days(segments: DataFrame, keys=("chat_id",)) -> DataFrame:
 def in_segments(messages: DataFrame, segments: DataFrame, keys=("chat_id",)) -> DataFrame:
     """Messages with the number of the segment their day lies in."""
     days = segment_days(segments, keys)
-    return messages.withColumn("date", F.to_date("ts")).join(broadcast_if_small(days), [*keys, "date"])
+    return messages.withColumn("date", F.to_date("ts")).join(days, [*keys, "date"])
 
 
 def person_days(messages: DataFrame, keys=("chat_id",)) -> DataFrame:

@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 from parlance.model import Profile
 from parlance.operators.enrich import participants
 from parlance.operators.segments import segment_days
-from parlance.session import broadcast_if_small
 
 
 def sliced(messages: DataFrame, profile: Profile, segments: DataFrame | None = None, keys=("chat_id",)) -> DataFrame:
     """Messages once per slice they belong to: 'full', 'last' and 'seg:<seg_no>'."""
     keys = list(keys)
     ends = messages.groupBy(*keys).agg(F.date_sub(F.to_date(F.max("ts")), profile.last_period_days - 1).alias("_from"))
-    dated = messages.withColumn("date", F.to_date("ts")).join(broadcast_if_small(ends), keys)
+    dated = messages.withColumn("date", F.to_date("ts")).join(ends, keys)
     names = [F.lit("full"), F.when(F.col("date") >= F.col("_from"), "last")]
     if segments is not None:
         days = segment_days(segments.where(F.col("type") != "filler"), keys)
-        dated = dated.join(broadcast_if_small(days), [*keys, "date"], "left")
+        dated = dated.join(days, [*keys, "date"], "left")
         names.append(F.concat(F.lit("seg:"), F.col("seg_no").cast("string")))
     rows = dated.withColumn("slice", F.explode(F.array_compact(F.array(*names))))
     return rows.drop("_from", "seg_no")

@@ -15,7 +15,6 @@ from parlance.functions.scoring import comparative_score, scaled_half_days, scal
 from parlance.model import Profile, value
 from parlance.operators.enrich import worded
 from parlance.operators.ordering import top_k
-from parlance.session import broadcast_if_small
 
 
 def word_uses(lexical: DataFrame, profile: Profile, stopwords: DataFrame | None = None, keys=("chat_id",)) -> DataFrame:
@@ -25,7 +24,7 @@ def word_uses(lexical: DataFrame, profile: Profile, stopwords: DataFrame | None
     if profile.extra_stopwords:
         rows = rows.where(~F.col("term").isin(list(profile.extra_stopwords)))
     if stopwords is not None:
-        rows = rows.join(broadcast_if_small(stopwords.select("term").distinct()), "term", "left_anti")
+        rows = rows.join(stopwords.select("term").distinct(), "term", "left_anti")
     return rows
 
 
@@ -128,7 +127,7 @@ def distinctive_words(index: DataFrame, spans: DataFrame, people: DataFrame, bas
     keys = list(keys)
     wanted = eligible(term_index(index, keys), spans, profile, keys).join(use_totals(index, keys), keys)
     scored = _with_score(wanted.join(baseline, "term", "left").crossJoin(F.broadcast(baseline_totals(baseline))))
-    best = top_k(scored, keys, [F.desc(F.col("score") * F.col("weight")), F.desc("cnt"), F.asc("term")], profile.top_n)
+    best = top_k(scored, keys, [F.desc(F.col("score") * F.col("weight")), F.desc("cnt"), F.asc("term")], profile.top_n, most=profile.top_n_limit)
     sayers = top_sayers(person_index(index, keys), people, keys)
     return best.join(sayers, [*keys, "term"], "left").select(
         *keys, "rank", "term", "cnt", "days", F.col("score").alias("vs_baseline"), "top_sayer", "top_sayer_count",
@@ -141,7 +140,7 @@ def repeated_phrases(index: DataFrame, spans: DataFrame, people: DataFrame, prof
     keys = list(keys)
     wanted = eligible(term_index(index, keys), spans, profile, keys)
     order = [F.desc(F.col("cnt") * F.col("weight")), F.desc("cnt"), F.desc(F.length("term")), F.asc("term")]
-    best = top_k(wanted, keys, order, profile.top_n)
+    best = top_k(wanted, keys, order, profile.top_n, most=profile.top_n_limit)
     sayers = top_sayers(person_index(index, keys), people, keys)
     return best.join(sayers, [*keys, "term"], "left").select(
         *keys, "rank", "display", "term", "cnt", "days", "top_sayer", "top_sayer_count",
@@ -163,7 +162,7 @@ def signatures(index: DataFrame, spans: DataFrame, people: DataFrame, profile: P
     busy = people.where(F.col("n") >= value(profile.signature_min_messages)).select(*keys, "sender")
     scored = scored.join(busy, [*keys, "sender"], "left_semi")
     best = top_k(scored, [*keys, "sender"], [F.desc("rank_score"), F.desc("top_sayer_count"), F.asc("term")],
-                 profile.signature_top_n_per_person)
+                 profile.signature_top_n_per_person, most=profile.signature_limit)
     return best.select(
         *keys, "sender", "rank", "term", F.col("top_sayer_count").alias("person_count"), F.col("cnt").alias("total_count"),
         F.col("top_sayer_days").alias("person_days"), F.col("person_days").alias("total_days"),

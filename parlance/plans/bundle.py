@@ -20,7 +20,8 @@ def bundle(enriched: DataFrame, profile: Profile, segments: DataFrame | None = N
     if "lastperiod" not in chosen:
         cut = cut.where(cut["slice"] != "last")
     who = materialize(slice_participants(cut, min_messages), "participants")
-    lookup = mentions.name_lookup(who, aliases, keys)
+    everyone = slice_participants(cut, 1) if aliases is not None else None
+    lookup = materialize(mentions.name_lookup(who, aliases, keys, everyone), "names")
     rows = materialize(mentions.without_mentions(cut, lookup, keys), "sliced")
     daily = summary.daily_counts(rows, keys)
     out: dict[str, DataFrame] = {"participants": who}

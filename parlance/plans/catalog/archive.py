@@ -20,7 +20,7 @@ from parlance.operators.ordering import resequence
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
 from parlance.plans.update import ARCHIVE, archive_rows, merge_lines, normalize, update
-from parlance.session import materialize, shared_dir
+from parlance.session import shared_dir
 from parlance.sources import archive as ar
 from parlance.sources import identities as ids
 from parlance.sources import sinks
@@ -374,5 +374,5 @@ def template_baseline(spark, sf):
 def archive_overview(spark, sf):
     """Exports all the way to the totals of each chat."""
     rows = resequence(archive_rows(normalize(export_lines(spark, sf), claims(spark, sf))), "dt", ["src_file", "seq"])
-    messages = materialize(en.enrich(ar.messages_from_blocks(rows)), "messages")
+    messages = en.enrich(ar.messages_from_blocks(rows))
     return su.overall(su.daily_counts(messages)).select("chat_id", "total_messages", "total_system_events")

@@ -156,7 +156,8 @@ def distinctive_contributors(spark, sf):
 def segment_names(spark, sf):
     """Every other spike of a chat renamed by its position."""
     found = materialize(sg.detect(messages(spark, sf), PROFILE), "segments")
-    odd = messages(spark, sf).select("chat_id").distinct().select("chat_id", F.explode(F.expr("sequence(1L, 31L, 2L)")).alias("position"))
+    spikes = found.where(F.col("type") != "filler").groupBy("chat_id").agg(F.count("*").alias("n"))
+    odd = spikes.select("chat_id", F.explode(F.sequence(F.lit(1).cast("long"), "n", F.lit(2).cast("long"))).alias("position"))
     edited = odd.select("chat_id", "position", F.concat(F.lit(" Wave "), F.col("position").cast("string")).alias("name"), F.lit("named by hand").alias("description"))
     return sg.named(found, sg.names_in_order(found, edited)).select("chat_id", "seg_no", "label", "name", "description")
 

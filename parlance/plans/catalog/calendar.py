@@ -13,7 +13,6 @@ from parlance.operators.ordering import previous_row
 from parlance.operators.slices import sliced
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
-from parlance.session import materialize
 from parlance.sources.tables import from_table
 
 E = views.sql_enriched("events")
@@ -22,9 +21,8 @@ FIRST = "ROW_NUMBER() OVER (PARTITION BY chat_id ORDER BY"
 
 
 def enriched(spark, sf):
-    """Events with flags and lexical text, stored once per query as a pipeline would store them:
-    filters on flags then read a column instead of working the flag out again."""
-    return materialize(en.with_lexical(en.enrich(views.events(spark, sf))), "messages")
+    """Events with flags and lexical text; a query reads and works out what it uses."""
+    return en.with_lexical(en.enrich(views.events(spark, sf)))
 
 
 def daily(spark, sf):
@@ -145,7 +143,7 @@ SPARSE = views.sql_enriched("documents") + """, s AS (SELECT concat(sender, '/',
 
 def sparse_daily(spark, sf):
     """Each source of each chat by itself: few messages, so there are silent days."""
-    rows = materialize(en.with_lexical(en.enrich(views.documents(spark, sf))), "messages")
+    rows = en.with_lexical(en.enrich(views.documents(spark, sf)))
     rows = rows.withColumn("chat", F.concat_ws("/", "sender", F.col("chat_id").cast("string")))
     return su.daily_counts(rows, ["chat"])
 
@@ -250,7 +248,7 @@ def previous_rows(spark, sf):
 @query(C + """, r AS (SELECT chat_id, seq, ts, sender, CAST(word_count AS BIGINT) AS words, substr(text, 1, 300) AS text, """ + FIRST + """ word_count DESC, seq) AS rank
     FROM e WHERE counted AND is_real_text) SELECT * FROM r WHERE rank <= 3""")
 def longest_messages(spark, sf):
-    rows = materialize(en.with_lexical(en.enrich(views.conversations(spark, sf))), "messages")
+    rows = en.with_lexical(en.enrich(views.conversations(spark, sf)))
     return su.longest_messages(rows)
 
 

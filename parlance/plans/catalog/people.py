@@ -12,7 +12,6 @@ from parlance.operators import search as se
 from parlance.operators.ordering import top_k
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
-from parlance.session import materialize
 from parlance.streaming.sessions import conversations
 
 E = views.sql_enriched("events")
@@ -26,11 +25,11 @@ RUNS = "regexp_extract_all(lower(lexical_text), '[\\p{L}\\p{M}\\p{N}_]+')"
 
 
 def event_rows(spark, sf):
-    return materialize(en.with_lexical(en.enrich(views.events(spark, sf))), "messages")
+    return en.with_lexical(en.enrich(views.events(spark, sf)))
 
 
 def document_rows(spark, sf):
-    return materialize(en.with_lexical(en.enrich(views.documents(spark, sf))), "messages")
+    return en.with_lexical(en.enrich(views.documents(spark, sf)))
 
 
 COUNTS = """n AS (SELECT chat_id, sender, COUNT(*) AS total_messages, COUNT(*) FILTER (is_real_text AND NOT is_media) AS total_text_messages,
@@ -103,11 +102,14 @@ def turn_taking(spark, sf):
     return pe.turn_taking(event_rows(spark, sf), Profile(), cell_rows=512)
 
 
-# Participants are looked up by their whole name; the digits of a mention make it up again.
+# Participants are looked up by their whole name; the digits of a mention make it up again. All share the first
+# name, which therefore names somebody only in a chat with one participant.
 EDGES = """, p AS (SELECT chat_id, sender FROM e WHERE NOT is_system GROUP BY 1, 2 HAVING COUNT(*) >= 10),
     a AS (SELECT chat_id, seq, sender AS src, concat('User ', regexp_extract(analysis_text, '@User (\\d+)', 1)) AS dst FROM e
         WHERE NOT is_system AND analysis_text LIKE '%@User %'),
-    g AS (SELECT a.chat_id, src, dst, COUNT(*) AS cnt FROM a JOIN p ON a.chat_id = p.chat_id AND a.dst = p.sender GROUP BY 1, 2, 3) """
+    o AS (SELECT chat_id, MIN(sender) AS only_one FROM p GROUP BY 1 HAVING COUNT(*) = 1),
+    g AS (SELECT a.chat_id, src, COALESCE(p.sender, only_one) AS dst, COUNT(*) AS cnt FROM a LEFT JOIN p ON a.chat_id = p.chat_id AND a.dst = p.sender
+        LEFT JOIN o ON a.chat_id = o.chat_id WHERE COALESCE(p.sender, only_one) IS NOT NULL GROUP BY 1, 2, 3) """
 
 
 def edges(spark, sf):
@@ -147,7 +149,7 @@ def top_tagged_people(spark, sf):
         '@\\w+', ' ', 'g') AS lexical_text FROM k)
     SELECT *, len(regexp_extract_all(lexical_text, """ + views.WORD_SQL + """)) AS word_count FROM x""")
 def texts_without_mentions(spark, sf):
-    rows = materialize(en.enrich(views.events(spark, sf)), "messages")
+    rows = en.enrich(views.events(spark, sf))
     lookup = mn.name_lookup(en.participants(rows, 10))
     return mn.without_mentions(rows, lookup).select("chat_id", "seq", "lexical_text", "word_count")
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.functions import times as tm
-from parlance.sources.tables import spread_small_scan
 
 # One chat of a third of all users, the others spread over a few more. Every event type becomes
 # another kind of message. `event_id` rises with time.
@@ -52,7 +51,7 @@ ORDER = ["chat_id", "seq", "ts", "sender", "text", "is_system"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small_scan(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _messages(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +81,7 @@ def sql_messages(name: str) -> str:
 
 def _re(pattern: str) -> str:
     """A pattern without the flags that only the JVM knows, as a quoted SQL string."""
-    for flags in ("(?iU)", "(?imU)", "(?U)"):
+    for flags in ("(?iU)", "(?imUd)", "(?imU)", "(?U)"):
         pattern = pattern.replace(flags, "")
     return "'" + pattern.replace("'", "''") + "'"
 

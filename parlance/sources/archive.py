@@ -10,8 +10,8 @@ from parlance.functions import times as tm
 from parlance.sources.lines import put_together, with_entries
 
 # ---- fixed values: archive line forms ----
-BLOCK_LINE = r"^([0-9]{2}-[A-Za-z]{3}-[0-9]{4}), ([0-9]{2}:[0-9]{2}) - (.*)$"
-DATED_LINE = r"^[\x{200e}\x{200f}\x{feff}]*([0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}), ([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?) - (.*)$"
+BLOCK_LINE = r"(?s)^([0-9]{2}-[A-Za-z]{3}-[0-9]{4}), ([0-9]{2}:[0-9]{2}) - (.*)\z"
+DATED_LINE = r"(?s)^[\x{200e}\x{200f}\x{feff}]*([0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}), ([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?) - (.*)\z"
 SYSTEM_TAG = "[SYSTEM]"
 UNPARSED_TAG = "[UNPARSED - review this line]"
 UNRESOLVED_TAG = "[UNRESOLVED]"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.functions.identity import alias_key
 from parlance.model import IDENTITIES
-from parlance.session import broadcast_if_small
 from parlance.sources.archive import UNRESOLVED_TAG
 
 # ---- fixed values ----
@@ -60,7 +59,7 @@ def resolve_senders(parsed: DataFrame, labels: DataFrame) -> DataFrame:
     names = labels.select("chat_id", "file", "label", F.coalesce("canonical", F.concat("spelling", F.lit(f" {UNRESOLVED_TAG}"))).alias("_name"),
                           F.col("canonical").isNull().alias("is_unresolved"))
     keyed = parsed.withColumn("label", tx.strip(tx.strip_isolates(F.col("sender"))))
-    joined = keyed.join(broadcast_if_small(names), ["chat_id", "file", "label"], "left")
+    joined = keyed.join(names, ["chat_id", "file", "label"], "left")
     return joined.withColumns({"sender": F.col("_name"), "is_unresolved": F.coalesce("is_unresolved", F.lit(False))}).drop("_name", "label")
 
 

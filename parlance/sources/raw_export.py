@@ -15,7 +15,7 @@ TIME = r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:\s?[APap][Mm])?"
 PLAIN = rf"({DATE})\s({TIME})\s"
 ANDROID = rf"({DATE}),\s({TIME})\s-\s"
 BRACKETED = rf"\[({DATE}),\s({TIME})\]\s"
-LINE = rf"(?U)^(?:{PLAIN}|{ANDROID}|{BRACKETED})(.*)$"
+LINE = rf"(?Us)^(?:{PLAIN}|{ANDROID}|{BRACKETED})(.*)\z"
 SENDER_HEAD = r"(?U)^[^:]+:\s"
 
 

@@ -10,13 +10,6 @@ from parlance.model import SEGMENTS
 from parlance.operators.ordering import resequence
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt out to all of them. A table of
-    more splits, which any big one is, comes back as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def from_table(df: DataFrame, ts: str, sender: str, text: str, chat_id: Column | str | None = None,
                order: str | None = None, is_system: Column | None = None) -> DataFrame:
     """Any table with time, sender and text as `messages`. `order` names a unique integer that
@@ -35,7 +28,7 @@ def from_table(df: DataFrame, ts: str, sender: str, text: str, chat_id: Column |
 def template_corpus(plain: DataFrame, templates: DataFrame, topics: DataFrame) -> DataFrame:
     """Baseline lines: plain ones, and every template filled with every topic. Both factors are
     hand-written lists."""
-    filled = templates.crossJoin(F.broadcast(topics)).select(F.replace("template", F.lit("{topic}"), F.col("topic")).alias("text"))
+    filled = templates.crossJoin(topics).select(F.replace("template", F.lit("{topic}"), F.col("topic")).alias("text"))
     return plain.select("text").unionByName(filled)
 
 
