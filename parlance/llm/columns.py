@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.session import materialize
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -19,17 +21,24 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table that several steps read to the session's shared folder and reads it back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ascii_lower(column):
-    """A-Z to a-z and nothing else."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def groups(batches, names: list[str]):
+    """Complete groups of equal integer keys from the batches of a partition that is sorted by them, as tables."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(n).to_numpy() for n in names], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(keys[a].tolist())
+            if kept and key != last:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(a, b - a))
+            last = key
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+stored = materialize  # a table that several steps read, in the session's shared folder

@@ -155,7 +155,7 @@ def intervals(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
 
 def _apart(low_a, high_a, low_b, high_b):
     """The square of the least distance between two boxes."""
-    gap = F.zip_with(F.zip_with(low_a, high_b, lambda x, y: x - y), F.zip_with(low_b, high_a, lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    gap = F.zip_with(F.zip_with(low_a, high_b, lambda p, q: p - q), F.zip_with(low_b, high_a, lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
     return F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)
 
 

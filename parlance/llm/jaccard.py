@@ -7,7 +7,7 @@ prefix are one group, and only groups are joined on prefix shingles. Pairs of gr
 those are verified on whole sets.
 
 Nothing emits pairs of documents. Classes are dealt into blocks of bounded size in which alike ones lie together (by
-their smallest hash), and the join yields pairs of blocks with the groups concerned; a task verifies one pair of blocks
+the group most of their shared prefix leads to), and the join yields pairs of blocks with the groups concerned; a task verifies one pair of blocks
 by a matrix product and returns a spanning forest of the links. A crowd of n near copies costs about
 (n / 200)**2 / 2 such tasks in many places, not a row per pair. The order rests on counts of the 65,536 most
 frequent shingles, a list of fixed length that decides what work is done, never a result.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.llm import words as W
-from parlance.llm.columns import stored, table, texts
+from parlance.llm.columns import groups, stored, table, texts
 from parlance.llm.graph import components, forest
 
 PERCENT = 75
@@ -106,11 +106,6 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
                 chosen = place < np.repeat(length, size)
                 prefix = ranked[chosen]
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, length, 0))])
-                spread = W.mix(value * _U(0x2545F4914F6CDD1D))
-                key = np.zeros(len(size), _U)
-                full = size > 0
-                if full.any():
-                    key[full] = np.minimum.reduceat(spread, bounds[:-1][full])
                 group = W.mix(_sums(prefix, ends, 0x3C6EF372) ^ size.astype(_U))
                 nodes = digests(value, bounds)
                 lists = []
@@ -122,19 +117,33 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
                         met = set()
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(group.view(np.int64)),
-                    pa.array((key >> _U(1)).astype(np.int64)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "key", "prefix"])
+                    pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "prefix"])
     return run
 
 
-_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, key long, prefix array<long>"
+_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, prefix array<long>"
 
 
-def blocks(classes: DataFrame) -> DataFrame:
-    """Adds `block`: classes near in their smallest hash, about _BLOCK of them; a crowded range is split by digest."""
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """(token, gid, low): prefix shingles of several groups, and the smallest group that has each."""
+    each = Window.partitionBy("token")
+    tokens = rows.select(F.explode("prefix").alias("token"), "gid")
+    both = tokens.withColumn("low", F.min("gid").over(each)).withColumn("high", F.max("gid").over(each))
+    return stored(both.where("low < high").select("token", "gid", "low").distinct(), "jaccard-shared")
+
+
+def blocks(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Adds `hub` and `block` to classes; a block is about _BLOCK of them that lie together.
+
+    A group lies where the group lies that is the smallest of most of its shared shingles, which alike groups have
+    in common for the most part. A crowded range is split by digest. Where a class lies decides cost, not results.
+    """
+    hubs = shared.groupBy("gid", "low").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max_by("low", F.struct("c", "low")).alias("hub"))
+    keyed = classes.join(hubs, "gid", "left").withColumn("hub", F.coalesce("hub", "gid")).withColumn("key", F.shiftrightunsigned(F.xxhash64("hub"), 1))
     weight = 1 + F.col("n") / 2000
     total = classes.agg(F.sum(weight).alias("w")).first()["w"] or 1.0
     ranges = max(1, int(total / _BLOCK))
-    dealt = classes.withColumn("range", F.floor(F.col("key") / (float(1 << 63) / ranges)).cast("long"))
+    dealt = keyed.withColumn("range", F.floor(F.col("key") / (float(1 << 63) / ranges)).cast("long"))
     split = dealt.groupBy("range").agg(F.ceil(F.sum(weight) / (1.5 * _BLOCK)).alias("ways"))
     return dealt.join(split, "range").withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("ways"))).drop("range", "ways", "key")
 
@@ -155,17 +164,14 @@ def _needed(n, band):
     return F.least(own, other)
 
 
-def jobs(stored_prefixes: DataFrame, classes: DataFrame) -> DataFrame:
+def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
-    each = Window.partitionBy("token")
-    tokens = stored_prefixes.select(F.explode("prefix").alias("token"), "gid")
-    shared = tokens.withColumn("low", F.min("gid").over(each)).withColumn("high", F.max("gid").over(each)).where("low < high").select("token", "gid").distinct()
-    places = stored(classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.count("*").alias("members")), "jaccard-places")
-    entries = stored(shared.join(places.select("gid", "block", "n", _band(F.col("n")).alias("band"), "members"), "gid"), "jaccard-entries")
-    # Group pairs are filtered by size, and by how many prefix shingles a group shares with one block's groups of one size band.
-    cells = entries.groupBy("token", F.col("block").alias("to"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
-    met = entries.join(cells, "token").where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("block") != F.col("to")) | (F.col("band") != F.col("to_band")) | (F.col("groups") > 1)))
-    near = met.groupBy("gid", "block", "n", "to", "to_band").agg(F.count("*").alias("c")).where(F.col("c") >= _needed(F.col("n"), F.col("to_band")))
+    places = stored(classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.count("*").alias("members")), "jaccard-places")
+    entries = stored(shared.drop("low").join(places.select("gid", "block", "hub", "n", _band(F.col("n")).alias("band")), "gid"), "jaccard-entries")
+    # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one hub and size band.
+    cells = entries.groupBy("token", F.col("block").alias("to"), F.col("hub").alias("to_hub"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
+    met = entries.join(cells, "token").where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("block") != F.col("to")) | (F.col("hub") != F.col("to_hub")) | (F.col("band") != F.col("to_band")) | (F.col("groups") > 1)))
+    near = met.groupBy("gid", "block", "n", "to", "to_hub", "to_band").agg(F.count("*").alias("c")).where(F.col("c") >= _needed(F.col("n"), F.col("to_band")))
     pairs = near.select(F.least("block", "to").alias("b1"), F.greatest("block", "to").alias("b2"), "block", "gid")
     # Members of one group share the whole prefix; they are compared wherever they lie.
     own = places.select("gid", "block", "members")
@@ -174,32 +180,79 @@ def jobs(stored_prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def _verified(rows: pa.Table) -> pa.Table:
-    """A spanning forest of the links among the sets of one pair of blocks."""
-    # A document that is there twice brings its set twice.
-    once = {n: i for i, n in enumerate(rows.column("node").to_pylist())}
-    rows = rows.take(pa.array(list(once.values())))
-    nodes = list(once)
-    lists = [np.frombuffer(x, _U) for x in rows.column("values").to_pylist()]
-    size = np.array([len(x) for x in lists], np.int64)
-    owner = np.repeat(np.arange(len(lists)), size)
+def _columns(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(list, column) of every value that several lists share, by column."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     _, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     number = np.cumsum(times > 1) - 1
     use = times[place] > 1
     owner, column = owner[use], number[place[use]]
-    shared = np.zeros((len(lists), len(lists)), np.float32)
     order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    return owner[order], column[order]
+
+
+def _common(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each pair of lists shares, by products of slabs of a 0/1 matrix."""
+    owner, column = _columns(lists)
+    shared = np.zeros((len(lists), len(lists)), np.float32)
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
         a, b = np.searchsorted(column, [low, low + 8192])
         part = np.zeros((len(lists), int(column[b - 1]) - low + 1), np.float32)
         part[owner[a:b], column[a:b] - low] = 1
         shared += part @ part.T
-    both = shared.astype(np.int64)
-    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
-    np.fill_diagonal(linked, False)
-    found = forest(linked)
-    return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+    return shared.astype(np.int64)
+
+
+def _once(rows: pa.Table) -> pa.Table:
+    """Each node of a group once; a document that is there twice brings its set twice."""
+    first = {n: i for i, n in enumerate(rows.column("node").to_pylist())}
+    return rows.take(pa.array(list(first.values())))
+
+
+def _screened(known: np.ndarray, counts: np.ndarray):
+    """The members of each pair of blocks that their prefixes leave a possible partner.
+
+    Up to the place where the first of two prefixes ends all is known of both sets, so they overlap by at most the shingles
+    shared there and what the shorter rest could add.
+    """
+    def run(batches):
+        for rows in groups(batches, ["b1", "b2"]):
+            rows = _once(rows)
+            lists = [np.asarray(x, np.int64).view(_U) for x in rows.column("prefix").to_pylist()]
+            n = rows.column("n").to_numpy()
+            if len(n) < 2:
+                continue
+            value, place = np.unique(np.concatenate(lists), return_inverse=True)
+            weight = np.zeros(len(value), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                weight = np.where(known[at] == value, counts[at], 0)
+            rank = np.empty(len(value), np.int64)
+            rank[np.lexsort((value, weight))] = np.arange(len(value))
+            ranks = np.split(rank[place], np.cumsum([len(x) for x in lists])[:-1])  # each in order
+            ends = np.array([r[-1] for r in ranks])
+            seen = np.stack([np.searchsorted(r, np.minimum(ends, r[-1]), "right") for r in ranks])
+            most = _common(lists) + np.minimum(n[:, None] - seen, n[None, :] - seen.T)
+            possible = (100 + PERCENT) * most >= PERCENT * (n[:, None] + n[None, :])
+            possible &= (100 * n[:, None] >= PERCENT * n[None, :]) & (100 * n[None, :] >= PERCENT * n[:, None])
+            np.fill_diagonal(possible, False)
+            keep = pa.array(np.flatnonzero(possible.any(1)))
+            yield from rows.select(["b1", "b2", "node", "rep"]).take(keep).to_batches()
+    return run
+
+
+def _verified(batches):
+    """A spanning forest of the links among the sets of each pair of blocks."""
+    for rows in groups(batches, ["b1", "b2"]):
+        rows = _once(rows)
+        nodes = rows.column("node").to_pylist()
+        lists = [np.frombuffer(x, _U) for x in rows.column("values").to_pylist()]
+        size = np.array([len(x) for x in lists], np.int64)
+        both = _common(lists)
+        linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+        np.fill_diagonal(linked, False)
+        found = forest(linked)
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.binary()), pa.array([nodes[j] for _, j in found], pa.binary())], ["a", "b"])
 
 
 def _values(batches):
@@ -218,15 +271,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     root names the component where ids don't (null for empty sets), text_hash tells rows with one doc_id apart.
     """
     docs = texts(docs)
-    rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_prefixes(*frequent(docs)), _PREFIXES), "jaccard-prefixes")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("key").alias("key"))
-    classes = stored(blocks(stored(classes, "jaccard-classes")), "jaccard-blocks")
-    work = jobs(rows, classes)
-    members = work.join(classes.select("gid", "block", "node", "rep"), ["gid", "block"]).select("b1", "b2", "node", "rep")
-    members = stored(members.withColumn("all", F.count("*").over(Window.partitionBy("b1", "b2"))).where("all > 1").drop("all"), "jaccard-members")
-    asked = members.select("node", "rep").distinct()
+    order = frequent(docs)
+    rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_prefixes(*order), _PREFIXES), "jaccard-prefixes")
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+    shared = shared_tokens(rows)
+    classes = stored(blocks(stored(classes, "jaccard-classes"), shared), "jaccard-blocks")
+    work = jobs(shared, classes)
+    members = work.join(classes.select("gid", "block", "node", "rep", "n"), ["gid", "block"]).select("b1", "b2", "node", "rep", "n")
+    members = members.withColumn("all", F.count("*").over(Window.partitionBy("b1", "b2"))).where("all > 1").drop("all")
+    lists = rows.where(F.size("prefix") > 0).select("node", "prefix")
+    close = members.join(lists, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(_screened(*order), "b1 long, b2 long, node binary, rep long")
+    close = stored(close, "jaccard-members")
+    asked = close.select("node", "rep").distinct()
     held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary")
-    edges = members.join(held, "node").groupBy("b1", "b2").applyInArrow(_verified, "a binary, b binary")
+    dealt = close.select("b1", "b2", "node").join(held, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    edges = stored(dealt.mapInArrow(_verified, "a binary, b binary"), "jaccard-links")
     return _labelled(rows, classes, components(edges))
 
 
