@@ -60,6 +60,16 @@ def verdict_counts(judged_rows: DataFrame, keys=("chat_id",)) -> DataFrame:
     )
 
 
+def file_counts(exports: DataFrame, judged_rows: DataFrame) -> DataFrame:
+    """(file, added, duplicates, placeholders, undated) of every export file. Copies that another file of the
+    same call brought as well were dropped before the archive was asked; they are duplicates too."""
+    came = exports.groupBy(F.col("src_file").alias("file")).agg(F.count("*").alias("_came"))
+    judged_counts = verdict_counts(judged_rows, ["src_file"]).withColumnRenamed("src_file", "file")
+    undated = judged_rows.where((F.col("verdict") == "new") & F.col("dt").isNull()).groupBy(F.col("src_file").alias("file")).agg(F.count("*").alias("undated"))
+    rows = came.join(judged_counts, "file", "left").join(undated, "file", "left").fillna(0, ["added", "duplicates", "placeholders", "undated"])
+    return rows.select("file", "added", (F.col("_came") - F.col("added") - F.col("placeholders")).alias("duplicates"), "placeholders", "undated")
+
+
 def combined_exports(exports: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Several exports in one, as if merged one after another: of a text's copies the largest
     per-file number stays. `exports` carries src_file and seq within the file."""

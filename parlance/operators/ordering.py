@@ -58,15 +58,15 @@ def dense_position(df: DataFrame, out: str = "pos", keys=("chat_id",), cell_rows
 
 
 def resequence(df: DataFrame, time: str, ties, keys=("chat_id",), out: str = "seq",
-               cell_rows: int = CELL_ROWS) -> DataFrame:
+               cell_rows: int = CELL_ROWS, cell: Column | None = None) -> DataFrame:
     """Dense position from 0 in (time, *ties) order per key; rows without a time go last.
 
     The last tie column is a unique integer. Cells are (time, leading ties, last tie div
-    cell_rows): at minute precision there are at most 1,440 times in a day, so the offset
+    cell_rows, or `cell`, an integer that never falls as the last tie rises): at minute precision there are at most 1,440 times in a day, so the offset
     windows per day and over days stay calendar-sized.
     """
     keys, ties = list(keys), list(ties)
-    fine = F.expr(f"{ties[-1]} div {cell_rows}")
+    fine = F.expr(f"{ties[-1]} div {cell_rows}") if cell is None else cell
     when = F.coalesce(F.col(time), F.expr(_END_OF_TIME))
     names = ["_t", *(f"_k{i}" for i in range(len(ties)))]
     cut = df.withColumns(dict(zip(names, [when, *map(F.col, ties[:-1]), fine])))

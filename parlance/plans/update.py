@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.model import Profile
-from parlance.operators import merge, segments
+from parlance.operators import merge, segments, terms
 from parlance.operators.enrich import enrich
 from parlance.plans.bundle import bundle
 from parlance.session import materialize
@@ -16,6 +16,7 @@ from parlance.sources import identities as ids
 from parlance.sources import sinks
 from parlance.sources.lines import read_lines
 from parlance.sources.raw_export import parse_export
+from parlance.sources.tables import default_baseline
 
 ARCHIVE = T.StructType([
     T.StructField("chat_id", T.LongType()),
@@ -48,23 +49,26 @@ def archive_rows(normalized: DataFrame) -> DataFrame:
 
 def merge_lines(spark: SparkSession, paths, root: str, claims: DataFrame, chat_id=None) -> DataFrame:
     """Merges export files into the published archive, logs it, and returns the new archive."""
-    incoming = archive_rows(normalize(read_lines(spark, paths, chat_id), claims))
-    incoming = materialize(merge.combined_exports(incoming), "incoming")
+    exports = materialize(archive_rows(normalize(read_lines(spark, paths, chat_id), claims)), "exports")
+    incoming = materialize(merge.combined_exports(exports), "incoming")
     old = sinks.read_snapshot(spark, root, ARCHIVE)
     judged = materialize(merge.judged(old, incoming), "judged")
     new_path = sinks.publish_snapshot(merge.merged(old, judged).select(*ARCHIVE.names), root)
-    counts = merge.verdict_counts(judged, ["src_file"]).withColumnRenamed("src_file", "file")
-    sinks.append_log(sinks.log_rows(counts, sinks.file_hashes(spark, paths)), root)
+    sinks.append_log(sinks.log_rows(merge.file_counts(exports, judged), sinks.file_hashes(spark, paths)), root)
     return spark.read.schema(ARCHIVE).parquet(new_path)
 
 
 def update(spark: SparkSession, paths, root: str, claims: DataFrame, profile: Profile | None = None,
-           names: DataFrame | None = None, baseline: DataFrame | None = None, chat_id=None, sections=None) -> dict[str, DataFrame]:
+           names: DataFrame | None = None, baseline: DataFrame | None = None, chat_id=None, sections=None,
+           identities: DataFrame | None = None) -> dict[str, DataFrame]:
     """Merge, then refresh in order: segments first, since the text statistics slice by them.
-    Without files the tables are refreshed from the archive as it stands."""
+    Without files the tables are refreshed from the archive as it stands. `identities` (name, aliases)
+    keeps members' names out of the word tables; without `baseline` words are held against the default one."""
     profile = profile or Profile()
+    base = terms.baseline_counts(default_baseline(spark)) if baseline is None else baseline
+    stopwords = None if identities is None else terms.name_stopwords(identities, base)
     archive = merge_lines(spark, paths, root, claims, chat_id) if paths else sinks.read_snapshot(spark, root, ARCHIVE)
     messages = materialize(enrich(ar.messages_from_blocks(archive)), "messages")
     table = materialize(segments.segment_table(messages, profile, names), "segments")
     return {"archive": archive, "messages": messages, "segments": table,
-            **bundle(messages, profile, table, ids.unambiguous(claims), baseline, sections=sections)}
+            **bundle(messages, profile, table, ids.unambiguous(claims), base, stopwords, sections=sections)}

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HASHED = 1 << 30
+from parlance.sources.lines import read_lines
+
+HASHED_LINES = 4096
 VERSIONS = T.StructType([
     T.StructField("version", T.LongType()), T.StructField("path", T.StringType()), T.StructField("at", T.TimestampType()),
 ])
@@ -42,10 +44,12 @@ def publish_snapshot(archive: DataFrame, root: str) -> str:
     the way leaves the old snapshot in place; readers never see half of one."""
     spark = archive.sparkSession
     path = f"{root}/snapshot-{uuid.uuid4().hex}"
-    archive.repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq").write.parquet(path)
     known = current_version(spark, root)
-    row = spark.range(1).select(F.lit(known[0] + 1 if known else 1).cast("long").alias("version"), F.lit(path).alias("path"), F.current_timestamp().alias("at"))
-    row.coalesce(1).write.mode("append").json(f"{root}/versions")
+    archive.repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq").write.parquet(path)
+    version = known[0] + 1 if known else 1
+    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(path).alias("path"), F.current_timestamp().alias("at"))
+    # A folder per version: a second writer of the same version fails here instead of hiding this merge.
+    row.coalesce(1).write.mode("error").json(f"{root}/versions/number={version}")
     return path
 
 
@@ -56,17 +60,35 @@ def read_snapshot(spark: SparkSession, root: str, schema) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths) -> DataFrame:
-    """(file, sha256) of source files. A file too long for one binary value has no hash."""
-    files = spark.read.format("binaryFile").load(paths)
-    hashed = files.where(F.col("length") < MAX_HASHED).select("path", F.sha2("content", 256).alias("sha256"))
-    return files.select("path").join(hashed, "path", "left").withColumnRenamed("path", "file")
+    """(file, sha256) of source files of any length: the hash over the hashes of each 4,096 lines.
+
+    Lines are numbered through the file, so the result doesn't depend on how it is split.
+    """
+    lines = read_lines(spark, paths).select("file", "block", "pos", "value")
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("pos"))
+    cut = lines.withColumn("_n", place)
+    sizes = cut.groupBy("file", "block").agg(F.max("_n").alias("_size"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    numbered = cut.join(starts, ["file", "block"]).select("file", (F.col("_start") + F.col("_n") - 1).alias("n"), "value")
+    pieces = numbered.groupBy("file", F.floor(F.col("n") / HASHED_LINES).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("_lines"))
+    hashed = pieces.select("file", "piece", F.sha2(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"), 256).alias("h"))
+    whole = hashed.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("piece", "h"))).alias("_hashes"))
+    return whole.select("file", F.sha2(F.array_join(F.transform("_hashes", lambda x: x["h"]), "\n"), 256).alias("sha256"))
 
 
 def log_rows(counts: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
-    """Merge log rows from per-file verdict counts, with a note where there is something to say."""
-    hashed = counts.join(hashes, "file", "left") if hashes is not None else counts.withColumn("sha256", F.lit(None).cast("string"))
-    note = F.when(F.col("placeholders") > 0, F.format_string("%d placeholder line(s) skipped: the archive has content in their slots", "placeholders"))
-    return hashed.withColumns({"merged_at": F.current_timestamp(), "note": note})
+    """Merge log rows from per-file verdict counts, one for every hashed file too, with a note where there is something to say."""
+    if hashes is None:
+        rows = counts.withColumn("sha256", F.lit(None).cast("string"))
+    else:
+        names = [c for c in counts.columns if c != "file"]
+        rows = hashes.join(counts, "file", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
+    said = [F.when(F.col("placeholders") > 0, F.format_string("%d placeholder line(s) skipped: the archive has content in their slots", "placeholders"))]
+    if "undated" in counts.columns:
+        said.append(F.when(F.col("undated") > 0, F.format_string("%d undated row(s) appended at the end", "undated")))
+    note = F.concat_ws("; ", *said)
+    return rows.withColumns({"merged_at": F.current_timestamp(), "note": F.when(note != "", note)})
 
 
 def append_log(rows: DataFrame, root: str) -> None:
