@@ -164,12 +164,9 @@ def close_pairs(cut: DataFrame, n: int) -> DataFrame:
     levels = [cut.select("id", "dim", "low", "high")]
     while n > FAN:
         n = -(-n // FAN)
-        fold = lambda c, f: F.array(*[f(F.element_at(c, k + 1)) for k in range(BOX)])
-        up = levels[-1].withColumn("up", F.floor(F.col("id") / FAN)).select(
-            "up", F.struct("dim").alias("dims"), *[F.transform(F.sequence(F.lit(1), F.lit(BOX)), lambda k, c=c: F.get(F.col(c), k - 1)).alias(c) for c in ("low", "high")])
-        levels.append(stored(up.groupBy("up").agg(
-            F.when(F.min("dims.dim") == F.max("dims.dim"), F.min("dims.dim")).alias("dim"), fold(F.col("low"), F.min).alias("low"), fold(F.col("high"), F.max).alias("high")
-        ).select(F.col("up").alias("id"), "dim", *[F.filter(c, lambda x: x.isNotNull()).alias(c) for c in ("low", "high")]), "vector-level"))
+        fold = lambda c, f: F.filter(F.array(*[f(F.get(c, F.lit(k))) for k in range(BOX)]), lambda x: x.isNotNull()).alias(c)
+        one_length = F.when(F.min("dim") == F.max("dim"), F.min("dim")).alias("dim")
+        levels.append(stored(levels[-1].groupBy(F.floor(F.col("id") / FAN).alias("id")).agg(one_length, fold("low", F.min), fold("high", F.max)), "vector-level"))
     pairs = None
     for boxes in reversed(levels):
         named = lambda s: boxes.select(F.col("id").alias(s), F.floor(F.col("id") / FAN).alias(f"up_{s}"), F.col("dim").alias(f"dim_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}"))  # noqa: E731, B023
