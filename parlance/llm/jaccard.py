@@ -36,6 +36,8 @@ _BLOCK = 200
 BAND = 1.08
 _FAR_BANDS = int(np.log(100 / PERCENT) / np.log(BAND)) + 1
 _U = np.uint64
+#: Rare shingles up to this hash, a fifth of them; a prefix of a quarter of a set mostly reaches beyond.
+REGION = _U(int(0.2 * 2**64))
 
 
 def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,6 +108,12 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
                 chosen = place < np.repeat(length, size)
                 prefix = ranked[chosen]
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, length, 0))])
+                # How much of a set lies beyond a region that its prefix covers; all of it where the prefix ends before.
+                inner = np.concatenate([[0], np.cumsum((weight == 0) & (value < REGION))])
+                last = bounds[:-1][size > 0] + length[size > 0] - 1
+                covered = np.zeros(len(size), bool)
+                covered[size > 0] = (weight[order][last] > 0) | (ranked[last] >= REGION)
+                rest = size - np.where(covered, inner[bounds[1:]] - inner[bounds[:-1]], 0)
                 group = W.mix(_sums(prefix, ends, 0x3C6EF372) ^ size.astype(_U))
                 nodes = digests(value, bounds)
                 lists = []
@@ -117,11 +125,11 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
                         met = set()
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(group.view(np.int64)),
-                    pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "prefix"])
+                    pa.array(rest, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "rest", "prefix"])
     return run
 
 
-_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, prefix array<long>"
+_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, rest long, prefix array<long>"
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -152,26 +160,28 @@ def _band(n):
     return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
 
 
-def _needed(n, band):
+def _needed(n, band, rest):
     """Prefix shingles that a set of n shares at least with an alike one whose size lies in a band.
 
     At most n - o of a set's n shingles are missing in one it overlaps by o, and of the two prefixes the one that ends first
-    lies within the reach of the other, so the prefixes share at least o - ceil(0.75 n) + 1, n being its size.
+    lies within the reach of the other, so the prefixes share at least o - ceil(0.75 n) + 1, n being its size. And what two
+    prefixes don't show of their overlap lies beyond the region both cover: at most the smaller rest.
     """
     low, high = F.floor(F.pow(F.lit(BAND), band)), F.ceil(F.pow(F.lit(BAND), band + 1))
     own = F.ceil((n + low) * PERCENT / (100 + PERCENT)) - F.ceil(n * PERCENT / 100) + 1
     other = (n + high) * PERCENT / (100 + PERCENT) - high * PERCENT / 100
-    return F.least(own, other)
+    return F.greatest(F.least(own, other), F.ceil((n + low) * PERCENT / (100 + PERCENT)) - rest)
 
 
 def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
-    places = stored(classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.count("*").alias("members")), "jaccard-places")
-    entries = stored(shared.drop("low").join(places.select("gid", "block", "hub", "n", _band(F.col("n")).alias("band")), "gid"), "jaccard-entries")
+    places = stored(classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.max("rest").alias("rest"), F.count("*").alias("members")), "jaccard-places")
+    entries = stored(shared.drop("low").join(places.select("gid", "block", "hub", "n", "rest", _band(F.col("n")).alias("band")), "gid"), "jaccard-entries")
     # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one hub and size band.
-    cells = entries.groupBy("token", F.col("block").alias("to"), F.col("hub").alias("to_hub"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
+    cells = entries.groupBy("token", F.col("block").alias("to"), F.col("hub").alias("to_hub"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"), F.max("rest").alias("to_rest"))
     met = entries.join(cells, "token").where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("block") != F.col("to")) | (F.col("hub") != F.col("to_hub")) | (F.col("band") != F.col("to_band")) | (F.col("groups") > 1)))
-    near = met.groupBy("gid", "block", "n", "to", "to_hub", "to_band").agg(F.count("*").alias("c")).where(F.col("c") >= _needed(F.col("n"), F.col("to_band")))
+    near = met.groupBy("gid", "block", "n", "to", "to_hub", "to_band").agg(F.count("*").alias("c"), F.first("rest").alias("rest"), F.max("to_rest").alias("to_rest"))
+    near = near.where(F.col("c") >= _needed(F.col("n"), F.col("to_band"), F.least("rest", "to_rest")))
     pairs = near.select(F.least("block", "to").alias("b1"), F.greatest("block", "to").alias("b2"), "block", "gid")
     # Members of one group share the whole prefix; they are compared wherever they lie.
     own = places.select("gid", "block", "members")
@@ -273,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     order = frequent(docs)
     rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_prefixes(*order), _PREFIXES), "jaccard-prefixes")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("rest").alias("rest"))
     shared = shared_tokens(rows)
     classes = stored(blocks(stored(classes, "jaccard-classes"), shared), "jaccard-blocks")
     work = jobs(shared, classes)
