@@ -34,8 +34,8 @@ def alias_key(label: Column) -> Column:
     return strip(folded(strip(F.regexp_replace(strip(bare), NON_CONTACT_PREFIX, ""))))
 
 
-def chain_form(text: Column) -> Column:
+def chain_form(text: Column, ascii_only: bool = False) -> Column:
     """Message text as chains compare it: folded, no punctuation or plain symbols, emoji kept;
-    placeholders come out empty."""
-    bare = squeeze(F.regexp_replace(folded(text), r"[\p{P}\p{Sm}\p{Sc}\p{Sk}]", ""))
+    placeholders come out empty. For ASCII texts folding is lower case, without leaving the JVM."""
+    bare = squeeze(F.regexp_replace(F.lower(text) if ascii_only else folded(text), r"[\p{P}\p{Sm}\p{Sc}\p{Sk}]", ""))
     return F.when(bare.rlike(CHAIN_PLACEHOLDERS), "").otherwise(bare)

@@ -29,9 +29,12 @@ BLOCK_CHAINS = "chat_id long, block long, cycle_length long, members long, first
 def chain_rows(enriched: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
     """(keys, pos, seq, ts, sender, text, norm): the sequence chains are looked for in. System rows
     are not in it; placeholders are, with an empty `norm` that matches nothing."""
-    norm = F.when(F.col("is_real_text"), chain_form(F.col("text"))).otherwise("")
-    rows = spoken(enriched).select(*keys, "seq", "ts", "sender", "text", norm.alias("norm"))
-    return dense_position(rows, "pos", keys, cell_rows)
+    rows = spoken(enriched).select(*keys, "seq", "ts", "sender", "text", "is_real_text")
+    # Only texts that need Unicode folding go through Python.
+    folds = F.col("is_real_text") & F.col("text").rlike(r"[^\x00-\x7f]")
+    simple = F.when(F.col("is_real_text"), chain_form(F.col("text"), ascii_only=True)).otherwise("")
+    both = rows.where(~folds).withColumn("norm", simple).unionByName(rows.where(folds).withColumn("norm", chain_form(F.col("text"))))
+    return dense_position(both.drop("is_real_text"), "pos", keys, cell_rows)
 
 
 def exact_runs(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:

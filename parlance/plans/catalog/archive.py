@@ -294,7 +294,7 @@ def stored_normalized_export(spark, sf):
 @query(RAW + ", x AS (SELECT len(string_split(block_text, chr(10))) AS n FROM bl UNION ALL SELECT 1 FROM j) SELECT CAST(SUM(n) AS BIGINT) AS lines FROM x")
 def ordered_archive_text(spark, sf):
     path = _folder(spark, "text")
-    rows = archive_rows(normalize(export_lines(spark, sf), claims(spark, sf)))
+    rows = resequence(archive_rows(normalize(export_lines(spark, sf), claims(spark, sf))), "dt", ["src_file", "seq"])
     sinks.write_ordered_text(rows, path)
     return spark.read.text(path).agg(F.count("*").alias("lines"))
 
@@ -352,15 +352,21 @@ def streamed_exports(spark, sf):
     FROM e WHERE NOT is_system WINDOW w AS (PARTITION BY chat_id ORDER BY seq)), i AS (SELECT *, SUM(f) OVER (PARTITION BY chat_id ORDER BY seq) AS k FROM g)
     SELECT chat_id, MIN(ts) AS start_ts, MAX(ts) AS end_ts, COUNT(*) AS messages FROM i GROUP BY chat_id, k""")
 def streamed_conversations(spark, sf):
-    source = spark.readStream.schema(views.table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    events = views.table(spark, sf, "events")
+    # A row long after the last one closes all sessions but its own, which is never given out.
+    closing = _folder(spark, "closing")
+    events.agg(F.max(F.struct("ts", "event_id")).alias("e"), F.first("props").alias("props")).select(
+        F.col("e.event_id").alias("event_id"), (F.col("e.ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(1).cast("long").alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(0.0).alias("value"), "props").select(events.columns).write.parquet(closing)
+    stream = spark.readStream.schema(events.schema)
+    source = stream.parquet(f"{sf}/events*.parquet").unionByName(stream.parquet(closing))
     rows = source.selectExpr(*(f"{e} AS {c}" for c, e in views._EVENTS.items()), "ts").withColumn("ts", tm.to_minute(F.col("ts")))
     sessions = stream_conversations(rows, Profile(conversation_gap_hours=1))
     out = _folder(spark, "sessions")
-    run = (sessions.writeStream.outputMode("complete").option("checkpointLocation", _folder(spark, "checkpoint"))
+    run = (sessions.writeStream.outputMode("append").option("checkpointLocation", _folder(spark, "checkpoint"))
            .foreachBatch(lambda df, n: df.write.parquet(f"{out}/batch={n}")).trigger(availableNow=True).start())
     run.awaitTermination()
-    batches = spark.read.parquet(out)
-    return batches.join(batches.agg(F.max("batch").alias("batch")), "batch").drop("batch")
+    return spark.read.parquet(out).drop("batch")
 
 
 @query("""SELECT text FROM benchmark UNION ALL SELECT concat('about ', n_name, ' and ', r_name) FROM nation CROSS JOIN region""")
