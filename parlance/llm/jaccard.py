@@ -175,14 +175,19 @@ def _needed(n, band, rest):
 
 def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
-    places = stored(classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.max("rest").alias("rest"), F.count("*").alias("members")), "jaccard-places")
-    entries = stored(shared.drop("low").join(places.select("gid", "block", "hub", "n", "rest", _band(F.col("n")).alias("band")), "gid"), "jaccard-entries")
-    # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one hub and size band.
-    cells = entries.groupBy("token", F.col("block").alias("to"), F.col("hub").alias("to_hub"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"), F.max("rest").alias("to_rest"))
-    met = entries.join(cells, "token").where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("block") != F.col("to")) | (F.col("hub") != F.col("to_hub")) | (F.col("band") != F.col("to_band")) | (F.col("groups") > 1)))
-    near = met.groupBy("gid", "block", "n", "to", "to_hub", "to_band").agg(F.count("*").alias("c"), F.first("rest").alias("rest"), F.max("to_rest").alias("to_rest"))
-    near = near.where(F.col("c") >= _needed(F.col("n"), F.col("to_band"), F.least("rest", "to_rest")))
-    pairs = near.select(F.least("block", "to").alias("b1"), F.greatest("block", "to").alias("b2"), "block", "gid")
+    places = classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.max("rest").alias("rest"), F.count("*").alias("members"))
+    places = places.withColumn("band", _band(F.col("n")))
+    # A cell: the groups of one block, hub and size band.
+    places = stored(places.withColumn("cell", F.xxhash64("block", "hub", "band")), "jaccard-places")
+    entries = stored(shared.select("token", "gid").join(places.select("gid", "cell"), "gid"), "jaccard-entries")
+    # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one cell.
+    counts = entries.groupBy("token", F.col("cell").alias("to")).agg(F.count("*").alias("groups"))
+    met = entries.join(counts, "token").where((F.col("cell") != F.col("to")) | (F.col("groups") > 1))
+    met = met.groupBy("gid", "cell", "to").agg(F.count("*").alias("c"))
+    others = places.groupBy(F.col("cell").alias("to")).agg(F.first("block").alias("to_block"), F.first("band").alias("to_band"), F.max("rest").alias("to_rest"))
+    near = met.join(places.select("gid", "cell", "block", "n", "band", "rest"), ["gid", "cell"]).join(others, "to")
+    near = near.where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & (F.col("c") >= _needed(F.col("n"), F.col("to_band"), F.least("rest", "to_rest"))))
+    pairs = near.select(F.least("block", "to_block").alias("b1"), F.greatest("block", "to_block").alias("b2"), "block", "gid")
     # Members of one group share the whole prefix; they are compared wherever they lie.
     own = places.select("gid", "block", "members")
     crowds = own.join(own.select("gid", F.col("block").alias("to")), "gid").where("block <> to OR members > 1")
@@ -292,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = rows.where(F.size("prefix") > 0).select("node", "prefix")
     close = members.join(lists, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(_screened(*order), "b1 long, b2 long, node binary, rep long")
     close = stored(close, "jaccard-members")
-    asked = close.select("node", "rep").distinct()
+    asked = close.select("node", "rep").distinct().hint("merge")  # no bound on their number
     held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary")
     dealt = close.select("b1", "b2", "node").join(held, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
     edges = stored(dealt.mapInArrow(_verified, "a binary, b binary"), "jaccard-links")
