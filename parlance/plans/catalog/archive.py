@@ -270,6 +270,17 @@ def chronological_order(spark, sf):
     return resequence(rows, "ts", ["back"], cell_rows=512).select("chat_id", "event_id", "seq")
 
 
+# Direction marks around a line, and characters inside it that some read as line ends.
+@query("""SELECT conv_id % 2 AS chat_id, concat('P', turn) AS sender, concat('a', chr(8232), 'b', chr(133), 'c', chr(8233), ' ', replace(text, chr(10), ' '), '.') AS msg,
+    COUNT(*) AS n FROM conversations GROUP BY ALL""")
+def separated_lines(spark, sf):
+    said = F.concat(F.lit("a\u2028b\u0085c\u2029 "), F.translate("text", "\n", " "), F.lit("."))
+    value = F.concat(F.lit("\u200e\u202a2024-01-02 10:00:00 P"), F.col("turn").cast("string"), F.lit(": "), said, F.lit("\u202c"))
+    lines = views.table(spark, sf, "conversations").select(
+        (F.col("conv_id") % 2).alias("chat_id"), F.lit("separated").alias("file"), F.col("conv_id").alias("block"), F.col("turn").alias("pos"), value.alias("value"))
+    return parse_export(lines).groupBy("chat_id", "sender", "msg").agg(F.count("*").alias("n"))
+
+
 # ---- sinks, update, streams ----
 
 def _folder(spark, name: str) -> str:

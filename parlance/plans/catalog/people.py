@@ -122,6 +122,18 @@ def mention_edges(spark, sf):
     return edges(spark, sf)
 
 
+@query(E + """, p AS (SELECT chat_id, sender FROM e WHERE NOT is_system GROUP BY 1, 2 HAVING COUNT(*) >= 10),
+    a AS (SELECT chat_id, sender AS src, concat('User ', regexp_extract(analysis_text, '@User (\\d+)', 1)) AS dst FROM e WHERE NOT is_system AND analysis_text LIKE '%@User %')
+    SELECT a.chat_id, src, dst, COUNT(*) AS cnt FROM a JOIN p ON a.chat_id = p.chat_id AND a.dst = p.sender GROUP BY 1, 2, 3""")
+def aliased_mentions(spark, sf):
+    """Mentions by a nickname only. Nicknames of people below the minimum name somebody, but count for nobody."""
+    rows = event_rows(spark, sf).withColumn("analysis_text", F.replace("analysis_text", F.lit("@User "), F.lit("@Nick Of ")))
+    people = rows.where("sender IS NOT NULL").select(F.col("sender").alias("canonical")).distinct()
+    aliases = people.select(F.replace("canonical", F.lit("User"), F.lit("Nick of")).alias("alias_key"), "canonical")
+    who = en.participants(rows, 10)
+    return mn.mention_edges(rows, mn.name_lookup(who, aliases, everyone=en.participants(rows)))
+
+
 @query(E + EDGES + """, s AS (SELECT chat_id, src AS sender, cnt AS given, 0 AS received FROM g UNION ALL SELECT chat_id, dst, 0, cnt FROM g)
     SELECT chat_id, sender, CAST(SUM(given) AS BIGINT) AS mentions_given, CAST(SUM(received) AS BIGINT) AS mentions_received FROM s GROUP BY 1, 2""")
 def mention_totals(spark, sf):

@@ -167,3 +167,48 @@ def test_big_file_in_many_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.msg for r in rows] == [f"message {i}" + "\nmore" * (i % 3) for i in range(3000)]
+
+
+def test_line_separators_do_not_end_a_line(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("13/12/2024, 10:00 - A: one\u2028two\n13/12/2024, 10:01 - B: x\u0085y\n\u200e13/12/2024, 10:02 - A: z\u2029\n", encoding="utf-8")
+    rows = parse_export(read_lines(spark, str(tmp_path / "s.txt"))).orderBy("entry").collect()
+    assert [(r.sender, r.time) for r in rows] == [("A", "10:00"), ("B", "10:01"), ("A", "10:02")]
+    assert [r.msg for r in rows][:2] == ["one\u2028two", "x\u0085y"]
+
+
+def test_log_of_several_files_in_one_call(spark, claims, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("13/12/2024, 10:00 - Alice Smith: hi\n13/12/2024, 10:01 - Bob: yes\n")
+    (tmp_path / "c.txt").write_text("no message here\n13/12/2024, 10:00 - Alice Smith: hi\n")
+    root = str(tmp_path / "root")
+    merge_lines(spark, str(tmp_path / "*.txt"), root, claims)
+    log = {r.file.rsplit("/", 1)[1]: r for r in spark.read.json(f"{root}/merge_log").collect()}
+    assert {n: (r.added, r.duplicates) for n, r in log.items()} == {"a.txt": (2, 0), "b.txt": (0, 2), "c.txt": (1, 1)}
+    assert log["c.txt"].note == "1 undated row(s) appended at the end"
+    assert log["a.txt"].sha256 == log["b.txt"].sha256 != log["c.txt"].sha256
+
+
+def test_hash_does_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("".join(f"line {i}\n" for i in range(20000)))
+    whole = sinks.file_hashes(spark, str(tmp_path / "big.txt")).first()["sha256"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        assert sinks.file_hashes(spark, str(tmp_path / "big.txt")).first()["sha256"] == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([], ARCHIVE)
+    sinks.publish_snapshot(rows, str(tmp_path))
+    monkeypatch.setattr(sinks, "current_version", lambda *_: None)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.publish_snapshot(rows, str(tmp_path))
+
+
+def test_rows_without_an_order_column(spark):
+    from parlance.sources.tables import from_table
+
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 9, i % 3), f"P{i % 5}", f"text {i}") for i in range(300)], "at timestamp_ntz, who string, said string")
+    got = from_table(rows, "at", "who", "said").orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(300)) and [r.ts for r in got] == sorted(r.ts for r in got)

@@ -132,3 +132,21 @@ def test_profile():
     assert choose_sections("words, Chains") == ["words", "chains"] and len(choose_sections(None)) == 10
     with pytest.raises(ValueError):
         choose_sections("nope")
+
+
+def test_aliases_of_filtered_people(spark):
+    """Taken out of the text, counted for nobody; shared with such a person an alias names no one."""
+    rows = [(minutes(i), "Ann", "x") for i in range(3)] + [(minutes(5), "Robert", "y"), (minutes(6), "Ann", "@Robert Smith said @Bo and @Annie")]
+    msgs = en.enrich(messages(spark, rows))
+    aliases = spark.createDataFrame([("Robert Smith", "Robert"), ("Bo", "Robert"), ("Bo", "Ann"), ("Annie", "Ann")], "alias_key string, canonical string")
+    lookup = mn.name_lookup(en.participants(msgs, 2), aliases, everyone=en.participants(msgs))
+    assert [(e.src, e.dst, e.cnt) for e in mn.mention_edges(msgs, lookup).collect()] == [("Ann", "Ann", 1)]
+    clean = mn.without_mentions(msgs, lookup).where("seq = 4").first().lexical_text
+    assert clean.split() == ["said", "and"]
+
+
+def test_default_baseline(spark):
+    from parlance.sources.tables import PLAIN_LINES, TEMPLATES, TOPICS, default_baseline
+
+    counts = {r.term: r.base_cnt for r in te.baseline_counts(default_baseline(spark)).collect()}
+    assert counts["music"] == len(TEMPLATES) and default_baseline(spark).count() == len(PLAIN_LINES) + len(TEMPLATES) * len(TOPICS)
