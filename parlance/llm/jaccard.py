@@ -179,14 +179,15 @@ def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     places = places.withColumn("band", _band(F.col("n")))
     # A cell: the groups of one block, hub and size band.
     places = stored(places.withColumn("cell", F.xxhash64("block", "hub", "band")), "jaccard-places")
-    entries = stored(shared.select("token", "gid").join(places.select("gid", "cell"), "gid"), "jaccard-entries")
+    entries = stored(shared.select("token", "gid").join(places.select("gid", "cell", "band"), "gid"), "jaccard-entries")
     # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one cell.
-    counts = entries.groupBy("token", F.col("cell").alias("to")).agg(F.count("*").alias("groups"))
-    met = entries.join(counts, "token").where((F.col("cell") != F.col("to")) | (F.col("groups") > 1))
+    counts = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
+    met = entries.join(counts, "token").where(
+        (F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("cell") != F.col("to")) | (F.col("groups") > 1)))
     met = met.groupBy("gid", "cell", "to").agg(F.count("*").alias("c"))
     others = places.groupBy(F.col("cell").alias("to")).agg(F.first("block").alias("to_block"), F.first("band").alias("to_band"), F.max("rest").alias("to_rest"))
-    near = met.join(places.select("gid", "cell", "block", "n", "band", "rest"), ["gid", "cell"]).join(others, "to")
-    near = near.where((F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & (F.col("c") >= _needed(F.col("n"), F.col("to_band"), F.least("rest", "to_rest"))))
+    near = met.join(places.select("gid", "cell", "block", "n", "rest"), ["gid", "cell"]).join(others, "to")
+    near = near.where(F.col("c") >= _needed(F.col("n"), F.col("to_band"), F.least("rest", "to_rest")))
     pairs = near.select(F.least("block", "to_block").alias("b1"), F.greatest("block", "to_block").alias("b2"), "block", "gid")
     # Members of one group share the whole prefix; they are compared wherever they lie.
     own = places.select("gid", "block", "members")
@@ -224,38 +225,6 @@ def _once(rows: pa.Table) -> pa.Table:
     return rows.take(pa.array(list(first.values())))
 
 
-def _screened(known: np.ndarray, counts: np.ndarray):
-    """The members of each pair of blocks that their prefixes leave a possible partner.
-
-    Up to the place where the first of two prefixes ends all is known of both sets, so they overlap by at most the shingles
-    shared there and what the shorter rest could add.
-    """
-    def run(batches):
-        for rows in groups(batches, ["b1", "b2"]):
-            rows = _once(rows)
-            lists = [np.asarray(x, np.int64).view(_U) for x in rows.column("prefix").to_pylist()]
-            n = rows.column("n").to_numpy()
-            if len(n) < 2:
-                continue
-            value, place = np.unique(np.concatenate(lists), return_inverse=True)
-            weight = np.zeros(len(value), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                weight = np.where(known[at] == value, counts[at], 0)
-            rank = np.empty(len(value), np.int64)
-            rank[np.lexsort((value, weight))] = np.arange(len(value))
-            ranks = np.split(rank[place], np.cumsum([len(x) for x in lists])[:-1])  # each in order
-            ends = np.array([r[-1] for r in ranks])
-            seen = np.stack([np.searchsorted(r, np.minimum(ends, r[-1]), "right") for r in ranks])
-            most = _common(lists) + np.minimum(n[:, None] - seen, n[None, :] - seen.T)
-            possible = (100 + PERCENT) * most >= PERCENT * (n[:, None] + n[None, :])
-            possible &= (100 * n[:, None] >= PERCENT * n[None, :]) & (100 * n[None, :] >= PERCENT * n[:, None])
-            np.fill_diagonal(possible, False)
-            keep = pa.array(np.flatnonzero(possible.any(1)))
-            yield from rows.select(["b1", "b2", "node", "rep"]).take(keep).to_batches()
-    return run
-
-
 def _verified(batches):
     """A spanning forest of the links among the sets of each pair of blocks."""
     for rows in groups(batches, ["b1", "b2"]):
@@ -292,14 +261,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = shared_tokens(rows)
     classes = stored(blocks(stored(classes, "jaccard-classes"), shared), "jaccard-blocks")
     work = jobs(shared, classes)
-    members = work.join(classes.select("gid", "block", "node", "rep", "n"), ["gid", "block"]).select("b1", "b2", "node", "rep", "n")
+    members = work.join(classes.select("gid", "block", "node", "rep"), ["gid", "block"]).select("b1", "b2", "node", "rep")
     members = members.withColumn("all", F.count("*").over(Window.partitionBy("b1", "b2"))).where("all > 1").drop("all")
-    lists = rows.where(F.size("prefix") > 0).select("node", "prefix")
-    close = members.join(lists, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2").mapInArrow(_screened(*order), "b1 long, b2 long, node binary, rep long")
-    close = stored(close, "jaccard-members")
-    asked = close.select("node", "rep").distinct().hint("merge")  # no bound on their number
+    members = stored(members, "jaccard-members")
+    asked = members.select("node", "rep").distinct().hint("merge")  # no bound on their number
     held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary")
-    dealt = close.select("b1", "b2", "node").join(held, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    dealt = members.select("b1", "b2", "node").join(held, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
     edges = stored(dealt.mapInArrow(_verified, "a binary, b binary"), "jaccard-links")
     return _labelled(rows, classes, components(edges))
 
