@@ -46,8 +46,13 @@ def _sum_if(condition, amount=1):
 
 
 def person_counts(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
-    """Counts that add up message by message. Rolled up per person and day first, so that
-    distinct days are a row count and a busy person is spread over their days."""
+    """Counts that add up message by message."""
+    return _counts_and_peak(lexical, profile, keys).drop("peak_hour")
+
+
+def _counts_and_peak(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
+    """The counts and the busiest hour, the earliest on ties, from one pass. Rolled up per person, day and
+    hour first, so that a busy person is spread over their days."""
     own = F.col("lexical_text")
     real = F.col("is_real_text")
     night, early = profile.night_owl_hours, profile.early_bird_hours
@@ -71,15 +76,23 @@ def person_counts(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> Da
         "early_messages": F.when(F.col("hour").between(early[0], early[1] - 1), 1),
     }
     sums = [F.sum(F.coalesce(c, F.lit(0)).cast("long")).alias(n) for n, c in per_message.items()]
-    days = spoken(lexical).groupBy(*keys, "sender", "date").agg(
+    hours = spoken(lexical).groupBy(*keys, "sender", "date", "hour").agg(
         *sums, F.min("ts").alias("first_message"), F.max("ts").alias("last_message"),
     )
-    return days.groupBy(*keys, "sender").agg(
-        *(F.sum(n).alias(n) for n in per_message),
+    at_hour = [F.sum(F.when(F.col("hour") == h, F.col("total_messages")).otherwise(0)) for h in range(24)]
+    days = hours.groupBy(*keys, "sender", "date").agg(
+        *(F.sum(n).alias(n) for n in per_message), *(c.alias(f"_h{h}") for h, c in enumerate(at_hour)),
+        F.min("first_message").alias("first_message"), F.max("last_message").alias("last_message"),
+    )
+    persons = days.groupBy(*keys, "sender").agg(
+        *(F.sum(n).alias(n) for n in per_message), *(F.sum(f"_h{h}").alias(f"_h{h}") for h in range(24)),
         F.count("*").alias("active_days"),
         F.min("first_message").alias("first_message"),
         F.max("last_message").alias("last_message"),
     )
+    most = F.array(*[F.col(f"_h{h}") for h in range(24)])
+    peak = (F.array_position(most, F.array_max(most)) - 1).cast("int")
+    return persons.withColumn("peak_hour", peak).drop(*(f"_h{h}" for h in range(24)))
 
 
 def vocabulary(lexical: DataFrame, keys=("chat_id",)) -> DataFrame:
@@ -131,13 +144,11 @@ def person_stats(lexical: DataFrame, people: DataFrame, profile: Profile, mentio
     """One row per participant with every metric. `mentions` is the (src, dst, cnt) edge table."""
     keys = list(keys)
     who = [*keys, "sender"]
-    totals = spoken(lexical).groupBy(*keys).agg(
-        F.count("*").alias("_all"),
-    ).join(
-        lexical.groupBy(*keys).agg((F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("_days")), keys,
-    )
-    table = people.select(*who, "rank").join(person_counts(lexical, profile, keys), who)
-    parts = [vocabulary(lexical, keys), peak_hours(lexical, keys), longest_by_person(lexical, keys),
+    totals = lexical.groupBy(*keys).agg((F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("_days"))
+    counted = _counts_and_peak(lexical, profile, keys)
+    counted = counted.withColumn("_all", F.sum("total_messages").over(Window.partitionBy(*keys)))
+    table = people.select(*who, "rank").join(counted, who)
+    parts = [vocabulary(lexical, keys), longest_by_person(lexical, keys),
              turn_taking(lexical, profile, keys, cell_rows)]
     if mentions is not None:
         parts.append(mentions.groupBy(*keys, F.col("src").alias("sender")).agg(F.sum("cnt").alias("mentions_given")))
