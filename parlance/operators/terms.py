@@ -41,13 +41,19 @@ def phrase_uses(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> Data
 def day_index(uses: DataFrame, keys=("chat_id",)) -> DataFrame:
     """(keys, term, sender, date): count, first and last use. The base of every term statistic
     and the one step that touches texts; materialize it where several of them are wanted."""
-    show = [F.min(F.struct("seq", "display")).alias("shown")] if "display" in uses.columns else []
-    return uses.groupBy(*keys, "term", "sender", "date").agg(
-        F.count("*").alias("cnt"),
-        F.min(F.struct("ts", "seq")).alias("first_at"),
-        F.max(F.struct(F.col("ts"), (-F.col("seq")).alias("back"))).alias("last_at"),
-        *show,
-    )
+    if "display" in uses.columns:  # a row per message, not per word
+        return uses.groupBy(*keys, "term", "sender", "date").agg(
+            F.count("*").alias("cnt"), F.min(F.struct("ts", "seq")).alias("first_at"),
+            F.max(F.struct(F.col("ts"), (-F.col("seq")).alias("back"))).alias("last_at"),
+            F.min(F.struct("seq", "display")).alias("shown"),
+        )
+    # Words by minute and then by day, on plain numbers, which Spark aggregates by hash. `seq` rises with time, so the first
+    # row of the last minute is the largest of the minutes' first rows.
+    minutes = uses.groupBy(*keys, "term", "sender", "date", "ts").agg(F.count("*").alias("cnt"), F.min("seq").alias("seq"))
+    days = minutes.groupBy(*keys, "term", "sender", "date").agg(
+        F.sum("cnt").alias("cnt"), F.min("ts").alias("_a"), F.min("seq").alias("_first"), F.max("ts").alias("_z"), F.max("seq").alias("_last"))
+    first, last = F.struct(F.col("_a").alias("ts"), F.col("_first").alias("seq")), F.struct(F.col("_z").alias("ts"), (-F.col("_last")).alias("back"))
+    return days.withColumns({"first_at": first, "last_at": last}).drop("_a", "_z", "_first", "_last")
 
 
 def person_index(index: DataFrame, keys=("chat_id",)) -> DataFrame:
