@@ -9,7 +9,7 @@ those are verified on whole sets.
 Nothing emits pairs of documents. Classes are dealt into blocks of bounded size in which alike ones lie together (by
 the group most of their shared prefix leads to), and the join yields pairs of blocks with the groups concerned; a task verifies one pair of blocks
 by a matrix product and returns a spanning forest of the links. A crowd of n near copies costs about
-(n / 200)**2 / 2 such tasks in many places, not a row per pair. The order rests on counts of the 65,536 most
+(n / 200)**2 / 2 such tasks in many places, not a row per pair. The order rests on counts of the 131,072 most
 frequent shingles, a list of fixed length that decides what work is done, never a result.
 
 Shingles are 64-bit hashes, sets 128-bit digests. Defined cases: null and empty texts have an empty set, link
@@ -30,8 +30,8 @@ from parlance.llm.columns import groups, stored, table, texts
 from parlance.llm.graph import components, forest
 
 PERCENT = 75
-FREQUENT = 1 << 16
-_SEEN = 16
+FREQUENT = 1 << 17
+_SEEN = 4
 _BLOCK = 200
 BAND = 1.08
 _FAR_BANDS = int(np.log(100 / PERCENT) / np.log(BAND)) + 1
