@@ -141,7 +141,7 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
 
 
 def blocks(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Adds `hub` and `block` to classes; a block is about _BLOCK of them that lie together.
+    """Adds `block` to classes: about _BLOCK of them that lie together.
 
     A group lies where the group lies that is the smallest of most of its shared shingles, which alike groups have
     in common for the most part. A crowded range is split by digest. Where a class lies decides cost, not results.
@@ -153,7 +153,7 @@ def blocks(classes: DataFrame, shared: DataFrame) -> DataFrame:
     ranges = max(1, int(total / _BLOCK))
     dealt = keyed.withColumn("range", F.floor(F.col("key") / (float(1 << 63) / ranges)).cast("long"))
     split = dealt.groupBy("range").agg(F.ceil(F.sum(weight) / (1.5 * _BLOCK)).alias("ways"))
-    return dealt.join(split, "range").withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("ways"))).drop("range", "ways", "key")
+    return dealt.join(split, "range").withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("ways"))).drop("range", "ways", "key", "hub")
 
 
 def _band(n):
@@ -175,10 +175,10 @@ def _needed(n, band, rest):
 
 def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
-    places = classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.max("rest").alias("rest"), F.count("*").alias("members"))
+    places = classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.count("*").alias("members"))
     places = places.withColumn("band", _band(F.col("n")))
-    # A cell: the groups of one block, hub and size band.
-    places = stored(places.withColumn("cell", F.xxhash64("block", "hub", "band")), "jaccard-places")
+    # A cell: the groups of one block and size band.
+    places = stored(places.withColumn("cell", F.xxhash64("block", "band")), "jaccard-places")
     entries = stored(shared.select("token", "gid").join(places.select("gid", "cell", "band"), "gid"), "jaccard-entries")
     # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one cell.
     counts = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
