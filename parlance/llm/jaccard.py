@@ -70,10 +70,10 @@ def _count(batches):
         return out, np.bincount(place, weight, len(out)).astype(np.int64)
 
     for batch in batches:
-        for part in W.slices(batch):
+        for part in W.slices(batch, most=1 << 22):
             fresh.append(sets(part.column("text"))[1])
             size += len(fresh[-1])
-            if size > 1 << 22:
+            if size > 1 << 21:
                 values, counts = merged()
                 values, counts = values[counts > 1], counts[counts > 1]
                 fresh, size = [], 0
@@ -94,7 +94,7 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
     def run(batches):
         met: set[bytes] = set()
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=1 << 22):
                 row, value, bounds = sets(part.column("text"))
                 size = np.diff(bounds)
                 weight = np.zeros(len(value), np.int64)
@@ -242,7 +242,7 @@ def _verified(batches):
 def _values(batches):
     """The set of each text whose digest is the one asked for."""
     for batch in batches:
-        for part in W.slices(batch):
+        for part in W.slices(batch, most=1 << 22):
             _, value, bounds = sets(part.column("text"))
             asked = part.column("node").to_pylist()
             keep = [i for i, d in enumerate(digests(value, bounds)) if d == asked[i]]
