@@ -125,11 +125,11 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
                         met = set()
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("text_hash"), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(group.view(np.int64)),
-                    pa.array(rest, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "rest", "prefix"])
+                    pa.array(rest, pa.int64()), pa.array(covered), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n", "node", "gid", "rest", "covered", "prefix"])
     return run
 
 
-_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, rest long, prefix array<long>"
+_PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, rest long, covered boolean, prefix array<long>"
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -160,34 +160,40 @@ def _band(n):
     return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
 
 
-def _needed(n, band, rest):
-    """Prefix shingles that a set of n shares at least with an alike one whose size lies in a band.
+def _needed(n, band):
+    """Prefix shingles that a set of n shares at least with an alike one whose size lies in a band, and their least overlap.
 
     At most n - o of a set's n shingles are missing in one it overlaps by o, and of the two prefixes the one that ends first
-    lies within the reach of the other, so the prefixes share at least o - ceil(0.75 n) + 1, n being its size. And what two
-    prefixes don't show of their overlap lies beyond the region both cover: at most the smaller rest.
+    lies within the reach of the other, so the prefixes share at least o - ceil(0.75 n) + 1, n being its size.
     """
     low, high = F.floor(F.pow(F.lit(BAND), band)), F.ceil(F.pow(F.lit(BAND), band + 1))
     own = F.ceil((n + low) * PERCENT / (100 + PERCENT)) - F.ceil(n * PERCENT / 100) + 1
     other = (n + high) * PERCENT / (100 + PERCENT) - high * PERCENT / 100
-    return F.greatest(F.least(own, other), F.ceil((n + low) * PERCENT / (100 + PERCENT)) - rest)
+    return F.least(own, other), F.ceil((n + low) * PERCENT / (100 + PERCENT))
 
 
 def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
-    places = classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.count("*").alias("members"))
+    places = classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.min("covered").alias("covered"), F.count("*").alias("members"))
     places = places.withColumn("band", _band(F.col("n")))
     # A cell: the groups of one block and size band.
     places = stored(places.withColumn("cell", F.xxhash64("block", "band")), "jaccard-places")
-    entries = stored(shared.select("token", "gid").join(places.select("gid", "cell", "band"), "gid"), "jaccard-entries")
-    # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one cell.
-    counts = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(F.count("*").alias("groups"))
-    met = entries.join(counts, "token").where(
+    entries = stored(shared.select("token", "gid").join(places.select("gid", "cell", "band", "covered"), "gid"), "jaccard-entries")
+    # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one cell, those
+    # whose prefix covers the region and the others by themselves.
+    counts = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(
+        F.count("*").alias("groups"), F.max("covered").alias("some"), F.max(~F.col("covered")).alias("others"))
+    met = entries.drop("covered").join(counts, "token").where(
         (F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("cell") != F.col("to")) | (F.col("groups") > 1)))
-    met = met.groupBy("gid", "cell", "to").agg(F.count("*").alias("c"))
-    others = places.groupBy(F.col("cell").alias("to")).agg(F.first("block").alias("to_block"), F.first("band").alias("to_band"), F.max("rest").alias("to_rest"))
-    near = met.join(places.select("gid", "cell", "block", "n", "rest"), ["gid", "cell"]).join(others, "to")
-    near = near.where(F.col("c") >= _needed(F.col("n"), F.col("to_band"), F.least("rest", "to_rest")))
+    met = met.groupBy("gid", "cell", "to").agg(F.count_if("some").alias("c"), F.count_if("others").alias("c_others"))
+    rest = F.max(F.when(F.col("covered"), F.col("rest"))).alias("to_rest")
+    others = places.groupBy(F.col("cell").alias("to")).agg(F.first("block").alias("to_block"), F.first("band").alias("to_band"), rest)
+    near = met.join(places.select("gid", "cell", "block", "n", "rest", "covered"), ["gid", "cell"]).join(others, "to")
+    # What two prefixes that cover the region don't show of their overlap lies beyond it: at most the smaller rest. A prefix that
+    # ends within the region says nothing of that kind.
+    needed, overlap = _needed(F.col("n"), F.col("to_band"))
+    beyond = F.when(F.col("covered"), overlap - F.least("rest", "to_rest")).otherwise(0)
+    near = near.where(((F.col("c") > 0) & (F.col("c") >= F.greatest(needed, beyond))) | ((F.col("c_others") > 0) & (F.col("c_others") >= needed)))
     pairs = near.select(F.least("block", "to_block").alias("b1"), F.greatest("block", "to_block").alias("b2"), "block", "gid")
     # Members of one group share the whole prefix; they are compared wherever they lie.
     own = places.select("gid", "block", "members")
@@ -257,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     order = frequent(docs)
     rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_prefixes(*order), _PREFIXES), "jaccard-prefixes")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("rest").alias("rest"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("rest").alias("rest"), F.first("covered").alias("covered"))
     shared = shared_tokens(rows)
     classes = stored(blocks(stored(classes, "jaccard-classes"), shared), "jaccard-blocks")
     work = jobs(shared, classes)

@@ -45,6 +45,21 @@ def test_jaccard(spark, monkeypatch, block):
     assert sorted_rows((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted_rows((d, n, c if n else d) for d, n, c in want)
 
 
+def test_jaccard_nested_sets(spark):
+    """Pairs of a text and a longer one that holds it: one prefix may cover the region of rare shingles, the other not."""
+    r = random.Random(12)
+    rows = []
+    for i in range(4000):
+        n = r.randrange(6, 46)
+        words = ["p%dw%d" % (i, k) for k in range(n + r.randrange(n // 3 + 1) + 4)]
+        rows += [(2 * i, " ".join(words[:n + 4])), (2 * i + 1, " ".join(words))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = []
+    for (a, x), (b, y) in zip(rows[::2], rows[1::2]):
+        want += [(d, *z) for d, z in zip((a, b), brute.jaccard([(a, x), (b, y)]))]
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(want)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
