@@ -263,14 +263,15 @@ def _sorted_groups(batches):
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
             if size > _BUFFER:
-                # Rows of the last group met so far wait for the rest of it.
-                every = pa.Table.from_batches([*kept, part])
-                g, s = every.column("gram").to_numpy(), every.column("salt").to_numpy()
-                ends = np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1])) + 1
+                # Rows of the last group met so far wait for the rest of it; only the new rows are looked at.
+                last = kept[-1]
+                seam = pa.Table.from_batches([last.slice(last.num_rows - 1), part])
+                g, s = seam.column("gram").to_numpy(), seam.column("salt").to_numpy()
+                ends = np.flatnonzero((g[1:] != g[:-1]) | (s[1:] != s[:-1]))
                 if len(ends):
-                    yield from _repeated(every.slice(0, int(ends[-1])))
-                    kept = every.slice(int(ends[-1])).to_batches()
-                    size = sum(x.column("bytes").nbytes for x in kept)
+                    yield from _repeated(pa.Table.from_batches([*kept, part.slice(0, int(ends[-1]))]))
+                    kept = [part.slice(int(ends[-1]))]
+                    size = kept[0].column("bytes").nbytes
                     continue
             kept.append(part)
             size += part.column("bytes").nbytes
@@ -299,12 +300,13 @@ def _removed(batches):
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, text) of texts that share a gram, and (key, low, high): spans of theirs that occur elsewhere, copies of the whole text aside."""
     keyed = docs.select(F.xxhash64("text", F.length("text")).alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+    once = keyed.dropDuplicates(["key"])  # copies are dropped before the shuffle too, and the join needs no other
     each = Window.partitionBy("gram")
     grams = keyed.mapInArrow(_grams, "gram long, key long, n long")
     shared = grams.select("gram", "key", "n", F.min("key").over(each).alias("a"), F.max("key").over(each).alias("b"), F.max("n").over(each).alias("m"), F.count("*").over(each).alias("all"))
     shared = shared.where("a < b OR m > 1").select("key", F.struct("gram", F.ceil(F.col("all") / SALT).alias("ways")).alias("g"))
     lists = shared.groupBy("key").agg(F.collect_set("g").alias("grams"))
-    asked = stored(keyed.join(lists.hint("merge"), "key"), "suffix-texts")
+    asked = stored(once.join(lists.hint("merge"), "key"), "suffix-texts")
     contexts = asked.mapInArrow(_contexts, _CONTEXTS)
     dealt = contexts.repartition("gram", "salt").sortWithinPartitions("gram", "salt")
     found = stored(dealt.mapInArrow(_sorted_groups, _SPANS_SQL), "suffix-spans")
@@ -318,7 +320,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs = texts(docs)
     asked, spans = repeated_spans(docs)
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    cut = asked.join(lists, "key").mapInArrow(_removed, "key long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["key"])
+    cut = asked.join(lists, "key").mapInArrow(_removed, "key long, n_removed long, n_spans long, kept_sha256 string")
     rows = stored(docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "suffix-rows")
     copies = rows.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     every = rows.join(copies, "key", "left").join(cut, "key", "left")

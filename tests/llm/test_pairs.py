@@ -88,6 +88,19 @@ def test_suffixes(spark, monkeypatch, salt):
     assert sorted_rows((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted_rows(want)
 
 
+def test_suffixes_sorts_copies_once(spark):
+    r = random.Random(13)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, "head " + passage + " middle " + passage) for i in range(60)] + [(100, passage + " tail"), (101, "y" * 250)]
+    df = frame(spark, rows)
+    asked, _ = suffixes.repeated_spans(df.selectExpr("doc_id", "text"))
+    keys = [x.key for x in asked.select("key").collect()]
+    assert len(keys) == len(set(keys)) >= 2
+    want = [(d, *x) for (d, _), x in zip(rows, brute.repeats(rows))]
+    got = suffixes.without_repeats(df).collect()
+    assert sorted_rows((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got) == sorted_rows(want)
+
+
 def test_suffixes_empty(spark):
     assert suffixes.without_repeats(frame(spark, [])).count() == 0
 
