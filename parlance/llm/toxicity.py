@@ -77,12 +77,15 @@ def segments(score: np.ndarray, bounds: np.ndarray) -> list[list[tuple[float, in
 
     Only tokens with a positive score are walked; what lies between is a difference of sums.
     """
-    sums = np.concatenate([[0.0], np.cumsum(score)])
+    sums = np.empty(len(score), np.float64)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):  # each row from zero, so that its neighbours don't matter
+        np.cumsum(score[a:b], dtype=np.float64, out=sums[a:b])
     at = np.flatnonzero(score > 0)
     rows = np.searchsorted(bounds, at, "right") - 1
+    before = np.where(at > bounds[rows], sums[at - 1], 0.0)
     out: list[list[tuple[float, int, int]]] = [[] for _ in range(len(bounds) - 1)]
     row, open_ = -1, []
-    for i, r, left, right in zip(at.tolist(), rows.tolist(), sums[at].tolist(), sums[at + 1].tolist()):
+    for i, r, left, right in zip(at.tolist(), rows.tolist(), before.tolist(), sums[at].tolist()):
         if r != row:
             row, open_ = r, out[r]
         item = [left, right, i, i]
@@ -105,7 +108,10 @@ def _scanned(weight: np.ndarray):
             for part in W.slices(batch):
                 tokens, heads, starts, ends, bounds = _slots(part.column("text"))
                 score = np.maximum(weight[0][tokens], weight[1][heads])
-                score[1:][tokens[1:] == tokens[:-1]] = DRIFT  # a stutter says nothing new
+                stutter = np.zeros(len(tokens), bool)
+                stutter[1:] = tokens[1:] == tokens[:-1]
+                stutter[bounds[:-1][bounds[:-1] < len(tokens)]] = False  # the token before is another text's
+                score[stutter] = DRIFT  # a stutter says nothing new
                 found = segments(score, bounds)
                 base = W.buffers(part.column("text"))[1].tolist()
                 spans = [[{"start": int(starts[a]) - base[r], "end": int(ends[b]) - base[r], "score": float(s)} for s, a, b in segs]

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -162,6 +163,25 @@ def test_segments_are_all_maximal():
         assert sorted(x[0] for x in got) == sorted(x[0] for x in want)
 
 
+def test_segments_of_rows_are_independent():
+    score = np.full(5_000_003, toxicity.DRIFT, np.float32)
+    score[-3:] = 1.337
+    got = toxicity.segments(score, np.array([0, 5_000_000, len(score)]))
+    alone = toxicity.segments(score[-3:], np.array([0, 3]))[0][0][0]
+    assert got == [[], [(alone, 5_000_000, 5_000_002)]]
+    assert alone == pytest.approx(3 * 1.337, abs=1e-6)
+
+
+def test_toxicity_of_neighbouring_copies():
+    rows = ["vile", "vile", "", "vile", "plain vile vile", "vile"]
+    weight = np.full((2, toxicity.SLOTS), toxicity.DRIFT, np.float32)
+    slot = toxicity._slots(pa.array(["vile"]))[0][0]
+    weight[0, slot] = 2.0
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), pa.array(rows)], ["doc_id", "text_hash", "text"])
+    found = [x for out in toxicity._scanned(weight)([batch]) for x in out.column("segments").to_pylist()]
+    assert [[(x["start"], x["end"], x["score"]) for x in f] for f in found] == [[(0, 4, 2.0)], [(0, 4, 2.0)], [], [(0, 4, 2.0)], [(6, 10, 2.0)], [(0, 4, 2.0)]]
+
+
 def test_toxicity(spark):
     r = random.Random(9)
     plain = ["w%d" % k for k in range(400)]
