@@ -165,7 +165,8 @@ def close_pairs(cut: DataFrame, n: int) -> DataFrame:
     while n > FAN:
         n = -(-n // FAN)
         fold = lambda c, f: F.filter(F.array(*[f(F.get(c, F.lit(k))) for k in range(BOX)]), lambda x: x.isNotNull()).alias(c)
-        one_length = F.when(F.min("dim") == F.max("dim"), F.min("dim")).alias("dim")
+        # min and max skip the null of a box of several lengths; the count doesn't.
+        one_length = F.when((F.count("dim") == F.count("*")) & (F.min("dim") == F.max("dim")), F.min("dim")).alias("dim")
         levels.append(stored(levels[-1].groupBy(F.floor(F.col("id") / FAN).alias("id")).agg(one_length, fold("low", F.min), fold("high", F.max)), "vector-level"))
     pairs = None
     for boxes in reversed(levels):

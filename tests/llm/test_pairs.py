@@ -169,5 +169,13 @@ def test_embeddings(spark, monkeypatch):
     assert sorted_rows((x.vec_id, x.n_links, x.component_id, x.kept) for x in got) == sorted_rows(want)
 
 
+def test_embeddings_levels_of_two_lengths(spark):
+    """Three levels; the box that spans both lengths is the first of its eight."""
+    rows = [(i, d, [0.0] * d, [0.0] * d) for i in range(128) for d in [8 if i < 68 else 16]]
+    cut = spark.createDataFrame(rows, "id long, dim long, low array<double>, high array<double>")
+    got = {(x.a, x.b) for x in embeddings.close_pairs(cut, len(rows)).collect()}
+    assert got == {(a, b) for a in range(128) for b in range(a, 128) if (a < 68) == (b < 68)}
+
+
 def test_embeddings_empty(spark):
     assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
