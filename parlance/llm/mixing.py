@@ -30,7 +30,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 #: Least size of a document in each band; powers of two, so that an octave lies in one band.
 BANDS = (4096, 512, 64, 1)
-CELL = 1 << 16
+CELL = 1 << 12
 _HEX = 13  # digits of the hash in u
 
 
