@@ -36,8 +36,8 @@ TOP = 50
 SHARD = 1 << 16
 ROUND = 128 << 20
 SLOTS = 1 << 22
-MATRIX = 1 << 20
-SLICE = 1 << 22
+MATRIX = 1 << 17
+SLICE = 1 << 21
 NOT_TERM = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 
 
