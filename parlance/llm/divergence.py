@@ -163,7 +163,7 @@ def kept_terms(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def sharded(kept: DataFrame) -> DataFrame:
     """(lang, shards, shard, base, size, terms, blob): perfect hashes of about SHARD terms each; `base` is the shard's first slot."""
     volume = kept.groupBy("lang").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    cut = kept.join(volume, "lang").withColumn("shard", F.pmod("h", "shards"))
+    cut = kept.join(volume, "lang").withColumn("shard", F.pmod("h", "shards")).repartition("lang", "shard")
     built = cut.groupBy("lang", "shard").applyInArrow(_build, "lang string, shards long, shard long, terms array<string>, blob binary")
     built = stored(built, "shards")
     size = F.size("terms").cast("long")
