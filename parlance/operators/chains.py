@@ -1,15 +1,15 @@
 """Repeat chains: one message, or a cycle of messages, said again back to back.
 
 Exact runs are window work. The full rule (cycles, one-typo matches, tolerated interruptions) is
-a greedy scan over a sequence; before it runs, Spark cuts every chat into blocks that no chain
-can cross, so that a task sees one stretch of repeats and never a whole chat. Long runs of equal
-texts inside a block are shortened on the way in and restored on the way out.
+a greedy scan over a sequence. Before it runs, Spark keeps only the stretches that a chain can touch; the
+scan itself (`chain_scan`) goes cell by cell and hands its state over, so neither a long chat nor a long chain is one group.
+Chains that overlap are then settled, the longest first.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from math import lcm
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,22 +18,26 @@ from pyspark.sql import functions as F
 from parlance.functions import times as tm
 from parlance.functions.identity import chain_form
 from parlance.model import Profile
+from parlance.operators.chain_scan import SCAN_ROWS, chains_of, scan
 from parlance.operators.enrich import spoken
 from parlance.operators.ordering import CELL_ROWS, dense_position, previous_row, running_max, top_k
 from parlance.session import materialize
 
-BLOCKS_TOGETHER = 8192
-BLOCK_CHAINS = "chat_id long, block long, cycle_length long, members long, first_pos long, last_pos long, member_runs array<struct<from:long,to:long>>"
+RANGE = 1 << 13
+FINE = 64
+#: Overlapping chains that one task settles; larger clusters are broken up by rounds first.
+TOGETHER = 1 << 15
 
 
 def chain_rows(enriched: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
     """(keys, pos, seq, ts, sender, text, norm): the sequence chains are looked for in. System rows
     are not in it; placeholders are, with an empty `norm` that matches nothing."""
     rows = spoken(enriched).select(*keys, "seq", "ts", "sender", "text", "is_real_text")
-    # Only texts that need Unicode folding go through Python.
+    # Only texts that need Unicode folding go through Python, each of them once.
     folds = F.col("is_real_text") & F.col("text").rlike(r"[^\x00-\x7f]")
     simple = F.when(F.col("is_real_text"), chain_form(F.col("text"), ascii_only=True)).otherwise("")
-    both = rows.where(~folds).withColumn("norm", simple).unionByName(rows.where(folds).withColumn("norm", chain_form(F.col("text"))))
+    forms = rows.where(folds).select("text").distinct().withColumn("norm", chain_form(F.col("text")))
+    both = rows.where(~folds).withColumn("norm", simple).unionByName(rows.where(folds).join(forms, "text"))
     return dense_position(both.drop("is_real_text"), "pos", keys, cell_rows)
 
 
@@ -52,20 +56,30 @@ def exact_runs(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows:
     return found.where((F.col("length") >= profile.chain_min_length) & (F.col("people") >= profile.chain_min_participants))
 
 
+def _letters(text):
+    return F.split(text, "")
+
+
 def _close(a, b, min_len: int):
-    """Both can match one pattern text: equal, or within two typos of each other's neighbourhood."""
+    """Both can match one pattern text: equal, or each within one typo of it, so within two typos of each other. A
+    swap of neighbours is one typo and two edits: a distance of 4 takes two swaps, which leave the letters as
+    they are, one of 3 a swap and an edit, which brings in or takes away one letter at most."""
     fuzzy = (F.least(F.length(a), F.length(b)) >= min_len) & (F.abs(F.length(a) - F.length(b)) <= 2)
-    return F.when((a == "") | (b == ""), False).when(a == b, True).when(fuzzy, F.levenshtein(a, b, 4) >= 0).otherwise(False)
+    edits = F.levenshtein(a, b, 4)
+    one_letter = (F.size(F.array_except(_letters(a), _letters(b))) <= 1) & (F.size(F.array_except(_letters(b), _letters(a))) <= 1)
+    typos = (F.when(edits < 0, False).when(edits <= 2, True).when(F.abs(F.length(a) - F.length(b)) > 1, False)
+             .when(edits == 3, one_letter).otherwise(F.sort_array(_letters(a)) == F.sort_array(_letters(b))))
+    return F.when((a == "") | (b == ""), False).when(a == b, True).when(fuzzy, typos).otherwise(False)
 
 
 def chain_blocks(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Rows that a chain could hold, with the `block` they fall into.
+    """Rows that a chain could touch.
 
     In a chain of cycle p every member but the last p has a partner of the same slot between p
     and p * (tolerance + 1) rows on, at least p members have one, and members follow each other
     within tolerance + 1 rows. So per p: rows with such a partner, islands of them with small
     gaps and at least p rows; an island reaches p * (tolerance + 1) rows further. Overlapping
-    islands of all p form a block. No chain crosses a block's edge.
+    islands of all p form a stretch. No chain crosses a stretch's edge.
     """
     keys = list(keys)
     reach = profile.chain_tolerance + 1
@@ -92,207 +106,129 @@ def chain_blocks(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows
     spans = isles.groupBy(*per_p, "isle").agg(F.count("*").alias("_n"), F.max("seq").alias("_z")).where(F.col("_n") >= F.col("p"))
     spans = spans.groupBy(*keys, F.col("isle").alias("seq")).agg(F.max(F.col("_z") + F.col("p") * reach).alias("_end"))
     spans = materialize(spans, "spans")
-    # Spans that overlap become one: a span opens a block unless an earlier one reaches it.
+    opened = clusters(spans, keys, cell_rows)
+    blocks = opened.groupBy(*keys, "cluster").agg(F.max("_reach").alias("_until"))
+    # Rows meet the stretches that touch their cell of FINE rows; a stretch is cut twice, so that no row lists many cells.
+    far_cells = F.explode(F.sequence(F.expr(f"cluster div {cell_rows}"), F.expr(f"_until div {cell_rows}")))
+    cut = blocks.select(*keys, F.col("cluster").alias("_a"), F.col("_until").alias("_z"), far_cells.alias("_far"))
+    low, high = F.greatest("_a", F.col("_far") * cell_rows), F.least("_z", F.col("_far") * cell_rows + cell_rows - 1)
+    cut = cut.select(*keys, "_a", "_z", F.explode(F.sequence(F.floor(low / FINE), F.floor(high / FINE))).alias("_cell"))
+    # The last row of a far cell and the first of the next may share a fine cell.
+    return rows.withColumn("_cell", F.expr(f"pos div {FINE}")).join(cut.distinct(), [*keys, "_cell"]).where(
+        F.col("pos").between(F.col("_a"), F.col("_z"))).drop("_cell", "_a", "_z")
+
+
+def clusters(spans: DataFrame, keys, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Spans (keys, seq, _end), one a `seq`, with `cluster`, the start of the stretch of overlapping spans they lie in, and
+    `_reach`, the furthest end so far."""
     ends = materialize(running_max(spans, "_end", "_reach", keys, cell_rows), "reach")
     tops = previous_row(ends, ["_reach"], keys, cell_rows)
     opens = F.col("prev").isNull() | (F.col("prev._reach") < F.col("seq"))
     merged = materialize(tops.select(*keys, "seq", F.when(opens, F.col("seq")).alias("_open"), "_reach"), "overlaps")
-    opened = running_max(merged, "_open", "block", keys, cell_rows)
-    blocks = opened.groupBy(*keys, "block").agg(F.max("_reach").alias("_until"))
-    # A block is a stretch of positions: its rows are found by listing them.
-    inside = blocks.select(*keys, "block", F.explode(F.sequence("block", "_until")).alias("pos"))
-    return rows.join(inside, [*keys, "pos"])
-
-
-# ---- the scan over one block ----
-
-def _similar(a: str, b: str, min_fuzzy_len: int) -> bool:
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-    if min(len(a), len(b)) < min_fuzzy_len or abs(len(a) - len(b)) > 1:
-        return False
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    a, b = a[head:], b[head:]
-    tail = 0
-    while tail < min(len(a), len(b)) and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
-        tail += 1
-    a, b = a[:len(a) - tail], b[:len(b) - tail]
-    return max(len(a), len(b)) == 1 or (len(a) == 2 and a == b[::-1])
-
-
-class _Block:
-    """One block's texts, and the walk along a pattern in either direction."""
-
-    def __init__(self, texts, senders, profile: Profile):
-        self.texts, self.senders, self.rules = texts, senders, profile
-        self.known = {}
-
-    def like(self, a, b) -> bool:
-        if a == b:
-            return bool(a)
-        if (a, b) not in self.known:
-            self.known[a, b] = _similar(a, b, self.rules.chain_min_fuzzy_len)
-        return self.known[a, b]
-
-    def follow(self, pattern, at: int, slot: int, step: int):
-        """Positions that continue the pattern from `at`, nearest first."""
-        while True:
-            want = pattern[slot % len(pattern)]
-            stop = at + step * (self.rules.chain_tolerance + 1)
-            nearby = (j for j in range(at + step, stop + step, step) if 0 <= j < len(self.texts))
-            at = next((j for j in nearby if self.like(want, self.texts[j])), None)
-            if at is None:
-                return
-            yield at
-            slot += step
-
-    def chain_from(self, start: int, p: int):
-        """Members of the chain whose first found cycle starts here, or None."""
-        pattern = self.texts[start:start + p]
-        if not all(pattern):
-            return None
-        later = list(self.follow(pattern, start + p - 1, p, +1))
-        if len(later) < p:
-            return None
-        earlier = list(self.follow(pattern, start, p - 1, -1))
-        return [*reversed(earlier), *range(start, start + p), *later]
-
-    def repeats_itself(self, pattern) -> bool:
-        p = len(pattern)
-        return any(
-            all(self.like(pattern[i], pattern[i + q]) for i in range(p - q))
-            for q in range(1, p) if p % q == 0
-        )
-
-    def candidates(self):
-        """(cycle length, first-cycle start, members) of every chain the scan meets."""
-        for p in range(1, self.rules.chain_max_cycle + 1):
-            at = 0
-            while at < len(self.texts) - p:
-                members = self.chain_from(at, p)
-                if members is None:
-                    at += 1
-                    continue
-                if not self.repeats_itself(self.texts[at:at + p]):
-                    yield p, members
-                at = members[-1] + 1
-
-
-def _shorten(texts, keep: int, beat: int):
-    """Positions of a sequence in which every run of one text by any senders is at most
-    keep + beat long, its true length modulo `beat` kept; and what each kept position stands for.
-
-    Inside a run a walk takes one row per step, so how it leaves the run depends on the length
-    modulo its cycle only. `beat` is a common multiple of all cycle lengths and `keep` exceeds
-    any look-ahead, so the scan behaves alike on the shortened run.
-    """
-    kept, cuts, at = [], [], 0
-    while at < len(texts):
-        end = at
-        while end < len(texts) and texts[end] == texts[at] and texts[at]:
-            end += 1
-        end = max(end, at + 1)
-        gone = 0
-        if end - at > keep + 2 * beat:
-            gone = (end - at - keep - beat) // beat * beat
-        if gone:
-            middle = at + (end - at - gone) // 2
-            kept += [*range(at, middle), *range(middle + gone, end)]
-            cuts.append((middle, middle + gone))
-        else:
-            kept += range(at, end)
-        at = end
-    return kept, cuts
-
-
-def _runs(members):
-    """Members as stretches of consecutive positions."""
-    out = []
-    for m in members:
-        if out and out[-1][1] == m - 1:
-            out[-1][1] = m
-        else:
-            out.append([m, m])
-    return out
-
-
-def scan_block(texts, senders, profile: Profile):
-    """Non-overlapping chains of one block as (members, cycle length, stretches), the longest
-    first, then the smaller cycle, then the earlier."""
-    beat = lcm(*range(1, profile.chain_max_cycle + 1))
-    keep = 4 * profile.chain_max_cycle * (profile.chain_tolerance + 1)
-    kept, cuts = _shorten(texts, keep, beat)
-    block = _Block([texts[i] for i in kept], senders, profile)
-    found = []
-    for p, members in block.candidates():
-        stretches = _runs(kept[m] for m in members)
-        for a, z in cuts:
-            for i in range(len(stretches) - 1):
-                if stretches[i][1] == a - 1 and stretches[i + 1][0] == z:
-                    stretches[i:i + 2] = [[stretches[i][0], stretches[i + 1][1]]]
-                    break
-        count = sum(z - a + 1 for a, z in stretches)
-        if count < profile.chain_min_length:
-            continue
-        people = {senders[i] for a, z in stretches for i in range(a, z + 1)}
-        alone = profile.chain_allow_solo_cycles and len(people) == 1 and p > 1
-        if len(people) >= profile.chain_min_participants or alone:
-            found.append((count, p, stretches))
-    found.sort(key=lambda c: (-c[0], c[1], c[2][0][0]))
+    return running_max(merged, "_open", "cluster", keys, cell_rows)
+
+
+def _longest_first(found: pd.DataFrame) -> pd.DataFrame:
+    """Chains of one cluster that do not overlap: the longest, then the smaller cycle, then the earlier."""
     taken, chosen = [], []
-    for count, p, stretches in found:
-        span = (stretches[0][0], stretches[-1][1])
+    order = found.sort_values(["members", "cycle_length", "first_pos"], ascending=[False, True, True])
+    for row, span in zip(order.index, zip(order["first_pos"], order["last_pos"])):
         i = bisect_left(taken, span)
-        free_left = i == 0 or taken[i - 1][1] < span[0]
-        free_right = i == len(taken) or taken[i][0] > span[1]
-        if free_left and free_right:
+        if (i == 0 or taken[i - 1][1] < span[0]) and (i == len(taken) or taken[i][0] > span[1]):
             insort(taken, span)
-            chosen.append((count, p, stretches))
-    return chosen
-
-
-def find_chains(blocks: DataFrame, profile: Profile) -> DataFrame:
-    """Chains of every block: cycle length, members, first and last position, member stretches."""
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for (chat, block), part in pdf.sort_values(["block", "pos"]).groupby(["chat_id", "block"], sort=False):
-            first = int(part["pos"].iloc[0])
-            rows += [
-                (chat, block, p, count, first + runs[0][0], first + runs[-1][1],
-                 [{"from": first + a, "to": first + z} for a, z in runs])
-                for count, p, runs in scan_block(part["norm"].tolist(), part["sender"].tolist(), profile)
-            ]
-        return pd.DataFrame(rows, columns=["chat_id", "block", "cycle_length", "members", "first_pos", "last_pos", "member_runs"])
-
-    # Blocks that begin in one range of positions go to Python together: a call per block costs
-    # more than most scans.
-    rows = blocks.select("chat_id", "block", "pos", "sender", "norm", F.expr(f"block div {BLOCKS_TOGETHER}").alias("_range"))
-    return rows.groupBy("chat_id", "_range").applyInPandas(scan, BLOCK_CHAINS)
-
-
-def ranked_chains(chains: DataFrame, profile: Profile) -> DataFrame:
-    """The top chains per chat: longest, then smaller cycle, then earliest."""
+            chosen.append(row)
+    return found.loc[chosen]
+
+
+def _settled(chains: DataFrame, keys) -> DataFrame:
+    """Greedy choice in each cluster; clusters that begin close to each other share a call."""
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([_longest_first(c) for _, c in part.groupby("cluster")])
+
+    sized = chains.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "cluster")))
+    rest = sized.where(F.col("_n") > 1).drop("_n").withColumn("_range", F.expr(f"cluster div {RANGE}"))
+    schema = rest.schema
+    return sized.where(F.col("_n") == 1).drop("_n").unionByName(rest.groupBy(*keys, "_range").applyInPandas(choose, schema).drop("_range"))
+
+
+def _round(chains: DataFrame, keys, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(chosen, still open): chains that come before all they overlap are chosen, what overlaps those is out."""
+    cells = F.explode(F.sequence(F.expr(f"first_pos div {cell_rows}"), F.expr(f"last_pos div {cell_rows}")))
+    name = [*keys, "cycle_length", "start"]
+
+    def beaten(part: pd.DataFrame) -> pd.DataFrame:
+        order = part.sort_values(["members", "cycle_length", "first_pos"], ascending=[False, True, True])
+        a, z = order["first_pos"].to_numpy(), order["last_pos"].to_numpy()
+        order["hit"] = [bool(((a[:i] <= z[i]) & (z[:i] >= a[i])).any()) for i in range(len(a))]
+        return order
+
+    def met(part: pd.DataFrame) -> pd.DataFrame:
+        best = part[part["best"]]
+        a, z = best["first_pos"].to_numpy(), best["last_pos"].to_numpy()
+        part["hit"] = [bool(((a <= last) & (z >= first)).any()) for first, last in zip(part["first_pos"], part["last_pos"])]
+        return part
+
+    cut = chains.withColumn("_cell", cells)
+    hits = cut.withColumn("hit", F.lit(False))
+    hits = hits.groupBy(*keys, "_cell").applyInPandas(beaten, hits.schema).groupBy(*name).agg((~F.max("hit")).alias("best"))
+    judged = materialize(chains.join(hits, name), "chain-round")
+    cut = judged.withColumn("_cell", cells).withColumn("hit", F.lit(False))
+    out = cut.groupBy(*keys, "_cell").applyInPandas(met, cut.schema).groupBy(*name).agg(F.max("hit").alias("hit"))
+    left = judged.join(out, name).where(~F.col("hit") & ~F.col("best"))
+    return judged.where("best").select(*chains.columns), materialize(left.select(*chains.columns), "chain-round")
+
+
+def apart(chains: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Of chains that overlap the longest stays, then that with the smaller cycle, then the earlier."""
+    keys = list(keys)
+    chosen, left = [], chains
+    while True:
+        spans = left.groupBy(*keys, F.col("first_pos").alias("seq")).agg(F.max("last_pos").alias("_end"))
+        marks = clusters(spans, keys, cell_rows).select(*keys, F.col("seq").alias("first_pos"), "cluster")
+        marked = left.join(marks, [*keys, "first_pos"])
+        sizes = marked.groupBy(*keys, "cluster").agg((F.count("*") > TOGETHER).alias("large"))
+        marked = materialize(marked.join(sizes, [*keys, "cluster"]), "chain-clusters")
+        chosen.append(_settled(marked.where(~F.col("large")).drop("large"), keys).drop("cluster").select(*chains.columns))
+        large = marked.where("large").select(*chains.columns)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, chosen)
+        best, left = _round(large, keys, min(cell_rows, 1024))
+        chosen.append(best)
+
+
+def find_chains(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS,
+                scan_rows: int = SCAN_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The chains of every sequence (keys, cycle_length, start, members, first_pos, last_pos), and the stretches of rows that
+    are their members (keys, cycle_length, start, from, to), none longer than a cell."""
+    keys = list(keys)
+    pieces = scan(chain_blocks(rows, profile, keys, cell_rows), profile, keys, scan_rows)
+    chains = materialize(apart(materialize(chains_of(pieces, profile, keys), "chain-candidates"), keys, cell_rows), "chains")
+    name = [*keys, "cycle_length", "start"]
+    runs = pieces.join(chains.select(*name), name, "left_semi").select(*name, F.inline("runs"))
+    return chains, runs
+
+
+def ranked_chains(chains: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
+    """The top chains per sequence: longest, then smaller cycle, then earliest."""
     order = [F.desc("members"), F.asc("cycle_length"), F.asc("first_pos")]
-    return top_k(chains, ["chat_id"], order, profile.chain_top_n, "place")
+    return top_k(chains, list(keys), order, profile.chain_top_n, "place")
 
 
-def chain_report(rows: DataFrame, chains: DataFrame, profile: Profile, cell_rows: int = CELL_ROWS) -> DataFrame:
+def chain_report(rows: DataFrame, chains: DataFrame, runs: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
     """Report rows of the top chains: repetitions, times, participants, interruptions, pattern and
     the first messages shown."""
-    totals = chains.groupBy("chat_id").agg(F.count("*").alias("total_found"))
-    top = ranked_chains(chains, profile)
-    marks = top.select("chat_id", F.col("first_pos").alias("pos"), F.struct(F.col("first_pos").alias("a"), F.col("last_pos").alias("z"), "cycle_length", "member_runs").alias("_c"))
-    opened = rows.join(marks, ["chat_id", "pos"], "left")
-    # The top chains of a chat do not overlap, so the last one opened is the one a row lies in.
-    inside = running_max(opened.withColumn("_a", F.col("_c.a")).drop("_c"), "_a", "first_pos", cell_rows=cell_rows)
-    spans = top.select("chat_id", "first_pos", "last_pos", "member_runs", "cycle_length")
-    held = inside.where(F.col("first_pos").isNotNull()).join(spans, ["chat_id", "first_pos"]).where(F.col("pos") <= F.col("last_pos"))
-    held = held.withColumn("member", F.exists("member_runs", lambda r: F.col("pos").between(r["from"], r["to"])))
-    on = ["chat_id", "first_pos"]
+    keys = list(keys)
+    totals = chains.groupBy(*keys).agg(F.count("*").alias("total_found"))
+    top = materialize(ranked_chains(chains, profile, keys), "top-chains")
+    on = [*keys, "first_pos"]
+    # A row meets the top chains of its cell; those of a chat do not overlap, so it lies in one of them at most.
+    spans = top.select(*on, "last_pos", "cycle_length", "start", F.explode(F.sequence(F.expr(f"first_pos div {cell_rows}"), F.expr(f"last_pos div {cell_rows}"))).alias("_cell"))
+    near = rows.withColumn("_cell", F.expr(f"pos div {cell_rows}")).join(spans, [*keys, "_cell"])
+    near = near.where(F.col("pos").between(F.col("first_pos"), F.col("last_pos"))).drop("_cell")
+    name = [*keys, "cycle_length", "start"]
+    members = runs.join(top.select(*name), name, "left_semi").select(*name, F.explode(F.sequence("from", "to")).alias("pos"), F.lit(True).alias("member"))
+    held = near.join(members, [*name, "pos"], "left").fillna(False, ["member"])
+    held = materialize(held.select(*on, "cycle_length", "pos", "ts", "sender", "text", "member"), "chain-rows")
     people = held.groupBy(*on, "member", "sender").agg(F.count("*").alias("n"), F.min("pos").alias("_p"))
     person = F.struct((-F.col("n")).alias("k"), "_p", F.col("sender").alias("name"), F.col("n").alias("count"))
     tally = people.groupBy(*on).agg(*(
@@ -305,9 +241,9 @@ def chain_report(rows: DataFrame, chains: DataFrame, profile: Profile, cell_rows
     shown = shown_rows.groupBy(*on).agg(F.array_sort(F.collect_list(entry)).alias("messages"))
     times = held.groupBy(*on).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("span"))
     first_members = F.slice(F.filter("messages", lambda m: ~m["interruption"]), F.lit(1), F.col("cycle_length").cast("int"))
-    report = top.join(times, on).join(tally, on).join(shown, on).join(totals, "chat_id")
+    report = top.join(times, on).join(tally, on).join(shown, on).join(totals, keys)
     return report.select(
-        "chat_id", "place", F.col("members").alias("length"), "cycle_length",
+        *keys, "place", F.col("members").alias("length"), "cycle_length",
         (F.col("members") / F.col("cycle_length")).alias("repetitions"), "start_ts", "end_ts",
         (tm.epoch_seconds(F.col("end_ts")) - tm.epoch_seconds(F.col("start_ts"))).alias("duration_seconds"),
         "participants", (F.col("span") - F.col("members")).alias("interruptions"), "interrupted_by",

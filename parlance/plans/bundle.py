@@ -62,6 +62,6 @@ def bundle(enriched: DataFrame, profile: Profile, segments: DataFrame | None = N
                 "quickest_replies": summary.quickest_replies(gaps, keys), "median_reply_gap": summary.median_reply_gap(gaps, keys)}
     if "chains" in chosen:
         sequence = materialize(chains.chain_rows(enriched), "sequence")
-        found = materialize(chains.find_chains(chains.chain_blocks(sequence, profile), profile), "chains")
-        out["chains"] = chains.chain_report(sequence, found, profile)
+        found, runs = chains.find_chains(sequence, profile)
+        out["chains"] = chains.chain_report(sequence, found, runs, profile)
     return out

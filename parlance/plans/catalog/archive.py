@@ -371,7 +371,7 @@ def streamed_conversations(spark, sf):
         F.lit("click").alias("event_type"), F.lit(0.0).alias("value"), "props").select(events.columns).write.parquet(closing)
     stream = spark.readStream.schema(events.schema)
     source = stream.parquet(f"{sf}/events*.parquet").unionByName(stream.parquet(closing))
-    rows = source.selectExpr(*(f"{e} AS {c}" for c, e in views._EVENTS.items()), "ts").withColumn("ts", tm.to_minute(F.col("ts")))
+    rows = source.selectExpr(*(f"{e} AS {c}" for c, e in views.EVENT_COLUMNS.items()), "ts").withColumn("ts", tm.to_minute(F.col("ts")))
     sessions = stream_conversations(rows, Profile(conversation_gap_hours=1))
     out = _folder(spark, "sessions")
     run = (sessions.writeStream.outputMode("append").option("checkpointLocation", _folder(spark, "checkpoint"))

@@ -10,7 +10,7 @@ from parlance.functions import times as tm
 
 # One chat of a third of all users, the others spread over a few more. Every event type becomes
 # another kind of message. `event_id` rises with time.
-_EVENTS = {
+EVENT_COLUMNS = {
     "chat_id": "CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 10 END AS BIGINT)",
     "seq": "event_id",
     "sender": "CASE WHEN event_type <> 'signup' THEN concat('User ', CAST(user_id AS STRING)) END",
@@ -46,7 +46,7 @@ _SQL_TIME = {
     "conversations": "TIMESTAMP '2024-01-01' + to_hours(conv_id % 2160) + to_minutes(turn)",
     "documents": "TIMESTAMP '2024-01-01' + to_hours(doc_id % 2160)",
 }
-_COLUMNS = {"events": _EVENTS, "conversations": _CONVERSATIONS, "documents": _DOCUMENTS}
+_COLUMNS = {"events": EVENT_COLUMNS, "conversations": _CONVERSATIONS, "documents": _DOCUMENTS}
 ORDER = ["chat_id", "seq", "ts", "sender", "text", "is_system"]
 
 
