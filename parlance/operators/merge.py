@@ -7,39 +7,41 @@ Archive rows: chat_id, seq, dt (null when undated), block_text, slot_date, slot_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators.ordering import CELL_ROWS, dense_position, resequence
 
-SLOT = ("slot_date", "slot_time", "slot_sender")
-
 
 def judged(archive: DataFrame, new: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """New rows with a `verdict`: 'duplicate' while an archive copy of the same text is left to
     cancel it, 'placeholder' where the archive already has a row in its slot, else 'new'.
 
-    Copies are counted per text first. Only texts with fewer archive copies than new ones need
-    their copies numbered, and that runs in cells, so many copies of one text are no hot group.
+    Both sides are counted in one aggregate per (chat, text, cell of new rows). A text's few rows of counts tell how many
+    copies the archive has and how many new ones came in earlier cells; inside a cell a row's own number is added. So many
+    copies of one text are many small groups.
     """
     same = ["chat_id", "block_text"]
-    have = archive.groupBy(*same).agg(F.count("*").alias("_have"))
-    come = new.groupBy(*same).agg(F.count("*").alias("_come"))
-    counts = come.join(have, same, "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
-    sized = new.join(counts, same)
-    some = (F.col("_have") > 0) & (F.col("_have") < F.col("_come"))
-    numbered = dense_position(sized.where(some), "_copy", same, cell_rows)
-    fresh = F.when(F.col("_have") == 0, True).when(F.col("_have") >= F.col("_come"), False).otherwise(F.col("_copy") >= F.col("_have"))
-    both = sized.where(~some).withColumn("_copy", F.lit(None).cast("long")).unionByName(numbered)
-    marked = both.withColumn("_fresh", fresh).drop("_have", "_come", "_copy")
+    cut = new.withColumn("_cell", F.expr(f"seq div {cell_rows}"))
+    have, come = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = archive.select(*same, F.lit(None).cast("long").alias("_cell"), have.alias("_have"), come.alias("_come")).unionByName(
+        cut.select(*same, "_cell", come.alias("_have"), have.alias("_come")))
+    counts = both.groupBy(*same, "_cell").agg(F.sum("_have").alias("_have"), F.sum("_come").alias("_come"))
+    text = Window.partitionBy(*same)
+    earlier = F.sum("_come").over(text.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*same, "_cell", F.sum("_have").over(text).alias("_old"), F.coalesce(earlier, F.lit(0)).alias("_before"))
+    sized = cut.join(counts.where(F.col("_cell").isNotNull()), [*same, "_cell"])
+    number = F.row_number().over(Window.partitionBy(*same, "_cell").orderBy("seq"))
+    marked = sized.withColumn("_fresh", F.col("_before") + number > F.col("_old")).drop("_cell", "_old", "_before")
+    # Only fresh placeholders ask for a slot; the key of any other row is one that no slot has.
     late = F.col("_fresh") & tx.is_placeholder(F.col("block_text")) & F.col("slot_sender").isNotNull()
+    asks = F.when(late, F.col("slot_sender")).otherwise(F.concat(F.lit("\u0001"), F.col("seq").cast("string")))
     slots = archive.where(F.col("dt").isNotNull() & F.col("slot_sender").isNotNull())
-    slots = slots.select("chat_id", *SLOT).distinct().withColumn("_taken", F.lit(True))
-    waiting = marked.where(late).join(slots, ["chat_id", *SLOT], "left")
-    waiting = waiting.withColumn("verdict", F.when(F.col("_taken"), "placeholder").otherwise("new")).drop("_taken")
-    rest = marked.where(~F.coalesce(late, F.lit(False))).withColumn("verdict", F.when(F.col("_fresh"), "new").otherwise("duplicate"))
-    return rest.unionByName(waiting).drop("_fresh")
+    slots = slots.select("chat_id", "slot_date", "slot_time", F.col("slot_sender").alias("_asks")).distinct().withColumn("_taken", F.lit(True))
+    found = marked.withColumn("_asks", asks).join(slots, ["chat_id", "slot_date", "slot_time", "_asks"], "left")
+    verdict = F.when(~F.col("_fresh"), "duplicate").when(F.col("_taken"), "placeholder").otherwise("new")
+    return found.select(*new.columns, verdict.alias("verdict"))
 
 
 def merged(archive: DataFrame, judged_rows: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:

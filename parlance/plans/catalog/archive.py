@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import times as tm
@@ -19,8 +19,8 @@ from parlance.operators import summary as su
 from parlance.operators.ordering import resequence
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
-from parlance.plans.update import ARCHIVE, archive_rows, merge_lines, normalize, update
-from parlance.session import shared_dir
+from parlance.plans.update import archive_rows, merge_into, merge_lines, normalize, update
+from parlance.session import materialize, shared_dir
 from parlance.sources import archive as ar
 from parlance.sources import identities as ids
 from parlance.sources import sinks
@@ -287,27 +287,55 @@ def _folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query(SIDES + " SELECT chat_id, COUNT(*) AS n, MIN(dt) AS first_dt, MAX(dt) AS last_dt FROM ar GROUP BY 1")
-def published_snapshot(spark, sf):
+PUBLISHED = SIDES + """, un AS (SELECT chat_id, seq, dt, block_text, src_file, 0 AS r FROM ar UNION ALL SELECT chat_id, seq, dt, block_text, src_file, 1 FROM jd WHERE verdict = 'new')"""
+
+
+def _merged_twice(spark, sf) -> str:
+    """A new archive, one side merged after the other."""
     root = _folder(spark, "archive")
-    sinks.publish_snapshot(merge_sides(spark, sf)[0].select(*ARCHIVE.names), root)
-    table = sinks.read_snapshot(spark, root, ARCHIVE)
-    return table.groupBy("chat_id").agg(F.count("*").alias("n"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
+    for side in merge_sides(spark, sf):
+        merge_into(spark, root, side.select(*sinks.ARCHIVE.names))
+    return root
+
+
+@query(PUBLISHED + """ SELECT chat_id, ROW_NUMBER() OVER (PARTITION BY chat_id ORDER BY dt NULLS LAST, r, seq) - 1 AS seq, dt, block_text, src_file FROM un""")
+def published_snapshot(spark, sf):
+    """Every row of the archive after two merges, in its order."""
+    return sinks.read_archive(spark, _merged_twice(spark, sf)).select("chat_id", "seq", "dt", "block_text", "src_file")
+
+
+@query(PUBLISHED + """, x AS (SELECT chat_id, coalesce(strftime(dt, '%Y-%m'), 'undated') AS month, MAX(r) + 1 AS last_merge, COUNT(*) AS n FROM un GROUP BY ALL)
+    SELECT chat_id, month, CAST(last_merge AS BIGINT) AS last_merge, n FROM x""")
+def archive_months(spark, sf):
+    """Which merge each month of a chat was last written by."""
+    root = _merged_twice(spark, sf)
+    rows = sinks.in_parts(sinks.read_parts(spark, root))
+    return rows.groupBy("chat_id", "month").agg(F.max("merge_no").alias("last_merge"), F.count("*").alias("n"))
 
 
-@query(RAW + " SELECT chat_id, file, COUNT(*) AS lines FROM (SELECT chat_id, file FROM bl UNION ALL SELECT chat_id, file FROM j) GROUP BY 1, 2")
+@query(RAW + """ SELECT chat_id, file, entry, dt, block_text FROM bl UNION ALL SELECT chat_id, file, 1, NULL, concat('[UNPARSED - review this line] ', msg) FROM j""")
 def stored_normalized_export(spark, sf):
+    """Every normalized row as it is read back from the files."""
     path = _folder(spark, "normalized")
     sinks.write_normalized(normalize(export_lines(spark, sf), claims(spark, sf)), path)
-    return spark.read.parquet(path).groupBy("chat_id", "file").agg(F.count("*").alias("lines"))
+    return spark.read.parquet(path).select("chat_id", "file", "entry", "dt", "block_text")
 
 
-@query(RAW + ", x AS (SELECT len(string_split(block_text, chr(10))) AS n FROM bl UNION ALL SELECT 1 FROM j) SELECT CAST(SUM(n) AS BIGINT) AS lines FROM x")
+@query(RAW + """, x AS (SELECT chat_id, dt, file, entry, block_text FROM bl UNION ALL SELECT chat_id, NULL, file, 1, concat('[UNPARSED - review this line] ', msg) FROM j),
+    o AS (SELECT chat_id, dt, file, entry, unnest(string_split(block_text, chr(10))) AS value, generate_subscripts(string_split(block_text, chr(10)), 1) AS k FROM x)
+    SELECT ROW_NUMBER() OVER (ORDER BY chat_id, dt NULLS LAST, file, entry, k) - 1 AS line, value FROM o""")
 def ordered_archive_text(spark, sf):
+    """The lines of the text files with their place in the archive."""
     path = _folder(spark, "text")
     rows = resequence(archive_rows(normalize(export_lines(spark, sf), claims(spark, sf))), "dt", ["src_file", "seq"])
     sinks.write_ordered_text(rows, path)
-    return spark.read.text(path).agg(F.count("*").alias("lines"))
+    # Files are named in order, so (file name, place in it) is the order of lines.
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long").alias("part"), F.monotonically_increasing_id().alias("id"))
+    lines = materialize(lines, "text-lines")
+    place = lines.select("part", "id").withColumn("seq", F.row_number().over(Window.partitionBy("part").orderBy("id")))
+    sizes = place.groupBy("part").agg(F.max("seq").alias("size"))
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return lines.join(place, ["part", "id"]).join(starts, "part").select((F.col("start") + F.col("seq") - 1).alias("line"), "value")
 
 
 @query(SIDES + " SELECT src_file AS file, COUNT(*) FILTER (verdict = 'new') AS added, COUNT(*) FILTER (verdict = 'duplicate') AS duplicates, "
@@ -356,7 +384,7 @@ def streamed_exports(spark, sf):
     files, root = f"{_export_files(spark, sf)}/*/*.txt", _folder(spark, "archive")
     run = stream_exports(spark, files, root, claims(spark, sf), _folder(spark, "checkpoint"), _chat_of_file(), max_files=3)
     run.awaitTermination()
-    return _summary(sinks.read_snapshot(spark, root, ARCHIVE))
+    return _summary(sinks.read_archive(spark, root))
 
 
 @query(views.sql_enriched("events") + """, g AS (SELECT chat_id, seq, ts, CASE WHEN epoch(ts) - epoch(LAG(ts) OVER w) >= 3600 OR LAG(ts) OVER w IS NULL THEN 1 ELSE 0 END AS f

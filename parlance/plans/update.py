@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.model import Profile
 from parlance.operators import merge, segments, terms
@@ -18,17 +17,6 @@ from parlance.sources.lines import read_lines
 from parlance.sources.raw_export import parse_export
 from parlance.sources.tables import default_baseline
 
-ARCHIVE = T.StructType([
-    T.StructField("chat_id", T.LongType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("dt", T.TimestampNTZType()),
-    T.StructField("block_text", T.StringType()),
-    T.StructField("slot_date", T.StringType()),
-    T.StructField("slot_time", T.StringType()),
-    T.StructField("slot_sender", T.StringType()),
-    T.StructField("src_file", T.StringType()),
-])
-
 
 def normalize(lines: DataFrame, claims: DataFrame, day_first: bool | None = None) -> DataFrame:
     """Raw lines as normalized rows: canonical senders, resolved mentions, nothing dropped."""
@@ -47,15 +35,22 @@ def archive_rows(normalized: DataFrame) -> DataFrame:
     )
 
 
+def merge_into(spark: SparkSession, root: str, incoming: DataFrame) -> DataFrame:
+    """Merges archive rows into the archive under `root` and returns them with their verdicts. Equal blocks are of one
+    month, so only the months that come in are read, and only those that gain rows are written."""
+    old = sinks.read_parts(spark, root, sinks.in_parts(incoming))
+    judged = materialize(merge.judged(old, incoming), "judged")
+    sinks.publish_merge(root, old, judged.where("verdict = 'new'"))
+    return judged
+
+
 def merge_lines(spark: SparkSession, paths, root: str, claims: DataFrame, chat_id=None) -> DataFrame:
-    """Merges export files into the published archive, logs it, and returns the new archive."""
+    """Merges export files into the archive, logs it, and returns the new archive."""
     exports = materialize(archive_rows(normalize(read_lines(spark, paths, chat_id), claims)), "exports")
     incoming = materialize(merge.combined_exports(exports), "incoming")
-    old = sinks.read_snapshot(spark, root, ARCHIVE)
-    judged = materialize(merge.judged(old, incoming), "judged")
-    new_path = sinks.publish_snapshot(merge.merged(old, judged).select(*ARCHIVE.names), root)
+    judged = merge_into(spark, root, incoming)
     sinks.append_log(sinks.log_rows(merge.file_counts(exports, judged), sinks.file_hashes(spark, paths)), root)
-    return spark.read.schema(ARCHIVE).parquet(new_path)
+    return sinks.read_archive(spark, root)
 
 
 def update(spark: SparkSession, paths, root: str, claims: DataFrame, profile: Profile | None = None,
@@ -67,7 +62,7 @@ def update(spark: SparkSession, paths, root: str, claims: DataFrame, profile: Pr
     profile = profile or Profile()
     base = terms.baseline_counts(default_baseline(spark)) if baseline is None else baseline
     stopwords = None if identities is None else terms.name_stopwords(identities, base)
-    archive = merge_lines(spark, paths, root, claims, chat_id) if paths else sinks.read_snapshot(spark, root, ARCHIVE)
+    archive = merge_lines(spark, paths, root, claims, chat_id) if paths else sinks.read_archive(spark, root)
     messages = materialize(enrich(ar.messages_from_blocks(archive)), "messages")
     table = materialize(segments.segment_table(messages, profile, names), "segments")
     return {"archive": archive, "messages": messages, "segments": table,

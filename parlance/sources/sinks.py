@@ -1,4 +1,4 @@
-"""Where results go: snapshots with a version table, logs, segment files, ordered text."""
+"""Where results go: an archive in parts of a month with a manifest, logs, segment files, ordered text."""
 
 from __future__ import annotations
 
@@ -8,11 +8,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.operators.ordering import resequence
+from parlance.session import materialize
 from parlance.sources.lines import read_lines
 
 HASHED_LINES = 4096
-VERSIONS = T.StructType([
-    T.StructField("version", T.LongType()), T.StructField("path", T.StringType()), T.StructField("at", T.TimestampType()),
+BUCKETS = 32
+UNDATED = "undated"
+ARCHIVE = T.StructType([
+    T.StructField("chat_id", T.LongType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("dt", T.TimestampNTZType()),
+    T.StructField("block_text", T.StringType()),
+    T.StructField("slot_date", T.StringType()),
+    T.StructField("slot_time", T.StringType()),
+    T.StructField("slot_sender", T.StringType()),
+    T.StructField("src_file", T.StringType()),
+])
+#: Rows as they are stored: what orders them never changes when others come in between.
+STORED = T.StructType([T.StructField("merge_no", T.LongType()), T.StructField("entry", T.LongType()), *(f for f in ARCHIVE if f.name != "seq")])
+MANIFEST = T.StructType([
+    T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("month", T.StringType()),
+    T.StructField("folder", T.StringType()), T.StructField("number", T.LongType()),
 ])
 
 
@@ -26,37 +43,84 @@ def write_ordered_text(archive: DataFrame, path: str) -> None:
     archive.orderBy("chat_id", "seq").select(F.col("block_text").alias("value")).write.text(path)
 
 
-def _versions(spark: SparkSession, root: str) -> DataFrame | None:
+def _manifests(spark: SparkSession, root: str) -> DataFrame | None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/versions")
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.schema(VERSIONS).json(f"{root}/versions") if fs.exists(folder) else None
+    return spark.read.schema(MANIFEST).json(f"{root}/versions") if fs.exists(folder) else None
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The newest published version of the archive, 0 before the first merge."""
+    table = _manifests(spark, root)
+    return 0 if table is None else table.agg(F.max("version")).first()[0] or 0
+
 
+def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """(version, bucket, month, folder): the parts that make up the archive, by default its newest version."""
+    version = current_version(spark, root) if version is None else version
+    table = _manifests(spark, root)
+    if table is None:
+        return spark.createDataFrame([], MANIFEST).drop("number")
+    return table.where((F.col("number") == version) & F.col("folder").isNotNull()).drop("number")
 
-def current_version(spark: SparkSession, root: str):
-    """(version, path) of the newest published snapshot, or None."""
-    table = _versions(spark, root)
-    newest = table.orderBy(F.desc("version")).first() if table is not None else None
-    return (newest["version"], newest["path"]) if newest else None
 
+def in_parts(rows: DataFrame) -> DataFrame:
+    """Adds `bucket` and `month`, the part of the archive a row belongs to; rows without a time have a month of their own.
 
-def publish_snapshot(archive: DataFrame, root: str) -> str:
-    """Writes the whole archive to a new folder and only then publishes it. A job that dies on
-    the way leaves the old snapshot in place; readers never see half of one."""
-    spark = archive.sparkSession
-    path = f"{root}/snapshot-{uuid.uuid4().hex}"
-    known = current_version(spark, root)
-    archive.repartitionByRange("chat_id", "seq").sortWithinPartitions("chat_id", "seq").write.parquet(path)
-    version = known[0] + 1 if known else 1
-    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(path).alias("path"), F.current_timestamp().alias("at"))
+    Big chats are spread over files by time, small ones share a bucket, so the number of parts follows the calendar.
+    """
+    month = F.coalesce(F.date_format("dt", "yyyy-MM"), F.lit(UNDATED))
+    return rows.withColumns({"bucket": F.pmod(F.xxhash64("chat_id"), F.lit(BUCKETS)).cast("int"), "month": month})
+
+
+def read_parts(spark: SparkSession, root: str, parts: DataFrame | None = None, version: int | None = None) -> DataFrame:
+    """Archive rows as they are stored (with `merge_no` and `entry` in place of `seq`), of the given (bucket, month) or of all parts."""
+    live = manifest(spark, root, version)
+    if parts is not None:
+        live = live.join(parts.select("bucket", "month").distinct(), ["bucket", "month"], "left_semi")
+    # One path for each live part, BUCKETS a month at most.
+    paths = [f"{root}/{r['folder']}/bucket={r['bucket']}/month={r['month']}" for r in live.select("folder", "bucket", "month").collect()]
+    return spark.read.schema(STORED).parquet(*paths) if paths else spark.createDataFrame([], STORED)
+
+
+def publish_merge(root: str, old: DataFrame, added: DataFrame) -> int:
+    """Publishes the archive with `added` rows and returns the version. Only parts that gain rows are written anew, out of their rows in `old`
+    and the added ones. Readers see the new parts when the manifest is there; a job that dies before leaves the old version."""
+    spark = added.sparkSession
+    before = current_version(spark, root)
+    gained = materialize(in_parts(added.select(*(c for c in STORED.names if c not in ("merge_no", "entry")), F.col("seq").alias("entry"))), "added")
+    changed = gained.select("bucket", "month").distinct()
+    kept = in_parts(old).join(changed, ["bucket", "month"], "left_semi")
+    rows = kept.unionByName(gained.withColumn("merge_no", F.lit(before + 1).cast("long")))
+    folder = f"parts/{uuid.uuid4().hex}"
+    order = ["bucket", "month", "chat_id", "dt", "merge_no", "entry"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*STORED.names, "bucket", "month").write.partitionBy("bucket", "month").parquet(f"{root}/{folder}")
+    version = F.lit(before + 1).cast("long").alias("version")
+    after = manifest(spark, root, before).join(changed, ["bucket", "month"], "left_anti").select("version", "bucket", "month", "folder")
+    after = after.unionByName(changed.select(version, "bucket", "month", F.lit(folder).alias("folder")))
+    # A row without a part says that there is such a version, even if nothing was ever added.
+    mark = spark.range(1).select(version, F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("string").alias("month"), F.lit(None).cast("string").alias("folder"))
     # A folder per version: a second writer of the same version fails here instead of hiding this merge.
-    row.coalesce(1).write.mode("error").json(f"{root}/versions/number={version}")
-    return path
+    after.unionByName(mark).coalesce(1).write.mode("error").json(f"{root}/versions/number={before + 1}")
+    return before + 1
+
 
+def read_archive(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The archive in order: by time, within a minute by merge and place in it, undated rows last; `seq` counts its rows."""
+    rows = resequence(read_parts(spark, root, version=version), "dt", ["merge_no", "entry"])
+    return rows.select(*ARCHIVE.names)
 
-def read_snapshot(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The published archive; empty before the first merge."""
-    known = current_version(spark, root)
-    return spark.read.schema(schema).parquet(known[1]) if known else spark.createDataFrame([], schema)
+
+def drop_old_parts(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Deletes the folders that none of the `keep` newest versions refers to, and returns how many."""
+    newest = current_version(spark, root)
+    live = {r["folder"] for v in range(max(newest - keep + 1, 1), newest + 1) for r in manifest(spark, root, v).select("folder").distinct().collect()}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/parts")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [f.getPath() for f in fs.listStatus(folder) if f"parts/{f.getPath().getName()}" not in live]
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
 
 
 def file_hashes(spark: SparkSession, paths) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,13 +9,15 @@ from pyspark.sql import functions as F
 from parlance.functions.identity import alias_key
 from parlance.functions.times import archive_moment
 from parlance.operators import merge as mg
-from parlance.plans.update import ARCHIVE, archive_rows, merge_lines, normalize
+from parlance.plans.update import archive_rows, merge_into, merge_lines, normalize
 from parlance.session import materialize
 from parlance.sources import archive as ar
 from parlance.sources import identities as ids
 from parlance.sources import sinks
 from parlance.sources.lines import read_lines
 from parlance.sources.raw_export import date_order, parse_export
+from parlance.sources.sinks import ARCHIVE
+from parlance.streaming.exports import stream_exports
 
 EXPORT = """top of the file
 13/12/2024, 14:23 - Alice Smith: first
@@ -146,7 +150,7 @@ def test_two_phones_one_archive(spark, claims, tmp_path):
     log = spark.read.json(f"{root}/merge_log").orderBy("merged_at").collect()
     assert [(r.added, r.duplicates) for r in log] == [(2, 0), (0, 2), (0, 2)]
     assert all(len(r.sha256) == 64 for r in log)
-    assert sinks.current_version(spark, root)[0] == 3
+    assert sinks.current_version(spark, root) == 3
 
 
 def test_archive_text_round_trip(spark, lines, claims, tmp_path):
@@ -199,11 +203,68 @@ def test_hash_does_not_depend_on_splits(spark, tmp_path):
 
 
 def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
-    rows = spark.createDataFrame([], ARCHIVE)
-    sinks.publish_snapshot(rows, str(tmp_path))
-    monkeypatch.setattr(sinks, "current_version", lambda *_: None)
+    old, none = spark.createDataFrame([], sinks.STORED), spark.createDataFrame([], ARCHIVE)
+    sinks.publish_merge(str(tmp_path), old, none)
+    monkeypatch.setattr(sinks, "current_version", lambda *_: 0)
     with pytest.raises(Exception, match="(?i)exists"):
-        sinks.publish_snapshot(rows, str(tmp_path))
+        sinks.publish_merge(str(tmp_path), old, none)
+
+
+def _files(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in (root / "parts").rglob("*.parquet")}
+
+
+def test_a_merge_writes_its_months_alone(spark, tmp_path):
+    def day(month, d, text):
+        return f"{d:02d}-{month}-2024, 10:00 - A: {text}"
+
+    def texts():
+        return [r.block_text for r in sinks.read_archive(spark, str(tmp_path)).orderBy("seq").collect()]
+
+    first = [day("Jan", 1, "a"), day("Jan", 2, "b"), day("Feb", 1, "c"), day("Mar", 1, "d"), "no date"]
+    merge_into(spark, str(tmp_path), blocks(spark, first, "one"))
+    before = _files(tmp_path)
+    assert {f.split("month=")[1].split("/")[0] for f in before} == {"2024-01", "2024-02", "2024-03", "undated"}
+    judged = merge_into(spark, str(tmp_path), blocks(spark, [day("Feb", 1, "c"), day("Feb", 1, "c2"), day("Feb", 3, "e"), day("Mar", 1, "d")], "two"))
+    assert tuple(mg.verdict_counts(judged).first())[1:] == (2, 2, 0)
+    new = {f: t for f, t in _files(tmp_path).items() if f not in before}
+    assert new and all("month=2024-02" in f for f in new) and all(_files(tmp_path)[f] == t for f, t in before.items())
+    assert texts() == [day("Jan", 1, "a"), day("Jan", 2, "b"), day("Feb", 1, "c"), day("Feb", 1, "c2"), day("Feb", 3, "e"), day("Mar", 1, "d"), "no date"]
+    # Nothing new: a version without a new part. The old version is still there to read, until its parts are dropped.
+    seen = _files(tmp_path)
+    merge_into(spark, str(tmp_path), blocks(spark, first, "three"))
+    assert _files(tmp_path) == seen and sinks.current_version(spark, str(tmp_path)) == 3
+    assert sinks.read_archive(spark, str(tmp_path), version=1).count() == len(first)
+    merge_into(spark, str(tmp_path), blocks(spark, [day("Feb", 9, "f")], "four"))
+    want = texts()
+    assert sinks.drop_old_parts(spark, str(tmp_path), keep=1) == 2  # the February of the second merge, nothing of the third
+    assert texts() == want and len(want) == 8
+
+
+def test_streamed_batches_write_their_months_alone(spark, claims, tmp_path):
+    folder, root = tmp_path / "in", tmp_path / "root"
+    folder.mkdir()
+    for month in (1, 2, 3):
+        (folder / f"{month}.txt").write_text(f"13/{month:02d}/2024, 10:00 - Alice Smith: hi\n14/{month:02d}/2024, 10:01 - Bob: yes\n")
+        stream_exports(spark, str(folder), str(root), claims, str(tmp_path / "checkpoint")).awaitTermination()
+    months = [f.split("month=")[1].split("/")[0] for f in _files(root)]
+    assert sorted(months) == ["2024-01", "2024-02", "2024-03"]
+    assert sinks.read_archive(spark, str(root)).count() == 6
+
+
+@pytest.mark.parametrize("cell_rows", [2, 1 << 17])
+def test_copies_over_many_cells(spark, cell_rows):
+    """Of n new copies those beyond the archive's count are new, wherever they stand."""
+    rng = random.Random(4)
+    old = [at(rng.randrange(3), rng.choice("abc")) for _ in range(30)]
+    new = [at(rng.randrange(4), rng.choice(["a", "b", "c", WAIT])) for _ in range(60)]
+    got = mg.judged(blocks(spark, old, "old"), blocks(spark, new, "new").repartition(3), cell_rows=cell_rows).orderBy("seq").collect()
+    left, want = Counter(old), []
+    for text in new:
+        left[text] -= 1
+        taken = WAIT in text and any(text[:18] == o[:18] for o in old)
+        want.append("duplicate" if left[text] >= 0 else "placeholder" if taken else "new")
+    assert [r.verdict for r in got] == want
 
 
 def test_rows_without_an_order_column(spark):
