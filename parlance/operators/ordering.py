@@ -2,11 +2,15 @@
 
 A chat is cut into cells of at most CELL_ROWS rows along `seq`. Windows run per (chat, cell);
 what crosses a cell edge is carried over by a table with one row per cell. A chat that holds a
-third of all rows is therefore spread like any other.
+third of all rows is therefore spread like any other. That table is made from whole rows, so that it asks for
+the same columns as the window does: Spark then reads and shuffles the rows once for both. Pass the columns you want, no others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +23,23 @@ def in_cells(df: DataFrame, keys, cell_rows: int = CELL_ROWS) -> DataFrame:
     return df.withColumn("cell", F.expr(f"seq div {cell_rows}")).repartition(*keys, "cell")
 
 
+def _per_cell(rows: DataFrame, cells: DataFrame, keys) -> DataFrame:
+    """Rows with what their cell carries. An ordinary equality would filter nulls out of one side alone, and the two would no longer share a shuffle."""
+    named = cells.withColumnsRenamed({c: f"_{c}" for c in (*keys, "cell")})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, "cell")))
+    return rows.join(named, same, "left").drop(*(f"_{c}" for c in (*keys, "cell")))
+
+
 def previous_row(df: DataFrame, fields, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
     """Adds `prev`, a struct of `fields` of the row before in (keys, seq) order; null on the first."""
     keys = list(keys)
     cut = in_cells(df, keys, cell_rows)
     here = F.struct(*fields)
     inside = cut.withColumn("prev", F.lag(here).over(Window.partitionBy(*keys, "cell").orderBy("seq")))
-    tails = cut.groupBy(*keys, "cell").agg(F.max_by(here, F.col("seq")).alias("tail"))
-    carried = tails.select(*keys, "cell", F.lag("tail").over(Window.partitionBy(*keys).orderBy("cell")).alias("carry"))
-    joined = inside.join(carried, [*keys, "cell"], "left")
-    return joined.withColumn("prev", F.coalesce("prev", "carry")).drop("cell", "carry")
+    tails = cut.groupBy(*keys, "cell").agg(F.max(F.struct("seq", *(c for c in cut.columns if c != "seq"))).alias("tail"))
+    tail = F.struct(*(F.col("tail")[f].alias(f) for f in fields))
+    carried = tails.select(*keys, "cell", F.lag(tail).over(Window.partitionBy(*keys).orderBy("cell")).alias("carry"))
+    return _per_cell(inside, carried, keys).withColumn("prev", F.coalesce("prev", "carry")).drop("cell", "carry")
 
 
 def running_max(df: DataFrame, column: str, out: str, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -38,11 +49,10 @@ def running_max(df: DataFrame, column: str, out: str, keys=("chat_id",), cell_ro
     cut = in_cells(df, keys, cell_rows)
     so_far = Window.partitionBy(*keys, "cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.withColumn(out, F.max(column).over(so_far))
-    tops = cut.groupBy(*keys, "cell").agg(F.max(column).alias("_top"))
+    tops = cut.groupBy(*keys, "cell").agg(F.max(F.struct(column, *(c for c in cut.columns if c != column)))[column].alias("_top"))
     earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*keys, "cell", F.max("_top").over(earlier).alias("_carry"))
-    joined = inside.join(carried, [*keys, "cell"], "left")
-    return joined.withColumn(out, F.greatest(out, "_carry")).drop("cell", "_carry")
+    return _per_cell(inside, carried, keys).withColumn(out, F.greatest(out, "_carry")).drop("cell", "_carry")
 
 
 def dense_position(df: DataFrame, out: str = "pos", keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -50,11 +60,10 @@ def dense_position(df: DataFrame, out: str = "pos", keys=("chat_id",), cell_rows
     keys = list(keys)
     cut = in_cells(df, keys, cell_rows)
     inside = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("seq")))
-    sizes = cut.groupBy(*keys, "cell").agg(F.count("*").alias("_size"))
+    sizes = inside.groupBy(*keys, "cell").agg(F.max(F.struct("_n", *cut.columns))["_n"].alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "cell", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
-    joined = inside.join(starts, [*keys, "cell"])
-    return joined.withColumn(out, F.col("_start") + F.col("_n") - 1).drop("cell", "_n", "_start")
+    return _per_cell(inside, starts, keys).withColumn(out, F.col("_start") + F.col("_n") - 1).drop("cell", "_n", "_start")
 
 
 def resequence(df: DataFrame, time: str, ties, keys=("chat_id",), out: str = "seq",
@@ -72,7 +81,7 @@ def resequence(df: DataFrame, time: str, ties, keys=("chat_id",), out: str = "se
     cut = df.withColumns(dict(zip(names, [when, *map(F.col, ties[:-1]), fine])))
     cut = cut.withColumn("_day", F.to_date("_t")).repartition(*keys, *names)
     inside = cut.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, *names).orderBy(ties[-1])))
-    sizes = cut.groupBy(*keys, "_day", *names).agg(F.count("*").alias("_size"))
+    sizes = inside.groupBy(*keys, "_day", *names).agg(F.max(F.struct("_n", *cut.columns))["_n"].alias("_size"))
     before = (Window.unboundedPreceding, -1)
     in_day = Window.partitionBy(*keys, "_day").orderBy(*names).rowsBetween(*before)
     days = sizes.groupBy(*keys, "_day").agg(F.sum("_size").alias("_size"))

@@ -2,7 +2,9 @@
 segment fingerprints.
 
 Everything is derived from one index per (term, sender, day): days are counted by its rows, and
-a frequent term is summed up on the map side before it meets its peers.
+a frequent term is summed up on the map side before it meets its peers. The index holds plain numbers, which Spark
+aggregates by hash; who said a term first or last, who says it most and how it was written is looked up for the
+terms of a result only.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from parlance.functions.scoring import comparative_score, scaled_half_days, scal
 from parlance.model import Profile, value
 from parlance.operators.enrich import worded
 from parlance.operators.ordering import top_k
+from parlance.session import materialize
 
 
 def word_uses(lexical: DataFrame, profile: Profile, stopwords: DataFrame | None = None, keys=("chat_id",)) -> DataFrame:
@@ -41,19 +44,11 @@ def phrase_uses(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> Data
 def day_index(uses: DataFrame, keys=("chat_id",)) -> DataFrame:
     """(keys, term, sender, date): count, first and last use. The base of every term statistic
     and the one step that touches texts; materialize it where several of them are wanted."""
-    if "display" in uses.columns:  # a row per message, not per word
-        return uses.groupBy(*keys, "term", "sender", "date").agg(
-            F.count("*").alias("cnt"), F.min(F.struct("ts", "seq")).alias("first_at"),
-            F.max(F.struct(F.col("ts"), (-F.col("seq")).alias("back"))).alias("last_at"),
-            F.min(F.struct("seq", "display")).alias("shown"),
-        )
-    # Words by minute and then by day, on plain numbers, which Spark aggregates by hash. `seq` rises with time, so the first
-    # row of the last minute is the largest of the minutes' first rows.
+    # By minute and then by day. `seq` rises with time, so the first row of the last minute is the largest of the minutes' first rows.
     minutes = uses.groupBy(*keys, "term", "sender", "date", "ts").agg(F.count("*").alias("cnt"), F.min("seq").alias("seq"))
-    days = minutes.groupBy(*keys, "term", "sender", "date").agg(
-        F.sum("cnt").alias("cnt"), F.min("ts").alias("_a"), F.min("seq").alias("_first"), F.max("ts").alias("_z"), F.max("seq").alias("_last"))
-    first, last = F.struct(F.col("_a").alias("ts"), F.col("_first").alias("seq")), F.struct(F.col("_z").alias("ts"), (-F.col("_last")).alias("back"))
-    return days.withColumns({"first_at": first, "last_at": last}).drop("_a", "_z", "_first", "_last")
+    return minutes.groupBy(*keys, "term", "sender", "date").agg(
+        F.sum("cnt").alias("cnt"), F.min("ts").alias("first_ts"), F.min("seq").alias("first_seq"),
+        F.max("ts").alias("last_ts"), F.max("seq").alias("last_seq"))
 
 
 def person_index(index: DataFrame, keys=("chat_id",)) -> DataFrame:
@@ -62,17 +57,38 @@ def person_index(index: DataFrame, keys=("chat_id",)) -> DataFrame:
 
 
 def term_index(index: DataFrame, keys=("chat_id",)) -> DataFrame:
-    """(keys, term): count, distinct days, person-days, first and last use and by whom. First
+    """(keys, term): count, distinct days, person-days, first and last use. First
     ties go to the earlier row, last ties to the earliest row of the last minute."""
-    shown = [F.min("shown")["display"].alias("display")] if "shown" in index.columns else []
     return index.groupBy(*keys, "term").agg(
         F.sum("cnt").alias("cnt"), F.count_distinct("date").alias("days"), F.count("*").alias("person_days"),
-        F.min("first_at")["ts"].alias("first_ts"), F.min_by("sender", "first_at").alias("first_by"),
-        F.max("last_at")["ts"].alias("last_ts"), F.max_by("sender", "last_at").alias("last_by"),
-        *shown,
+        F.min("first_ts").alias("first_ts"), F.min("first_seq").alias("first_seq"),
+        F.max("last_ts").alias("last_ts"), F.max("last_seq").alias("last_seq"),
     )
 
 
+def with_sayers(terms: DataFrame, index: DataFrame, people: DataFrame | None = None, keys=("chat_id",)) -> DataFrame:
+    """Rows of a term index with `first_by` and `last_by`; with `people` also the participant with the most days, then uses, then
+    the better rank. One pass over the index, which meets the given terms only."""
+    keys, on = list(keys), [*keys, "term"]
+    marks = terms.select(*on, F.col("first_seq").alias("_a"), F.col("last_seq").alias("_z"))
+    persons = index.join(marks, on).groupBy(*on, "sender").agg(
+        F.sum("cnt").alias("cnt"), F.count("*").alias("days"), F.max(F.col("first_seq") == F.col("_a")).alias("opens"), F.max(F.col("last_seq") == F.col("_z")).alias("closes"))
+    found = [F.max(F.when(F.col("opens"), F.col("sender"))).alias("first_by"), F.max(F.when(F.col("closes"), F.col("sender"))).alias("last_by")]
+    if people is not None:
+        persons = persons.join(people.select(*keys, "sender", "rank"), [*keys, "sender"], "left")
+        found.append(F.max(F.when(F.col("rank").isNotNull(), F.struct("days", "cnt", (-F.col("rank")).alias("place"), "sender"))).alias("best"))
+    said = persons.groupBy(*on).agg(*found)
+    if people is not None:
+        said = said.select(*on, "first_by", "last_by", F.col("best.sender").alias("top_sayer"), F.col("best.cnt").alias("top_sayer_count"))
+    return terms.join(said, on, "left").drop("first_seq", "last_seq")
+
+
+def with_display(terms: DataFrame, uses: DataFrame, keys=("chat_id",)) -> DataFrame:
+    """Rows of a term index with `display`, the term as it was first written."""
+    on = [*keys, "term", "first_seq"]
+    return terms.join(uses.select(*keys, "term", F.col("seq").alias("first_seq"), "display"), on, "left")
+
+
 def use_totals(index: DataFrame, keys=("chat_id",)) -> DataFrame:
     """All uses of all terms per key."""
     return index.groupBy(*keys).agg(F.sum("cnt").alias("total_uses"))
@@ -100,17 +116,6 @@ def eligible(terms: DataFrame, spans: DataFrame, profile: Profile, keys=("chat_i
     return kept.withColumn("weight", spread_weight(F.col("days"), F.col("half_days"))).drop("window_days")
 
 
-def top_sayers(persons: DataFrame, people: DataFrame, keys=("chat_id",)) -> DataFrame:
-    """(keys, term): the participant with the most days, then uses, then the better rank. An
-    aggregate, so that a term everybody says needs no window."""
-    keys = list(keys)
-    ranked = persons.join(people.select(*keys, "sender", "rank"), [*keys, "sender"])
-    order = F.struct(F.col("days"), F.col("cnt"), -F.col("rank"))
-    best = ranked.groupBy(*keys, "term").agg(F.max_by(F.struct("sender", "cnt", "days"), order).alias("best"))
-    return best.select(*keys, "term", F.col("best.sender").alias("top_sayer"),
-                       F.col("best.cnt").alias("top_sayer_count"), F.col("best.days").alias("top_sayer_days"))
-
-
 def baseline_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(term, base_cnt) of a baseline corpus, words of every length."""
     words = texts.select(F.explode(tx.tokens(tx.lexical_text(F.col(column)))).alias("term"))
@@ -134,21 +139,19 @@ def distinctive_words(index: DataFrame, spans: DataFrame, people: DataFrame, bas
     wanted = eligible(term_index(index, keys), spans, profile, keys).join(use_totals(index, keys), keys)
     scored = _with_score(wanted.join(baseline, "term", "left").crossJoin(F.broadcast(baseline_totals(baseline))))
     best = top_k(scored, keys, [F.desc(F.col("score") * F.col("weight")), F.desc("cnt"), F.asc("term")], profile.top_n, most=profile.top_n_limit)
-    sayers = top_sayers(person_index(index, keys), people, keys)
-    return best.join(sayers, [*keys, "term"], "left").select(
+    return with_sayers(materialize(best, "best-words"), index, people, keys).select(
         *keys, "rank", "term", "cnt", "days", F.col("score").alias("vs_baseline"), "top_sayer", "top_sayer_count",
         "first_by", "first_ts", "last_by", "last_ts",
     )
 
 
-def repeated_phrases(index: DataFrame, spans: DataFrame, people: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
+def repeated_phrases(index: DataFrame, uses: DataFrame, spans: DataFrame, people: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
     """Whole messages said again and again, discounted for one-day bursts."""
     keys = list(keys)
     wanted = eligible(term_index(index, keys), spans, profile, keys)
     order = [F.desc(F.col("cnt") * F.col("weight")), F.desc("cnt"), F.desc(F.length("term")), F.asc("term")]
-    best = top_k(wanted, keys, order, profile.top_n, most=profile.top_n_limit)
-    sayers = top_sayers(person_index(index, keys), people, keys)
-    return best.join(sayers, [*keys, "term"], "left").select(
+    best = materialize(with_display(top_k(wanted, keys, order, profile.top_n, most=profile.top_n_limit), uses, keys), "best-phrases")
+    return with_sayers(best, index, people, keys).select(
         *keys, "rank", "display", "term", "cnt", "days", "top_sayer", "top_sayer_count",
         "first_by", "first_ts", "last_by", "last_ts",
     )
@@ -158,27 +161,28 @@ def signatures(index: DataFrame, spans: DataFrame, people: DataFrame, profile: P
     """Terms one participant owns by distinct days, the best of each active enough participant."""
     keys = list(keys)
     wanted = eligible(term_index(index, keys), spans, profile, keys)
-    owned = wanted.join(top_sayers(person_index(index, keys), people, keys), [*keys, "term"])
+    # Everybody who says a wanted term competes for it; the map side sends one of them a term.
+    persons = person_index(index, keys).select(*keys, "term", "sender", F.col("cnt").alias("top_sayer_count"), F.col("days").alias("top_sayer_days"))
+    persons = persons.join(wanted, [*keys, "term"]).join(people.select(*keys, "sender", F.col("rank").alias("_rank"), F.col("n").alias("_n")), [*keys, "sender"])
+    owned = top_k(persons, [*keys, "term"], [F.desc("top_sayer_days"), F.desc("top_sayer_count"), F.asc("_rank")], 1, "_place")
     owned = owned.where((F.col("top_sayer_days") >= F.col("min_days"))
-                        & (F.col("top_sayer_count") >= value(profile.min_repeat_count)))
+                        & (F.col("top_sayer_count") >= value(profile.min_repeat_count))
+                        & (F.col("_n") >= value(profile.signature_min_messages)))
     dominance = 100 * F.col("top_sayer_days") / F.col("person_days")
     weight = spread_weight(F.col("top_sayer_days"), F.col("half_days"))
-    scored = owned.withColumns({"dominance_pct": dominance, "rank_score": dominance * weight,
-                                "sender": F.col("top_sayer")})
-    busy = people.where(F.col("n") >= value(profile.signature_min_messages)).select(*keys, "sender")
-    scored = scored.join(busy, [*keys, "sender"], "left_semi")
+    scored = owned.withColumns({"dominance_pct": dominance, "rank_score": dominance * weight})
     best = top_k(scored, [*keys, "sender"], [F.desc("rank_score"), F.desc("top_sayer_count"), F.asc("term")],
                  profile.signature_top_n_per_person, most=profile.signature_limit)
-    return best.select(
+    return with_sayers(materialize(best, "best-signatures"), index, None, keys).select(
         *keys, "sender", "rank", "term", F.col("top_sayer_count").alias("person_count"), F.col("cnt").alias("total_count"),
         F.col("top_sayer_days").alias("person_days"), F.col("person_days").alias("total_days"),
         "dominance_pct", "rank_score", "first_by", "first_ts", "last_by", "last_ts",
     )
 
 
-def fingerprints(index: DataFrame, spans: DataFrame, people: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
+def fingerprints(index: DataFrame, spans: DataFrame, people: DataFrame, profile: Profile, keys=("chat_id",), uses: DataFrame | None = None) -> DataFrame:
     """What each slice says more than its whole chat does. `index`, `spans` and `people` are
-    keyed by slice too and hold the chat itself as slice 'full'."""
+    keyed by slice too and hold the chat itself as slice 'full'. With the `uses` of phrases each is shown as it was first written."""
     chat, both = list(keys), [*keys, "slice"]
     small = profile.loose()
     whole = index.where(F.col("slice") == "full")
@@ -188,9 +192,10 @@ def fingerprints(index: DataFrame, spans: DataFrame, people: DataFrame, profile:
     wanted = eligible(term_index(parts, both), spans, small, both).join(use_totals(parts, both), both)
     scored = _with_score(wanted.join(base, [*chat, "term"], "left").join(base_totals, chat))
     best = top_k(scored, both, [F.desc(F.col("score") * F.col("weight")), F.desc("cnt"), F.asc("term")], small.top_n)
-    sayers = top_sayers(person_index(parts, both), people, both)
-    shown = [F.col("display")] if "shown" in index.columns else []
-    return best.join(sayers, [*both, "term"], "left").select(
+    if uses is not None:
+        best = with_display(best, uses, both)
+    shown = [F.col("display")] if uses is not None else []
+    return with_sayers(materialize(best, "best-terms"), parts, people, both).select(
         *both, "rank", "term", *shown, F.col("cnt").alias("count_in_slice"), F.col("days").alias("days_in_slice"),
         F.col("base_cnt").alias("count_in_archive"), F.col("score").alias("vs_archive"), "top_sayer", "top_sayer_count",
         "first_by", "first_ts", "last_by", "last_ts",

@@ -84,7 +84,8 @@ def phrase_forms(spark, sf):
 
 @query(WORDS + INDEX + " SELECT chat_id, term, cnt, days, person_days, first_ts, first_by, last_ts, last_by FROM i")
 def word_index_terms(spark, sf):
-    return te.term_index(word_index(rows(spark, sf)))
+    index = materialize(word_index(rows(spark, sf)), "words")
+    return te.with_sayers(te.term_index(index), index)
 
 
 @query(WORDS + INDEX + " SELECT * FROM q")
@@ -95,7 +96,9 @@ def word_index_people(spark, sf):
 @query(SENT + INDEX + ", f AS (SELECT chat_id, term, arg_min(display, seq) AS display FROM u GROUP BY 1, 2) "
        "SELECT chat_id, term, cnt, days, person_days, first_ts, first_by, last_ts, last_by, display FROM i JOIN f USING (chat_id, term)")
 def phrase_index_terms(spark, sf):
-    return te.term_index(phrase_index(rows(spark, sf)))
+    said = materialize(te.phrase_uses(rows(spark, sf), PHRASES), "said")
+    index = materialize(te.day_index(said), "phrases")
+    return te.with_sayers(te.with_display(te.term_index(index), said), index)
 
 
 @query(WORDS + " SELECT chat_id, COUNT(DISTINCT term) AS vocab_overall FROM u GROUP BY 1")
@@ -146,8 +149,9 @@ def distinctive_words(spark, sf):
     FROM r LEFT JOIN s ON r.chat_id = s.chat_id AND r.term = s.term JOIN f ON r.chat_id = f.chat_id AND r.term = f.term WHERE rank <= 15""")
 def repeated_phrases(spark, sf):
     texts = rows(spark, sf)
-    index = materialize(phrase_index(texts), "phrases")
-    return te.repeated_phrases(index, te.window_days(texts), en.participants(texts), PHRASES)
+    said = materialize(te.phrase_uses(texts, PHRASES), "said")
+    index = materialize(te.day_index(said), "phrases")
+    return te.repeated_phrases(index, said, te.window_days(texts), en.participants(texts), PHRASES)
 
 
 def signature_sql(count: int) -> str:

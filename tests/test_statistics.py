@@ -86,8 +86,8 @@ def test_burst_and_steady(spark):
     lex = en.with_lexical(en.enrich(messages(spark, rows)))
     people = en.participants(lex)
     spans = te.window_days(lex)
-    index = te.day_index(te.phrase_uses(lex, Profile()))
-    top = te.repeated_phrases(index, spans, people, Profile()).collect()
+    uses = te.phrase_uses(lex, Profile())
+    top = te.repeated_phrases(te.day_index(uses), uses, spans, people, Profile()).collect()
     assert [(r.display, r.cnt, r.days, r.top_sayer) for r in top] == [("steady as always", 4, 4, "B")]
     words = te.day_index(te.word_uses(lex, Profile()))
     owned = te.signatures(words, spans, people, Profile(signature_min_messages=1)).collect()
