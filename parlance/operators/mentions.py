@@ -1,13 +1,15 @@
 """Known names behind an @: the lookup, the mention edges, and text without them.
 
-A name may hold several words. Every beginning of what follows an @ that ends where a name may end,
-up to the longest name of its chat, is a probe, and probes meet the whole spelling in an equi-join:
-names that share a first word don't multiply. Only rows that hold an @ take part.
+A name may hold several words. Every beginning of what follows an @ that ends where a name may end, up to the longest
+name of its chat, is looked up in the chat's names, a map of as many entries as the chat has spellings. Only rows
+that hold an @ meet it; a message's pieces stay an array in its row, so nothing is joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
@@ -27,51 +29,54 @@ def name_lookup(people: DataFrame, aliases: DataFrame | None = None, keys=("chat
     chat, also below the minimum that makes a participant; such targets are not `listed`.
     """
     keys = list(keys)
-    listed = people.select(*keys, F.col("sender").alias("target")).withColumn("listed", F.lit(True))
-    exact = people.select(*keys, F.lower("sender").alias("variant"), F.col("sender").alias("target"))
+    first = F.regexp_extract("sender", r"(?U)^\s*(\S+)", 1)
+    spellings = F.array(F.struct(F.lower("sender").alias("variant"), F.lit(0).alias("tier")), F.struct(F.lower(first).alias("variant"), F.lit(1).alias("tier")))
+    own = people.select(*keys, F.col("sender").alias("target"), (first != F.col("sender")).alias("derives"), F.inline(spellings))
+    tiers = own.where((F.col("tier") == 0) | F.col("derives")).select(*keys, "variant", "target", F.lit(True).alias("listed"), "tier")
     if aliases is not None:
-        known = (people if everyone is None else everyone).select(*keys, F.col("sender").alias("canonical")).distinct()
+        known = people.select(*keys, F.col("sender").alias("canonical"), F.lit(True).alias("listed"))
+        if everyone is not None:
+            known = known.unionByName(everyone.select(*keys, F.col("sender").alias("canonical"), F.lit(False).alias("listed")))
+        known = known.groupBy(*keys, "canonical").agg(F.max("listed").alias("listed"))
         extra = aliases.where(~F.col("alias_key").contains("@")).join(known, "canonical")
-        exact = exact.unionByName(extra.select(*keys, F.lower(F.trim("alias_key")).alias("variant"), F.col("canonical").alias("target")))
-    first = F.regexp_extract("sender", r"(?U)^\s*(\S+)", 1)
-    derived = people.where(first != F.col("sender")).select(*keys, F.lower(first).alias("variant"), F.col("sender").alias("target"))
-    tiers = exact.withColumn("tier", F.lit(0)).unionByName(derived.withColumn("tier", F.lit(1)))
+        tiers = tiers.unionByName(extra.select(*keys, F.lower(F.trim("alias_key")).alias("variant"), F.col("canonical").alias("target"), "listed", F.lit(0).alias("tier")))
+    owner = F.struct("target", "listed")
     owners = tiers.where(F.col("variant") != "").groupBy(*keys, "variant").agg(
         F.min("tier").alias("_best"),
-        *(F.min(F.when(F.col("tier") == t, F.col("target"))).alias(f"_a{t}") for t in (0, 1)),
-        *(F.max(F.when(F.col("tier") == t, F.col("target"))).alias(f"_z{t}") for t in (0, 1)),
+        *(F.min(F.when(F.col("tier") == t, owner)).alias(f"_a{t}") for t in (0, 1)),
+        *(F.max(F.when(F.col("tier") == t, owner)).alias(f"_z{t}") for t in (0, 1)),
     )
     low = F.when(F.col("_best") == 0, F.col("_a0")).otherwise(F.col("_a1"))
     high = F.when(F.col("_best") == 0, F.col("_z0")).otherwise(F.col("_z1"))
-    found = owners.where(low == high).select(*keys, "variant", low.alias("target"))
-    return found.join(listed, [*keys, "target"], "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return owners.where(low["target"] == high["target"]).select(*keys, "variant", low["target"].alias("target"), low["listed"].alias("listed"))
 
 
-def _pieces(rows: DataFrame, keys, column: str) -> DataFrame:
-    """One row per text piece; piece 0 lies before the first @."""
-    return rows.select(*keys, "seq", "sender", F.posexplode(F.split(F.col(column), _AT)).alias("pos", "piece"))
+def _with_names(rows: DataFrame, lookup: DataFrame, keys, column: str) -> DataFrame:
+    """Adds `_names`, the chat's names by spelling, and `_parts`: what lies before the first @ and then each piece that follows
+    one, with the length `n` of the longest name it begins with. Rows without an @ are one part."""
+    entry = F.struct("variant", F.struct("target", "listed").alias("owner"))
+    names = lookup.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_names"), F.max(F.length("variant")).alias("_most"))
+    names = names.withColumnsRenamed({k: f"_{k}" for k in keys})
+    mine = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in keys))
+    joined = rows.join(names, mine & F.contains(F.col(column), F.lit("@")), "left")
 
+    def longest(piece: Column) -> Column:
+        lengths = F.when((F.length(piece) > 0) & F.col("_names").isNotNull(), F.sequence(F.lit(1), F.least(F.length(piece), F.col("_most"))))
+        return F.array_max(F.filter(lengths, lambda n: F.substr(piece, n + 1).rlike(_NAME_END) & F.map_contains_key(F.col("_names"), F.lower(F.left(piece, n)))))
 
-def _matched(pieces: DataFrame, lookup: DataFrame, keys) -> DataFrame:
-    """Adds the longest name each piece begins with (`hit`: target, listed, name_length); null if none."""
-    keys = list(keys)
-    longest = lookup.groupBy(*keys).agg(F.max(F.length("variant")).alias("_most"))
-    probes = pieces.where((F.col("pos") > 0) & (F.col("piece") != "")).join(longest, keys)
-    ends = F.filter(F.sequence(F.lit(1), F.least(F.length("piece"), F.col("_most"))), lambda n: F.substr("piece", n + 1).rlike(_NAME_END))
-    probes = probes.select(*keys, "seq", "pos", "piece", F.explode(ends).alias("name_length"))
-    probes = probes.withColumn("variant", F.lower(F.left("piece", F.col("name_length")))).drop("piece")
-    best = probes.join(lookup, [*keys, "variant"]).groupBy(*keys, "seq", "pos").agg(
-        F.max_by(F.struct("target", "listed", "name_length"), "name_length").alias("hit"),
-    )
-    return pieces.join(best, [*keys, "seq", "pos"], "left")
+    parts = F.transform(F.split(F.col(column), _AT), lambda piece, i: F.struct(piece.alias("piece"), F.when(i > 0, longest(piece)).alias("n")))
+    return joined.withColumn("_parts", parts).drop("_most", *(f"_{k}" for k in keys))
 
 
 def mention_edges(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",)) -> DataFrame:
     """(keys, src, dst, cnt): who mentions which participant, and how often."""
     keys = list(keys)
     rows = spoken(enriched).where(F.contains(F.col("analysis_text"), F.lit("@")))
-    hits = _matched(_pieces(rows, keys, "analysis_text"), lookup, keys).where(F.col("hit.listed"))
-    return hits.groupBy(*keys, F.col("sender").alias("src"), F.col("hit.target").alias("dst")).agg(F.count("*").alias("cnt"))
+    found = _with_names(rows.select(*keys, "sender", "analysis_text"), lookup, keys, "analysis_text")
+    hits = F.filter("_parts", lambda p: p["n"].isNotNull())
+    owners = F.transform(hits, lambda p: F.element_at(F.col("_names"), F.lower(F.left(p["piece"], p["n"]))))
+    edges = found.select(*keys, F.col("sender").alias("src"), F.inline(owners)).where("listed")
+    return edges.groupBy(*keys, "src", F.col("target").alias("dst")).agg(F.count("*").alias("cnt"))
 
 
 def mention_totals(edges: DataFrame, keys=("chat_id",)) -> DataFrame:
@@ -89,16 +94,9 @@ def without_mentions(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",))
     """Adds `lexical_text` with known names (several words too) and other @tags taken out, and
     its word count. Rows without an @ pass straight through."""
     keys = list(keys)
-    tagged = F.contains(F.col("analysis_text"), F.lit("@"))
-    pieces = _matched(_pieces(enriched.where(tagged), keys, "analysis_text"), lookup, keys)
-    rest = (
-        F.when(F.col("pos") == 0, F.col("piece"))
-        .when(F.col("hit").isNotNull(), F.concat(F.lit(" "), F.substr("piece", F.col("hit.name_length") + 1)))
-        .otherwise(F.concat(F.lit("@"), F.col("piece")))
-    )
-    rebuilt = pieces.groupBy(*keys, "seq").agg(F.array_sort(F.collect_list(F.struct("pos", rest.alias("rest")))).alias("_parts"))
-    text = F.array_join(F.transform("_parts", lambda p: p["rest"]), "")
-    cleaned = enriched.where(tagged).join(rebuilt.select(*keys, "seq", text.alias("_bare")), [*keys, "seq"])
-    both = enriched.where(~tagged).withColumn("_bare", F.col("analysis_text")).unionByName(cleaned)
-    lexical = both.withColumn("lexical_text", tx.lexical_text(F.col("_bare"))).drop("_bare")
+    named = _with_names(enriched, lookup, keys, "analysis_text")
+    rest = F.transform("_parts", lambda p, i: F.when(i == 0, p["piece"]).when(
+        p["n"].isNotNull(), F.concat(F.lit(" "), F.substr(p["piece"], p["n"] + 1))).otherwise(F.concat(F.lit("@"), p["piece"])))
+    bare = F.when(F.contains(F.col("analysis_text"), F.lit("@")), F.array_join(rest, "")).otherwise(F.col("analysis_text"))
+    lexical = named.withColumn("lexical_text", tx.lexical_text(bare)).drop("_names", "_parts")
     return lexical.withColumn("word_count", tx.word_count(F.col("lexical_text")))

@@ -9,7 +9,9 @@ from parlance.functions import text as tx
 from parlance.functions import times as tm
 from parlance.model import Profile
 from parlance.operators.enrich import spoken, worded
+from parlance.operators.mentions import mention_totals
 from parlance.operators.ordering import CELL_ROWS, previous_row, top_k
+from parlance.session import materialize
 
 # ---- fixed values: leaderboard -> metric ----
 LEADERBOARDS = {
@@ -141,9 +143,12 @@ def turn_taking(enriched: DataFrame, profile: Profile, keys=("chat_id",), cell_r
 
 def person_stats(lexical: DataFrame, people: DataFrame, profile: Profile, mentions: DataFrame | None = None,
                  keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per participant with every metric. `mentions` is the (src, dst, cnt) edge table."""
+    """One row per participant with every metric. `mentions` is the (src, dst, cnt) edge table. The columns that several
+    of the parts read are worked out and written once."""
     keys = list(keys)
     who = [*keys, "sender"]
+    read = ("seq", "ts", "date", "hour", "is_system", "is_real_text", "is_media", "is_deleted", "is_edited", "word_count", "char_count", "lexical_text")
+    lexical = materialize(lexical.select(*who, *read, F.left("text", F.lit(300)).alias("text")), "person-rows")
     totals = lexical.groupBy(*keys).agg((F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("_days"))
     counted = _counts_and_peak(lexical, profile, keys)
     counted = counted.withColumn("_all", F.sum("total_messages").over(Window.partitionBy(*keys)))
@@ -151,8 +156,7 @@ def person_stats(lexical: DataFrame, people: DataFrame, profile: Profile, mentio
     parts = [vocabulary(lexical, keys), longest_by_person(lexical, keys),
              turn_taking(lexical, profile, keys, cell_rows)]
     if mentions is not None:
-        parts.append(mentions.groupBy(*keys, F.col("src").alias("sender")).agg(F.sum("cnt").alias("mentions_given")))
-        parts.append(mentions.groupBy(*keys, F.col("dst").alias("sender")).agg(F.sum("cnt").alias("mentions_received")))
+        parts.append(mention_totals(mentions, keys))
     for part in parts:
         table = table.join(part, who, "left")
     if mentions is None:
