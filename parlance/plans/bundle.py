@@ -63,7 +63,7 @@ def bundle(enriched: DataFrame, profile: Profile, segments: DataFrame | None = N
                 "silences": summary.silences(rows, keys), "longest_messages": summary.longest_messages(rows, keys),
                 "quickest_replies": summary.quickest_replies(gaps, keys), "median_reply_gap": summary.median_reply_gap(gaps, keys)}
     if "chains" in chosen:
-        sequence = materialize(chains.chain_rows(enriched), "sequence")
-        found, runs = chains.find_chains(sequence, profile)
-        out["chains"] = chains.chain_report(sequence, found, runs, profile)
+        sequence = materialize(chains.chain_rows(rows, keys), "sequence")
+        found, runs = chains.find_chains(sequence, profile, keys)
+        out["chains"] = chains.chain_report(sequence, found, runs, profile, keys)
     return out

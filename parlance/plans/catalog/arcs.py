@@ -11,6 +11,7 @@ from parlance.operators import segments as sg
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
 from parlance.session import materialize, shared_dir
+from parlance.sources.sinks import write_segments
 from parlance.sources.tables import read_segments
 
 # Thirty days of even traffic: a short window and low bars make spikes of its waves.
@@ -129,6 +130,22 @@ def stored_spikes(spark, sf):
     return read_segments(spark, path).select("chat_id", "seg_no", "type", "label")
 
 
+@query(TABLE + """, tp AS (SELECT chat_id, seg_no, sender, cnt, ROW_NUMBER() OVER (PARTITION BY chat_id, seg_no ORDER BY cnt DESC, sender) AS place FROM cn QUALIFY place <= 3),
+    ta AS (SELECT chat_id, seg_no, string_agg(concat(sender, ' ', cnt), ', ' ORDER BY place) AS top_contributors FROM tp GROUP BY 1, 2)
+    SELECT sg.chat_id, sg.seg_no, type, label, default_name AS name, start_day, end_day, COALESCE(n_messages, 0) AS n_messages, top_contributors
+    FROM sg LEFT JOIN st ON sg.chat_id = st.chat_id AND sg.seg_no = st.seg_no LEFT JOIN ta ON sg.chat_id = ta.chat_id AND sg.seg_no = ta.seg_no""")
+def stored_segment_files(spark, sf):
+    """The segment table end to end, written as CSV and as JSON, and both read back."""
+    folder = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    write_segments(sg.segment_table(messages(spark, sf), PROFILE), f"{folder}/csv", f"{folder}/json")
+    columns = spark.read.option("header", True).csv(f"{folder}/csv")
+    flat = columns.select(*(F.col(c).cast(t).alias(c) for c, t in (
+        ("chat_id", "long"), ("seg_no", "long"), ("type", "string"), ("label", "string"), ("name", "string"), ("start_day", "date"), ("end_day", "date"), ("n_messages", "long"))))
+    nested = spark.read.schema("chat_id long, seg_no long, top_contributors array<struct<sender:string,cnt:long>>").json(f"{folder}/json")
+    said = F.transform("top_contributors", lambda e: F.concat_ws(" ", e["sender"], e["cnt"].cast("string")))
+    return flat.join(nested.select("chat_id", "seg_no", F.array_join(said, ", ").alias("top_contributors")), ["chat_id", "seg_no"])
+
+
 @query(TABLE + " SELECT chat_id, seq, seg_no FROM ms")
 def messages_in_segments(spark, sf):
     rows = messages(spark, sf).where(~F.col("is_system"))

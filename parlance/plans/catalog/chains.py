@@ -8,6 +8,7 @@ from parlance.functions import times as tm
 from parlance.model import Profile
 from parlance.operators import chains as ch
 from parlance.operators.enrich import enrich
+from parlance.operators.slices import sliced
 from parlance.plans import views
 from parlance.plans.catalog.registry import query
 from parlance.session import materialize
@@ -40,10 +41,14 @@ STRICT = RUNS.replace("WITH m AS", "WITH RECURSIVE m AS") + """, n AS (SELECT *,
 NO_GAPS = Profile(chain_max_cycle=2, chain_tolerance=0)
 
 
-def sequence(spark, sf):
+def messages(spark, sf):
     columns = {**views.EVENT_COLUMNS, "text": _TEXT, "sender": "concat('User ', CAST(user_id AS STRING))", "is_system": "false"}
     rows = views.table(spark, sf, "events").select(*(F.expr(e).alias(c) for c, e in columns.items()), tm.to_minute(F.col("ts")).alias("ts"))
-    return ch.chain_rows(enrich(rows), cell_rows=1024)
+    return enrich(rows)
+
+
+def sequence(spark, sf):
+    return ch.chain_rows(messages(spark, sf), cell_rows=1024)
 
 
 @query(RUNS + """ SELECT chat_id, MIN(seq) AS run, norm, COUNT(*) AS length, COUNT(DISTINCT sender) AS people, MIN(ts) AS start_ts, MAX(ts) AS end_ts
@@ -77,6 +82,28 @@ def strict_chain_report(spark, sf):
                          F.size("messages").alias("shown"), "span", "total_found")
 
 
+# The last two weeks of every chat are a sequence of their own.
+SLICED = STRICT.replace(", n AS (SELECT *,", """, x AS (SELECT *, CAST(ts AS DATE) >= CAST(MAX(ts) OVER (PARTITION BY chat_id) AS DATE) - 13 AS late FROM m),
+    m2 AS (SELECT chat_id * 2 AS chat_id, seq, ts, sender, norm FROM x UNION ALL SELECT chat_id * 2 + 1, seq, ts, sender, norm FROM x WHERE late), n AS (SELECT *,""").replace("- 1 AS pos FROM m)", "- 1 AS pos FROM m2)")
+
+
+@query(SLICED + " SELECT chat_id // 2 AS chat_id, CASE chat_id % 2 WHEN 0 THEN 'full' ELSE 'last' END AS slice, cycle_length, members, first_pos, last_pos FROM c")
+def sliced_chains(spark, sf):
+    """Chains of the whole chat and of its last days, in one run."""
+    keys = ["chat_id", "slice"]
+    cut = sliced(messages(spark, sf), Profile(last_period_days=14))
+    rows = materialize(ch.chain_rows(cut, keys, cell_rows=1024), "sequence")
+    return ch.find_chains(rows, NO_GAPS, keys, cell_rows=1024)[0].drop("start")
+
+
+@query("""WITH m AS (SELECT CAST(CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS BIGINT) AS chat_id, (doc_id % 2160) * 1000000000000 + doc_id AS seq, source AS sender, text FROM documents)
+    SELECT chat_id, ROW_NUMBER() OVER (PARTITION BY chat_id ORDER BY seq) - 1 AS pos, sender,
+    trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\\p{P}\\p{Sm}\\p{Sc}\\p{Sk}]', '', 'g'), '\\s+', ' ', 'g')) AS norm FROM m""")
+def folded_texts(spark, sf):
+    """Texts in four languages as chains compare them."""
+    return ch.chain_rows(enrich(views.documents(spark, sf))).select("chat_id", "pos", "sender", "norm")
+
+
 @query()
 def chains(spark, sf):
     rows = materialize(sequence(spark, sf), "sequence")
