@@ -7,10 +7,12 @@ prefix are one group, and only groups are joined on prefix shingles. Pairs of gr
 those are verified on whole sets.
 
 Nothing emits pairs of documents. Classes are dealt into blocks of bounded size in which alike ones lie together (by
-the group most of their shared prefix leads to), and the join yields pairs of blocks with the groups concerned; a task verifies one pair of blocks
-by a matrix product and returns a spanning forest of the links. A crowd of n near copies costs about
-(n / 200)**2 / 2 such tasks in many places, not a row per pair. The order rests on counts of the 131,072 most
-frequent shingles, a list of fixed length that decides what work is done, never a result.
+the group most of their shared prefix leads to, their hub). Only components are returned, so links are found in two rounds.
+The first verifies each block by itself, one class of each hub as a guest, which joins most of a crowd of near copies over
+all its blocks in a row per class. The second takes only shingles whose groups lie in different components and holds what is
+one component in a cell of a block against the other cells; pairs are skipped only where both ends share a component
+already. A task verifies one pair of blocks by a matrix product and returns a spanning forest of the links. The order
+rests on counts of the 131,072 most frequent shingles, a list of fixed length that decides what work is done, never a result.
 
 Shingles are 64-bit hashes, sets 128-bit digests. Defined cases: null and empty texts have an empty set, link
 with nothing and are components of their own; rows that repeat are each reported; component_id is the smallest doc_id
@@ -23,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from parlance.llm import words as W
 from parlance.llm.columns import groups, stored, table, texts
@@ -33,6 +34,7 @@ PERCENT = 75
 FREQUENT = 1 << 17
 _SEEN = 4
 _BLOCK = 200
+_SLICE = 1 << 21
 BAND = 1.08
 _FAR_BANDS = int(np.log(100 / PERCENT) / np.log(BAND)) + 1
 _U = np.uint64
@@ -70,7 +72,7 @@ def _count(batches):
         return out, np.bincount(place, weight, len(out)).astype(np.int64)
 
     for batch in batches:
-        for part in W.slices(batch, most=1 << 22):
+        for part in W.slices(batch, most=_SLICE):
             fresh.append(sets(part.column("text"))[1])
             size += len(fresh[-1])
             if size > 1 << 21:
@@ -94,7 +96,7 @@ def _prefixes(known: np.ndarray, counts: np.ndarray):
     def run(batches):
         met: set[bytes] = set()
         for batch in batches:
-            for part in W.slices(batch, most=1 << 22):
+            for part in W.slices(batch, most=_SLICE):
                 row, value, bounds = sets(part.column("text"))
                 size = np.diff(bounds)
                 weight = np.zeros(len(value), np.int64)
@@ -134,72 +136,102 @@ _PREFIXES = "doc_id long, text_hash long, n long, node binary, gid long, rest lo
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
     """(token, gid, low): prefix shingles of several groups, and the smallest group that has each."""
-    each = Window.partitionBy("token")
     tokens = rows.select(F.explode("prefix").alias("token"), "gid")
-    both = tokens.withColumn("low", F.min("gid").over(each)).withColumn("high", F.max("gid").over(each))
-    return stored(both.where("low < high").select("token", "gid", "low").distinct(), "jaccard-shared")
+    several = tokens.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").drop("high")
+    return stored(tokens.join(several, "token").distinct(), "jaccard-shared")
 
 
 def blocks(classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Adds `block` to classes: about _BLOCK of them that lie together.
+    """Adds `block`, `hub` and `common` to classes: about _BLOCK of them lie together.
 
-    A group lies where the group lies that is the smallest of most of its shared shingles, which alike groups have
-    in common for the most part. A crowded range is split by digest. Where a class lies decides cost, not results.
+    A group's hub is the group that is the smallest of most of its shared shingles (`common` of them), which alike groups have
+    in common for the most part; it lies where its hub lies. A crowded range is split by digest. Where a class lies decides
+    cost, not results.
     """
-    hubs = shared.groupBy("gid", "low").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max_by("low", F.struct("c", "low")).alias("hub"))
+    hubs = shared.groupBy("gid", "low").agg(F.count("*").alias("c")).groupBy("gid").agg(F.max(F.struct("c", "low")).alias("top"))
+    hubs = hubs.select("gid", F.col("top.low").alias("hub"), F.col("top.c").alias("common"))
     keyed = classes.join(hubs, "gid", "left").withColumn("hub", F.coalesce("hub", "gid")).withColumn("key", F.shiftrightunsigned(F.xxhash64("hub"), 1))
     weight = 1 + F.col("n") / 2000
     total = classes.agg(F.sum(weight).alias("w")).first()["w"] or 1.0
     ranges = max(1, int(total / _BLOCK))
     dealt = keyed.withColumn("range", F.floor(F.col("key") / (float(1 << 63) / ranges)).cast("long"))
     split = dealt.groupBy("range").agg(F.ceil(F.sum(weight) / (1.5 * _BLOCK)).alias("ways"))
-    return dealt.join(split, "range").withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("ways"))).drop("range", "ways", "key", "hub")
+    return dealt.join(split, "range").withColumn("block", F.col("range") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("ways"))).drop("range", "ways", "key")
 
 
 def _band(n):
     return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
 
 
-def _needed(n, band):
-    """Prefix shingles that a set of n shares at least with an alike one whose size lies in a band, and their least overlap.
+def _enough(common, x1, x2, y1, y2, rest):
+    """Whether sets of x1 to x2 and y1 to y2 shingles may be alike if their prefixes share `common` of them.
 
-    At most n - o of a set's n shingles are missing in one it overlaps by o, and of the two prefixes the one that ends first
-    lies within the reach of the other, so the prefixes share at least o - ceil(0.75 n) + 1, n being its size.
+    Alike sets of x and y overlap by o >= (x + y) * 0.75 / 1.75. At most x - o of the shingles of one are missing in the other,
+    and of the two prefixes the one that ends first lies within the reach of the other, so the prefixes share at least
+    o - ceil(0.75 x) + 1, x being its size. What two prefixes that cover the region don't show of their overlap lies
+    beyond it: at most `rest`, the smaller one (null where a prefix ends within the region, which says nothing of that kind).
     """
-    low, high = F.floor(F.pow(F.lit(BAND), band)), F.ceil(F.pow(F.lit(BAND), band + 1))
-    own = F.ceil((n + low) * PERCENT / (100 + PERCENT)) - F.ceil(n * PERCENT / 100) + 1
-    other = (n + high) * PERCENT / (100 + PERCENT) - high * PERCENT / 100
-    return F.least(own, other), F.ceil((n + low) * PERCENT / (100 + PERCENT))
+    shown = common * (100 * (100 + PERCENT))
+    sizes = (100 * x2 >= PERCENT * y1) & (100 * y2 >= PERCENT * x1)
+    ends = F.least(PERCENT * (100 * y1 - PERCENT * x2), PERCENT * (100 * x1 - PERCENT * y2)) + (100 + PERCENT)
+    beyond = 100 * (PERCENT * (x1 + y1) - (100 + PERCENT) * rest)
+    return sizes & (shown >= ends) & F.coalesce(shown >= beyond, F.lit(True))
+
+
+def _rest(name: str):
+    return F.when(F.col("covered"), F.col("rest")).alias(name)
+
+
+def stars(classes: DataFrame) -> DataFrame:
+    """(b1, b2, node, held): what the first round verifies, each block by itself.
+
+    In a block lie the classes that may be alike to their hub, with one class of that hub as a guest, and those of groups of
+    several classes with one class of the group. So one row per class joins most of a crowd, wherever its blocks lie.
+    """
+    by_group = classes.groupBy("gid").agg(F.count("*").alias("members"), F.min(F.struct("node", "held", "n", _rest("r"))).alias("f"))
+    by_group = stored(by_group.select("gid", "members", "f.node", "f.held", "f.n", "f.r"), "jaccard-groups")
+    hub = by_group.select(F.col("gid").alias("hub"), F.col("node").alias("guest"), F.col("held").alias("guest_held"), F.col("n").alias("m"), F.col("r").alias("hub_rest"))
+    leaves = classes.where("hub <> gid").join(hub, "hub")
+    leaves = leaves.where(_enough(F.col("common"), F.col("n"), F.col("n"), F.col("m"), F.col("m"), F.when(F.col("covered") & F.col("hub_rest").isNotNull(), F.least("rest", "hub_rest"))))
+    crowd = by_group.where("members > 1").select("gid", F.col("node").alias("guest"), F.col("held").alias("guest_held"))
+    columns = ["block", "node", "held", "guest", "guest_held"]
+    both = leaves.select(*columns).union(classes.join(crowd, "gid").select(*columns))
+    each = both.select("block", F.explode(F.array(F.struct("node", "held"), F.struct(F.col("guest").alias("node"), F.col("guest_held").alias("held")))).alias("c"))
+    return stored(each.select(F.col("block").alias("b1"), F.col("block").alias("b2"), "c.node", "c.held").distinct(), "jaccard-stars")
 
 
 def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(b1, b2, block, gid): the groups to verify together, for each pair of blocks."""
-    places = classes.groupBy("gid", "block").agg(F.first("n").alias("n"), F.max("rest").alias("rest"), F.min("covered").alias("covered"), F.count("*").alias("members"))
-    places = places.withColumn("band", _band(F.col("n")))
-    # A cell: the groups of one block and size band.
-    places = stored(places.withColumn("cell", F.xxhash64("block", "band")), "jaccard-places")
-    entries = stored(shared.select("token", "gid").join(places.select("gid", "cell", "band", "covered"), "gid"), "jaccard-entries")
-    # Group pairs are filtered by size, and by how many prefix shingles a group shares with the groups of one cell, those
-    # whose prefix covers the region and the others by themselves.
-    counts = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(
-        F.count("*").alias("groups"), F.max("covered").alias("some"), F.max(~F.col("covered")).alias("others"))
-    met = entries.drop("covered").join(counts, "token").where(
-        (F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS) & ((F.col("cell") != F.col("to")) | (F.col("groups") > 1)))
-    met = met.groupBy("gid", "cell", "to").agg(F.count_if("some").alias("c"), F.count_if("others").alias("c_others"))
-    rest = F.max(F.when(F.col("covered"), F.col("rest"))).alias("to_rest")
-    others = places.groupBy(F.col("cell").alias("to")).agg(F.first("block").alias("to_block"), F.first("band").alias("to_band"), rest)
-    near = met.join(places.select("gid", "cell", "block", "n", "rest", "covered"), ["gid", "cell"]).join(others, "to")
-    # What two prefixes that cover the region don't show of their overlap lies beyond it: at most the smaller rest. A prefix that
-    # ends within the region says nothing of that kind.
-    needed, overlap = _needed(F.col("n"), F.col("to_band"))
-    beyond = F.when(F.col("covered"), overlap - F.least("rest", "to_rest")).otherwise(0)
-    near = near.where(((F.col("c") > 0) & (F.col("c") >= F.greatest(needed, beyond))) | ((F.col("c_others") > 0) & (F.col("c_others") >= needed)))
-    pairs = near.select(F.least("block", "to_block").alias("b1"), F.greatest("block", "to_block").alias("b2"), "block", "gid")
-    # Members of one group share the whole prefix; they are compared wherever they lie.
-    own = places.select("gid", "block", "members")
-    crowds = own.join(own.select("gid", F.col("block").alias("to")), "gid").where("block <> to OR members > 1")
-    pairs = pairs.union(crowds.select(F.least("block", "to"), F.greatest("block", "to"), "block", "gid"))
-    return pairs.distinct()
+    """(b1, b2, node, held): what the second round verifies, for each pair of blocks.
+
+    Whatever may link two components of the first round is there; pairs within one need no row. A cell: the groups of
+    one block and size band, by whether their prefixes cover the region. A piece: those of one component in a cell. Pieces
+    are held against cells.
+    """
+    part = F.xxhash64("root")
+    classes = classes.withColumn("part", part).withColumn("band", _band(F.col("n"))).withColumn("cell", F.xxhash64("block", "band", "covered")).withColumn("piece", F.xxhash64("cell", "part"))
+    classes = stored(classes, "jaccard-pieces")
+    places = classes.select("gid", "part", "band", "cell", "piece", "block").distinct()
+    found = shared.select("token", "gid").join(places, "gid").select("token", "part", "band", "cell", "piece").distinct()
+    across = found.groupBy("token").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("token")
+    entries = stored(found.join(across, "token"), "jaccard-entries")
+    to = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(F.min("part").alias("p1"), F.max("part").alias("p2"))
+    other = (F.col("p1") != F.col("part")) | (F.col("p2") != F.col("part"))
+    met = entries.drop("cell").join(to, "token").where(other & (F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS)).groupBy("piece", "to").agg(F.count("*").alias("common"))
+
+    def sizes(key: str, name: str, letter: str):
+        return classes.groupBy(F.col(key).alias(name)).agg(F.first("block").alias(f"{letter}_block"), F.min("n").alias(f"{letter}1"), F.max("n").alias(f"{letter}2"), F.max(_rest("r")).alias(f"{letter}_rest"))
+
+    near = met.join(sizes("piece", "piece", "x"), "piece").join(sizes("cell", "to", "y"), "to")
+    rest = F.when(F.col("x_rest").isNotNull() & F.col("y_rest").isNotNull(), F.least("x_rest", "y_rest"))
+    near = near.where(_enough(F.col("common"), F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"), rest)).select("piece", F.col("x_block").alias("block"), F.col("y_block").alias("to"))
+    # Members of one group share the whole prefix; those of several components are compared wherever they lie.
+    own = places.join(places.groupBy("gid").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("gid"), "gid")
+    lying = own.groupBy("gid", F.col("block").alias("to")).agg(F.min("part").alias("p1"), F.max("part").alias("p2"))
+    near = near.union(own.join(lying, "gid").where(other).select("piece", "block", "to"))
+    pairs = near.select(F.least("block", "to").alias("b1"), F.greatest("block", "to").alias("b2"), "piece").distinct()
+    members = pairs.join(classes.select("piece", "node", "held"), "piece").select("b1", "b2", "node", "held")
+    several = members.groupBy("b1", "b2").agg(F.count("*").alias("all")).where("all > 1").drop("all")
+    return stored(members.join(several, ["b1", "b2"]), "jaccard-members")
 
 
 def _columns(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,39 +278,56 @@ def _verified(batches):
 
 
 def _values(batches):
-    """The set of each text whose digest is the one asked for."""
+    """The set of each text whose digest is the one asked for, once."""
+    met: set[bytes] = set()
     for batch in batches:
-        for part in W.slices(batch, most=1 << 22):
+        for part in W.slices(batch, most=_SLICE):
             _, value, bounds = sets(part.column("text"))
-            asked = part.column("node").to_pylist()
-            keep = [i for i, d in enumerate(digests(value, bounds)) if d == asked[i]]
+            asked, keep = part.column("node").to_pylist(), []
+            for i, d in enumerate(digests(value, bounds)):
+                if d == asked[i] and d not in met:
+                    keep.append(i)
+                    met.add(d)
             yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in keep], pa.binary()), pa.array([value[bounds[i]:bounds[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "values"])
 
 
+def links(docs: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """(a, b): enough links to join what is alike among the members (b1, b2, node, held) of each pair of blocks."""
+    asked = members.select("node", F.col("held.doc_id").alias("id"), F.col("held.text_hash").alias("hash")).distinct().hint("merge")  # no bound on their number
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    held = docs.join(asked, same).select("node", "text").mapInArrow(_values, "node binary, values binary")
+    dealt = members.select("b1", "b2", "node").join(held, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
+    return stored(dealt.mapInArrow(_verified, "a binary, b binary"), name)
+
+
+def _rooted(classes: DataFrame, edges: DataFrame, at: str) -> DataFrame:
+    """classes with `root` moved along the components of edges between values of the column `at`."""
+    roots = components(edges).withColumnRenamed("root", "top").withColumnRenamed("node", at)
+    return classes.join(roots, at, "left").withColumn("root", F.coalesce("top", at)).drop("top")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, root, text_hash), one row per row of docs.
 
     root names the component where ids don't (null for empty sets), text_hash tells rows with one doc_id apart.
     """
-    docs = texts(docs)
+    docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
     order = frequent(docs)
-    rows = stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_prefixes(*order), _PREFIXES), "jaccard-prefixes")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("rest").alias("rest"), F.first("covered").alias("covered"))
+    rows = stored(docs.mapInArrow(_prefixes(*order), _PREFIXES), "jaccard-prefixes")
+    # A row that holds the set of a class: by id and text, since ids may be null or repeat.
+    classes = rows.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.max(F.struct("doc_id", "text_hash")).alias("held"), F.first("n").alias("n"), F.first("gid").alias("gid"),
+        F.first("rest").alias("rest"), F.first("covered").alias("covered"))
     shared = shared_tokens(rows)
     classes = stored(blocks(stored(classes, "jaccard-classes"), shared), "jaccard-blocks")
-    work = jobs(shared, classes)
-    members = work.join(classes.select("gid", "block", "node", "rep"), ["gid", "block"]).select("b1", "b2", "node", "rep")
-    members = members.withColumn("all", F.count("*").over(Window.partitionBy("b1", "b2"))).where("all > 1").drop("all")
-    members = stored(members, "jaccard-members")
-    asked = members.select("node", "rep").distinct().hint("merge")  # no bound on their number
-    held = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text").mapInArrow(_values, "node binary, values binary")
-    dealt = members.select("b1", "b2", "node").join(held, "node").repartition("b1", "b2").sortWithinPartitions("b1", "b2")
-    edges = stored(dealt.mapInArrow(_verified, "a binary, b binary"), "jaccard-links")
-    return _labelled(rows, classes, components(edges))
+    classes = stored(_rooted(classes, links(docs, stars(classes), "jaccard-star-links"), "node"), "jaccard-rooted")
+    found = links(docs, jobs(shared, classes), "jaccard-links")
+    ends = classes.select("node", "root")
+    found = found.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return _labelled(rows, stored(_rooted(classes, found, "root").select("node", "rep", "root"), "jaccard-named"))
 
 
-def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    named = classes.join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = named.join(smallest, "root").select("node", "root", "component_id")
     return rows.join(labels, "node", "left").select(
