@@ -36,7 +36,6 @@ _SEEN = 4
 _BLOCK = 200
 _SLICE = 1 << 21
 BAND = 1.08
-_FAR_BANDS = int(np.log(100 / PERCENT) / np.log(BAND)) + 1
 _U = np.uint64
 #: Rare shingles up to this hash, a fifth of them; a prefix of a quarter of a set mostly reaches beyond.
 REGION = _U(int(0.2 * 2**64))
@@ -163,6 +162,11 @@ def _band(n):
     return F.floor(F.log(n) / float(np.log(BAND))).cast("int")
 
 
+def _fit(x1: str, x2: str, y1: str, y2: str):
+    """Whether sets of x1 to x2 and y1 to y2 shingles may be alike by their sizes."""
+    return (100 * F.col(x2) >= PERCENT * F.col(y1)) & (100 * F.col(y2) >= PERCENT * F.col(x1))
+
+
 def _enough(common, x1, x2, y1, y2, rest):
     """Whether sets of x1 to x2 and y1 to y2 shingles may be alike if their prefixes share `common` of them.
 
@@ -172,10 +176,9 @@ def _enough(common, x1, x2, y1, y2, rest):
     beyond it: at most `rest`, the smaller one (null where a prefix ends within the region, which says nothing of that kind).
     """
     shown = common * (100 * (100 + PERCENT))
-    sizes = (100 * x2 >= PERCENT * y1) & (100 * y2 >= PERCENT * x1)
     ends = F.least(PERCENT * (100 * y1 - PERCENT * x2), PERCENT * (100 * x1 - PERCENT * y2)) + (100 + PERCENT)
     beyond = 100 * (PERCENT * (x1 + y1) - (100 + PERCENT) * rest)
-    return sizes & (shown >= ends) & F.coalesce(shown >= beyond, F.lit(True))
+    return (shown >= ends) & F.coalesce(shown >= beyond, F.lit(True))
 
 
 def _rest(name: str):
@@ -192,7 +195,7 @@ def stars(classes: DataFrame) -> DataFrame:
     by_group = stored(by_group.select("gid", "members", "f.node", "f.held", "f.n", "f.r"), "jaccard-groups")
     hub = by_group.select(F.col("gid").alias("hub"), F.col("node").alias("guest"), F.col("held").alias("guest_held"), F.col("n").alias("m"), F.col("r").alias("hub_rest"))
     leaves = classes.where("hub <> gid").join(hub, "hub")
-    leaves = leaves.where(_enough(F.col("common"), F.col("n"), F.col("n"), F.col("m"), F.col("m"), F.when(F.col("covered") & F.col("hub_rest").isNotNull(), F.least("rest", "hub_rest"))))
+    leaves = leaves.where(_fit("n", "n", "m", "m") & _enough(F.col("common"), F.col("n"), F.col("n"), F.col("m"), F.col("m"), F.when(F.col("covered") & F.col("hub_rest").isNotNull(), F.least("rest", "hub_rest"))))
     crowd = by_group.where("members > 1").select("gid", F.col("node").alias("guest"), F.col("held").alias("guest_held"))
     columns = ["block", "node", "held", "guest", "guest_held"]
     both = leaves.select(*columns).union(classes.join(crowd, "gid").select(*columns))
@@ -210,20 +213,21 @@ def jobs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     part = F.xxhash64("root")
     classes = classes.withColumn("part", part).withColumn("band", _band(F.col("n"))).withColumn("cell", F.xxhash64("block", "band", "covered")).withColumn("piece", F.xxhash64("cell", "part"))
     classes = stored(classes, "jaccard-pieces")
-    places = classes.select("gid", "part", "band", "cell", "piece", "block").distinct()
-    found = shared.select("token", "gid").join(places, "gid").select("token", "part", "band", "cell", "piece").distinct()
+
+    def sizes(key: str, letter: str):
+        return classes.groupBy(key).agg(F.min("n").alias(f"{letter}1"), F.max("n").alias(f"{letter}2"), F.max(_rest("r")).alias(f"{letter}_rest"))
+
+    # What the filter asks of pieces and cells goes along, so that it meets the counts where they are made.
+    places = classes.select("gid", "part", "cell", "piece", "block").distinct().join(sizes("piece", "x"), "piece").join(sizes("cell", "y"), "cell")
+    found = shared.select("token", "gid").join(places, "gid").drop("gid").distinct()
     across = found.groupBy("token").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("token")
     entries = stored(found.join(across, "token"), "jaccard-entries")
-    to = entries.groupBy("token", F.col("cell").alias("to"), F.col("band").alias("to_band")).agg(F.min("part").alias("p1"), F.max("part").alias("p2"))
+    to = entries.groupBy("token", F.col("cell").alias("to"), F.col("block").alias("to_block"), "y1", "y2", "y_rest").agg(F.min("part").alias("p1"), F.max("part").alias("p2"))
     other = (F.col("p1") != F.col("part")) | (F.col("p2") != F.col("part"))
-    met = entries.drop("cell").join(to, "token").where(other & (F.abs(F.col("band") - F.col("to_band")) <= _FAR_BANDS)).groupBy("piece", "to").agg(F.count("*").alias("common"))
-
-    def sizes(key: str, name: str, letter: str):
-        return classes.groupBy(F.col(key).alias(name)).agg(F.first("block").alias(f"{letter}_block"), F.min("n").alias(f"{letter}1"), F.max("n").alias(f"{letter}2"), F.max(_rest("r")).alias(f"{letter}_rest"))
-
-    near = met.join(sizes("piece", "piece", "x"), "piece").join(sizes("cell", "to", "y"), "to")
+    met = entries.drop("cell", "y1", "y2", "y_rest").join(to, "token").where(other & _fit("x1", "x2", "y1", "y2"))
+    met = met.groupBy("piece", "to").agg(F.count("*").alias("common"), *[F.first(c).alias(c) for c in ("block", "to_block", "x1", "x2", "x_rest", "y1", "y2", "y_rest")])
     rest = F.when(F.col("x_rest").isNotNull() & F.col("y_rest").isNotNull(), F.least("x_rest", "y_rest"))
-    near = near.where(_enough(F.col("common"), F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"), rest)).select("piece", F.col("x_block").alias("block"), F.col("y_block").alias("to"))
+    near = met.where(_enough(F.col("common"), F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2"), rest)).select("piece", "block", F.col("to_block").alias("to"))
     # Members of one group share the whole prefix; those of several components are compared wherever they lie.
     own = places.join(places.groupBy("gid").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("gid"), "gid")
     lying = own.groupBy("gid", F.col("block").alias("to")).agg(F.min("part").alias("p1"), F.max("part").alias("p2"))

@@ -60,6 +60,29 @@ def test_jaccard_nested_sets(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(want)
 
 
+def test_jaccard_crowd_and_null_ids(spark, monkeypatch):
+    """A crowd of near copies over many blocks, some of them linked and some not, and many documents without an id."""
+    monkeypatch.setattr(jaccard, "_BLOCK", 50)
+    r = random.Random(5)
+    base = ["w%d" % r.randrange(10**6) for _ in range(60)]
+    rows = []
+    for i in range(2000):
+        x = list(base)
+        for _ in range(1 if i % 2 else 3):
+            x[r.randrange(60)] = "m%d" % r.randrange(10**6)
+        rows.append((i, " ".join(x)))
+    lost = [" ".join("n%d" % r.randrange(10**6) for _ in range(20)) for _ in range(240)]
+    rows += [(None, x) for x in lost] + [(None, x + " more") for x in lost] + [(None, lost[0])] * 20
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    want = [(d, *x) for (d, _), x in zip(rows, brute.jaccard(rows))]
+    assert sorted_rows((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted_rows(want)
+    roots = {}
+    for x in got:
+        if x.doc_id is None:
+            roots.setdefault(x.root, []).append(x.n_shingles)
+    assert len(roots) == 240 and sorted(len(v) for v in roots.values())[-2:] == [2, 22]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.near_duplicates(frame(spark, [])).count() == 0
 
