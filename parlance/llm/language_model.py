@@ -8,7 +8,7 @@ documents from the common weights; the results are averaged feature by feature,
 seen, for EPOCHS rounds. Batches of tokens are scored as gathers from the tables.
 
 Exact counts of all words are needed where a text is scored, and the vocabulary has no bound. So texts are dealt into
-blocks of about 24 MB; each block asks for the counts of its own distinct words (a shuffle by word, then back
+blocks of about 8 MB; each block asks for the counts of its own distinct words (a shuffle by word, then back
 by block), and stores every text as two bytes a token, which training and scoring read.
 
 Words are 64-bit hashes. Defined cases: a null text is an empty one, which still has its end token; rows that
@@ -32,7 +32,8 @@ PAIRS = 1 << 13
 FEATURES = 2 * BUCKETS + PAIRS
 EPOCHS = 2
 RATE = 1.0
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+_SLICE = 1 << 21
 _STEP = 1 << 14
 _CHUNKS = 32
 _END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -57,24 +58,30 @@ def classes_of(count: np.ndarray, volume: float) -> np.ndarray:
 def _vocabulary(batches):
     """(block, h, c): distinct words of the blocks in a partition and how often they occur in training rows.
 
-    A block lies in one partition, so each of its words comes once.
+    A block lies in one partition, sorted by block, so each of its words comes once and one block is held at a time.
     """
-    words: dict[int, np.ndarray] = {}
-    counts: dict[int, np.ndarray] = {}
+    block, words, counts = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def one():
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int64)), pa.array(words.view(np.int64)), pa.array(counts)], ["block", "h", "c"])
+
     for batch in batches:
-        for part in W.slices(batch):
+        for part in W.slices(batch, most=_SLICE):
             tokens, bounds = _tokens(part.column("text"))
             row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            block = part.column("block").to_numpy()[row]
+            at = part.column("block").to_numpy()[row]
             train = ~part.column("held").to_numpy(zero_copy_only=False)[row]
-            for b in np.unique(block).tolist():
-                at = block == b
-                every = np.concatenate([words.get(b, np.empty(0, np.uint64)), tokens[at]])
-                weight = np.concatenate([counts.get(b, np.empty(0, np.int64)), train[at]])
-                words[b], place = np.unique(every, return_inverse=True)
-                counts[b] = np.bincount(place, weight, len(words[b])).astype(np.int64)
-    for b, h in words.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b)), pa.array(h.view(np.int64)), pa.array(counts[b])], ["block", "h", "c"])
+            for b in np.unique(at).tolist():
+                if b != block:
+                    if block is not None:
+                        yield one()
+                    block, words, counts = b, np.empty(0, np.uint64), np.empty(0, np.int64)
+                here = at == b
+                weight = np.concatenate([counts, train[here]])
+                words, place = np.unique(np.concatenate([words, tokens[here]]), return_inverse=True)
+                counts = np.bincount(place, weight, len(words)).astype(np.int64)
+    if block is not None:
+        yield one()
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
@@ -91,7 +98,7 @@ def _encoder(volume: float):
         first = words.column("first").to_numpy(zero_copy_only=False)[order] & (c > 0)
         out = {n: [] for n in _ENCODED.names}
         for batch in docs.combine_chunks().to_batches():
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=_SLICE):
                 tokens, bounds = _tokens(part.column("text"))
                 at = np.searchsorted(h, tokens)
                 stream = (kind[at] * BUCKETS + (tokens & np.uint64(BUCKETS - 1)).astype(np.int64)).astype(np.uint16)
@@ -121,7 +128,7 @@ def encode(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame,
     volume = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-volume // block_bytes))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", held_out().alias("held")).repartition(blocks, "block")
-    asked = dealt.mapInArrow(_vocabulary, "block long, h long, c long")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(_vocabulary, "block long, h long, c long")
     word = Window.partitionBy("h")
     counted = asked.select("block", "h", F.sum("c").over(word).alias("c"), (F.row_number().over(word.orderBy("block")) == 1).alias("first"))
     return stored(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(_encoder(volume / 5), _ENCODED_SQL), "lm-encoded"), int(classes_of(np.zeros(1), volume / 5)[0])
