@@ -125,6 +125,46 @@ def test_token_counts(spark, monkeypatch, chunk):
     assert token_counts.token_counts(frame(spark, []), P.path(token_counts.MODEL)).count() == 0
 
 
+def collapsing(folder) -> str:
+    """The same model, but told to fold runs of spaces, so that tokens no longer cover the bytes of a text."""
+    data = open(P.path(token_counts.MODEL), "rb").read()
+    at = data.rindex(b"\x20\x00")  # remove_extra_whitespaces of the normalizer
+    path = folder / "collapsing.model"
+    path.write_bytes(data[:at] + b"\x20\x01" + data[at + 2:])
+    return str(path)
+
+
+def test_token_counts_widened(spark, tmp_path):
+    path = collapsing(tmp_path)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert pieces.encode("a  b") == pieces.encode("a b")
+    rows = soup(["the ", "a", " ", "   ", "日本 ", "é", "😀", "hello "], 8, 60, 80) + [(None, "two  spaces " * 30), (None, "two  spaces " * 30), (70, "one space " * 40), (71, None)]
+    own = token_counts.Counter(path)
+    assert any(own.between(*c) is None for _, t in rows for c in token_counts.chunks(t or "", 40))
+    got = token_counts.token_counts(frame(spark, rows), path, 40).collect()
+    answers = [(len((t or "").encode()), len(pieces.encode(t or ""))) for _, t in rows]
+    assert sorted(((x.doc_id, x.n_bytes, x.n_tokens) for x in got), key=repr) == by_row(rows, answers)
+
+
+def test_overlaps_double(monkeypatch):
+    """An alignment that needs 1,000 characters beyond a stretch is found without the whole text; one that never holds takes the whole."""
+    own = token_counts.counter(P.path(token_counts.MODEL))
+    text = "some words of a long text " * 1030
+    seen = []
+
+    class Late:
+        count = staticmethod(own.count)
+
+        def between(self, piece, low, high):
+            seen.append(len(piece))
+            return own.between(piece, low, high) if min(low or 1000, len(piece) - high or 1000) >= 1000 else None
+
+    assert token_counts.widened(Late(), text, 5000) == own.count([text])[0]
+    assert max(seen) < len(text) // 2 and len(seen) > 10
+    monkeypatch.setattr(Late, "between", lambda *_: None)
+    assert token_counts.widened(Late(), text, 5000) == own.count([text])[0]
+
+
 def test_language_model(spark):
     r = random.Random(7)
     rows = [(i, " ".join(r.choice(["the", "Cat", "sat", "on", "a", "mat"] + ["w%d" % k for k in range(60)]) for _ in range(r.randrange(40)))) for i in range(300)] + ODD[:-1]
