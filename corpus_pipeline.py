@@ -41,15 +41,18 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in their shingles the one with the smallest id stays, once; texts without words all stay."""
+    """Of documents alike in their shingles the one with the smallest id stays, once; texts without words all stay.
+
+    Of rows that share that id and text but not their other columns, the one that comes first as JSON stays.
+    """
     rows = _rows(docs)
     labels = jaccard.near_duplicates(docs).where("root IS NOT NULL")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash"))
     kept = labels.groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.text_hash").alias("_hash"))
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     some = rows.where(worded)
-    some = some.join(kept, _same(some, kept), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return some.unionByName(rows.where(~worded)).select("row.*")
+    some = some.join(kept, _same(some, kept), "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return some.select("row").unionByName(rows.where(~worded).select("row")).select("row.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
