@@ -28,6 +28,10 @@ def test_one_of_each_group(spark):
     assert sorted((r.doc_id, r.source) for r in got.collect() if r.doc_id) == [(3, "b"), (9, "c"), (10, "d"), (11, "e")]
     assert [r.source for r in got.collect() if r.doc_id is None] == ["g"]
 
+    for order in (["x", "y", "z"], ["z", "y", "x"]):  # one id and text, other columns differ: always the same row
+        tied = [(1, long, "en", source, 7) for source in order]
+        assert [r.source for r in cp.one_of_each_group(spark, extended(spark, tied).repartition(3), SF).collect()] == ["x"]
+
 
 def test_without_benchmark(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
