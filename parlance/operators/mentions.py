@@ -1,8 +1,8 @@
 """Known names behind an @: the lookup, the mention edges, and text without them.
 
-A name may hold several words. Every beginning of what follows an @ that ends where a name may end, up to the longest
-name of its chat, is looked up in the chat's names, a map of as many entries as the chat has spellings. Only rows
-that hold an @ meet it; a message's pieces stay an array in its row, so nothing is joined back.
+A name may hold several words. Every beginning of what follows an @ that ends where a name may end and is as long as a
+name of its chat is looked up. The sets of beginnings that rows ask for, each once a chat, are joined with the chat's spellings, and a row
+gets the map of those it holds, so no row meets all names of its chat. A message's pieces stay an array in its row.
 """
 
 from __future__ import annotations
@@ -52,20 +52,35 @@ def name_lookup(people: DataFrame, aliases: DataFrame | None = None, keys=("chat
 
 
 def _with_names(rows: DataFrame, lookup: DataFrame, keys, column: str) -> DataFrame:
-    """Adds `_names`, the chat's names by spelling, and `_parts`: what lies before the first @ and then each piece that follows
-    one, with the length `n` of the longest name it begins with. Rows without an @ are one part."""
-    entry = F.struct("variant", F.struct("target", "listed").alias("owner"))
-    names = lookup.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_names"), F.max(F.length("variant")).alias("_most"))
-    names = names.withColumnsRenamed({k: f"_{k}" for k in keys})
+    """Adds `_parts`: what lies before the first @ and then each piece that follows one, with the names `tries` it may begin with, and
+    `_names`, the owners of those that are names of the chat, by spelling. Both are null in rows without an @."""
+    sizes = lookup.groupBy(*keys).agg(F.collect_set(F.length("variant")).alias("_sizes")).withColumnsRenamed({k: f"_{k}" for k in keys})
     mine = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in keys))
-    joined = rows.join(names, mine & F.contains(F.col(column), F.lit("@")), "left")
+    tagged = F.contains(F.col(column), F.lit("@"))
+    sized = rows.join(sizes, mine & tagged, "left")
+
+    def tries(piece: Column) -> Column:
+        begins = F.transform(F.sequence(F.lit(1), F.least(F.length(piece), F.array_max("_sizes"))), lambda n: F.struct(n.alias("n"), F.lower(F.left(piece, n)).alias("variant")))
+        # Four characters are as far as the pattern looks.
+        fits = F.filter(begins, lambda t: F.array_contains("_sizes", F.length(t["variant"])) & F.substr(piece, t["n"] + 1, F.lit(4)).rlike(_NAME_END))
+        return F.when((F.length(piece) > 0) & F.col("_sizes").isNotNull(), fits)
+
+    parts = F.transform(F.split(F.col(column), _AT), lambda piece, i: F.struct(piece.alias("piece"), F.when(i > 0, tries(piece)).alias("tries")))
+    cut = sized.withColumn("_parts", F.when(tagged, parts)).drop("_sizes", *(f"_{k}" for k in keys))
+    cut = cut.withColumn("_tried", F.array_sort(F.array_distinct(F.flatten(F.transform(
+        F.filter("_parts", lambda p: p["tries"].isNotNull()), lambda p: p["tries"]["variant"])))))
+    asked = cut.select(*keys, "_tried").distinct()
+    entry = F.struct("variant", F.struct("target", "listed").alias("owner"))
+    # Of the outer form Spark makes no filter that would work the beginnings out a second time.
+    known = asked.withColumn("variant", F.explode_outer("_tried")).join(lookup, [*keys, "variant"])
+    names = known.groupBy(*keys, "_tried").agg(F.map_from_entries(F.collect_list(entry)).alias("_names"))
+    return cut.join(names, [*keys, "_tried"], "left").drop("_tried")
 
-    def longest(piece: Column) -> Column:
-        lengths = F.when((F.length(piece) > 0) & F.col("_names").isNotNull(), F.sequence(F.lit(1), F.least(F.length(piece), F.col("_most"))))
-        return F.array_max(F.filter(lengths, lambda n: F.substr(piece, n + 1).rlike(_NAME_END) & F.map_contains_key(F.col("_names"), F.lower(F.left(piece, n)))))
 
-    parts = F.transform(F.split(F.col(column), _AT), lambda piece, i: F.struct(piece.alias("piece"), F.when(i > 0, longest(piece)).alias("n")))
-    return joined.withColumn("_parts", parts).drop("_most", *(f"_{k}" for k in keys))
+def _longest(part: Column) -> Column:
+    """The longest of the names tried that is one, null without any."""
+    known = F.when(F.col("_names").isNotNull(), F.filter(part["tries"], lambda t: F.map_contains_key(F.col("_names"), t["variant"])))
+    return F.array_max(known)
 
 
 def mention_edges(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",)) -> DataFrame:
@@ -73,8 +88,8 @@ def mention_edges(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",)) ->
     keys = list(keys)
     rows = spoken(enriched).where(F.contains(F.col("analysis_text"), F.lit("@")))
     found = _with_names(rows.select(*keys, "sender", "analysis_text"), lookup, keys, "analysis_text")
-    hits = F.filter("_parts", lambda p: p["n"].isNotNull())
-    owners = F.transform(hits, lambda p: F.element_at(F.col("_names"), F.lower(F.left(p["piece"], p["n"]))))
+    hits = F.filter(F.transform("_parts", _longest), lambda t: t.isNotNull())
+    owners = F.transform(hits, lambda t: F.element_at(F.col("_names"), t["variant"]))
     edges = found.select(*keys, F.col("sender").alias("src"), F.inline(owners)).where("listed")
     return edges.groupBy(*keys, "src", F.col("target").alias("dst")).agg(F.count("*").alias("cnt"))
 
@@ -95,7 +110,8 @@ def without_mentions(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",))
     its word count. Rows without an @ pass straight through."""
     keys = list(keys)
     named = _with_names(enriched, lookup, keys, "analysis_text")
-    rest = F.transform("_parts", lambda p, i: F.when(i == 0, p["piece"]).when(
+    cut = F.transform("_parts", lambda p: F.struct(p["piece"].alias("piece"), _longest(p)["n"].alias("n")))
+    rest = F.transform(cut, lambda p, i: F.when(i == 0, p["piece"]).when(
         p["n"].isNotNull(), F.concat(F.lit(" "), F.substr(p["piece"], p["n"] + 1))).otherwise(F.concat(F.lit("@"), p["piece"])))
     bare = F.when(F.contains(F.col("analysis_text"), F.lit("@")), F.array_join(rest, "")).otherwise(F.col("analysis_text"))
     lexical = named.withColumn("lexical_text", tx.lexical_text(bare)).drop("_names", "_parts")

@@ -150,3 +150,13 @@ def test_default_baseline(spark):
 
     counts = {r.term: r.base_cnt for r in te.baseline_counts(default_baseline(spark)).collect()}
     assert counts["music"] == len(TEMPLATES) and default_baseline(spark).count() == len(PLAIN_LINES) + len(TEMPLATES) * len(TOPICS)
+
+
+def test_rows_meet_the_names_they_try_only(spark):
+    """In a chat of many names a row gets those that its mentions begin with."""
+    rows = [(minutes(i), f"User {i}", "x") for i in range(300)] + [(minutes(400), "User 1", "@User 12 and @User 7's, @User 999 no")]
+    msgs = en.enrich(messages(spark, rows))
+    lookup = mn.name_lookup(en.participants(msgs))
+    row = mn._with_names(msgs, lookup, ["chat_id"], "analysis_text").where("contains(text, '@')").first()
+    assert set(row["_names"]) == {"user 12", "user 7"}
+    assert {(e.dst, e.cnt) for e in mn.mention_edges(msgs, lookup).collect()} == {("User 12", 1), ("User 7", 1)}
