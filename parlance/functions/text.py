@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # ---- fixed values: marks, placeholder grammars and character classes ----
 INVISIBLE_MARKS = "\u200e\u200f\ufeff\u202a\u202b\u202c\u202d\u202e"
 ISOLATES = "[\u2066-\u2069]"
+NOT_BLANK = "(?U)[^\\s\u2066-\u2069]"
 EDITED_SUFFIX = r"(?iU)\s*<This message was edited>\s*$"
 MEDIA_KINDS = r"media|image|video|gif|sticker|audio|voice(?:\s+message)?|album|contact\s+card|document"
 MEDIA = (
@@ -83,12 +84,14 @@ def strip_isolates(c: Column) -> Column:
 
 
 def may_be_notice(text: Column) -> Column:
-    """A quick byte search that every edited, media, deleted, call or other marked text passes."""
-    upper = F.upper(text)
-    hit = F.contains(upper, F.lit(NOTICE_PARTS[0]))
-    for part in NOTICE_PARTS[1:]:
-        hit = hit | F.contains(upper, F.lit(part))
-    return hit
+    """A quick byte search that every edited, media, deleted, call or other marked text passes. Filters copy
+    it with the text it reads, so the upper-case text is bound once and not written out for each part."""
+    def held(upper: Column) -> Column:
+        hit = F.contains(upper, F.lit(NOTICE_PARTS[0]))
+        for part in NOTICE_PARTS[1:]:
+            hit = hit | F.contains(upper, F.lit(part))
+        return hit
+    return F.transform(F.array(F.upper(text)), held)[0]
 
 
 def is_edited(text: Column) -> Column:
@@ -111,14 +114,18 @@ def is_call(text: Column) -> Column:
     return text.rlike(CALL)
 
 
-def analysis_text(text: Column, marked: Column) -> Column:
+def analysis_text(text: Column, marked: Column, typed: Column | None = None) -> Column:
     """The text that statistics look at: placeholders and markers out, whitespace squeezed.
-    `marked` tells which texts may hold any."""
-    plain = F.regexp_replace(text, ISOLATES, "")
-    cleared = plain
+    `marked` tells which texts may hold any; of those `typed` is read, if given."""
+    cleared = F.regexp_replace(text if typed is None else typed, ISOLATES, "")
     for pattern in (MEDIA, FORWARDED, WAITING, UNPARSED):
         cleared = F.regexp_replace(cleared, pattern, " ")
-    return squeeze(F.when(marked, cleared).otherwise(plain))
+    return squeeze(F.when(marked, cleared).otherwise(F.regexp_replace(text, ISOLATES, "")))
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but whitespace and isolates, so that an unmarked text leaves no analysis text."""
+    return ~text.rlike(NOT_BLANK)
 
 
 def lexical_text(analysis: Column) -> Column:

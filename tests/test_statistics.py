@@ -160,3 +160,12 @@ def test_rows_meet_the_names_they_try_only(spark):
     row = mn._with_names(msgs, lookup, ["chat_id"], "analysis_text").where("contains(text, '@')").first()
     assert set(row["_names"]) == {"user 12", "user 7"}
     assert {(e.dst, e.cnt) for e in mn.mention_edges(msgs, lookup).collect()} == {("User 12", 1), ("User 7", 1)}
+
+
+def test_filters_on_real_text_work_out_little(spark):
+    texts = ["hm", " ", "", "⁦⁩  ", "<Media omitted>", "<Media omitted> look", "This message was deleted", "Missed voice call", "call me", "⁦x"]
+    msgs = messages(spark, [(minutes(i), "A", t) for i, t in enumerate(texts)])
+    real = en.enrich(msgs).orderBy("seq").collect()
+    assert [r.is_real_text for r in real] == [True, False, False, False, False, True, False, False, True, True]
+    plan = en.worded(en.enrich(msgs)).select("chat_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1
