@@ -1,14 +1,13 @@
 """Known names behind an @: the lookup, the mention edges, and text without them.
 
-A name may hold several words. Every beginning of what follows an @ that ends where a name may end and is as long as a
-name of its chat is looked up. The sets of beginnings that rows ask for, each once a chat, are joined with the chat's spellings, and a row
-gets the map of those it holds, so no row meets all names of its chat. A message's pieces stay an array in its row.
+A name may hold several words. Every beginning of what follows an @ that ends where a name may end and is as long as some
+name is looked up. The lengths of names are one row for all chats, so that no row is sent to its chat for them. Edges are counted per
+sender and set of beginnings before the names are looked up. Where rows are kept, the sets they ask for, each once a chat, are joined with the
+chat's spellings, and a row gets the map of those it holds. No row meets all names of its chat.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,22 +50,25 @@ def name_lookup(people: DataFrame, aliases: DataFrame | None = None, keys=("chat
     return owners.where(low["target"] == high["target"]).select(*keys, "variant", low["target"].alias("target"), low["listed"].alias("listed"))
 
 
-def _with_names(rows: DataFrame, lookup: DataFrame, keys, column: str) -> DataFrame:
-    """Adds `_parts`: what lies before the first @ and then each piece that follows one, with the names `tries` it may begin with, and
-    `_names`, the owners of those that are names of the chat, by spelling. Both are null in rows without an @."""
-    sizes = lookup.groupBy(*keys).agg(F.collect_set(F.length("variant")).alias("_sizes")).withColumnsRenamed({k: f"_{k}" for k in keys})
-    mine = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"_{k}") for k in keys))
+def _with_tries(rows: DataFrame, lookup: DataFrame, column: str) -> DataFrame:
+    """Adds `_parts`: what lies before the first @ and then each piece that follows one, with the names `tries` it may begin with. Null
+    in rows without an @."""
+    sizes = lookup.agg(F.collect_set(F.length("variant")).alias("_sizes"))
     tagged = F.contains(F.col(column), F.lit("@"))
-    sized = rows.join(sizes, mine & tagged, "left")
 
     def tries(piece: Column) -> Column:
         begins = F.transform(F.sequence(F.lit(1), F.least(F.length(piece), F.array_max("_sizes"))), lambda n: F.struct(n.alias("n"), F.lower(F.left(piece, n)).alias("variant")))
         # Four characters are as far as the pattern looks.
         fits = F.filter(begins, lambda t: F.array_contains("_sizes", F.length(t["variant"])) & F.substr(piece, t["n"] + 1, F.lit(4)).rlike(_NAME_END))
-        return F.when((F.length(piece) > 0) & F.col("_sizes").isNotNull(), fits)
+        return F.when((F.length(piece) > 0) & (F.size("_sizes") > 0), fits)
 
     parts = F.transform(F.split(F.col(column), _AT), lambda piece, i: F.struct(piece.alias("piece"), F.when(i > 0, tries(piece)).alias("tries")))
-    cut = sized.withColumn("_parts", F.when(tagged, parts)).drop("_sizes", *(f"_{k}" for k in keys))
+    return rows.crossJoin(F.broadcast(sizes)).withColumn("_parts", F.when(tagged, parts)).drop("_sizes")
+
+
+def _with_names(rows: DataFrame, lookup: DataFrame, keys, column: str) -> DataFrame:
+    """Adds `_parts` and `_names`, the owners of those names tried that are names of the chat, by spelling."""
+    cut = _with_tries(rows, lookup, column)
     cut = cut.withColumn("_tried", F.array_sort(F.array_distinct(F.flatten(F.transform(
         F.filter("_parts", lambda p: p["tries"].isNotNull()), lambda p: p["tries"]["variant"])))))
     asked = cut.select(*keys, "_tried").distinct()
@@ -87,11 +89,14 @@ def mention_edges(enriched: DataFrame, lookup: DataFrame, keys=("chat_id",)) ->
     """(keys, src, dst, cnt): who mentions which participant, and how often."""
     keys = list(keys)
     rows = spoken(enriched).where(F.contains(F.col("analysis_text"), F.lit("@")))
-    found = _with_names(rows.select(*keys, "sender", "analysis_text"), lookup, keys, "analysis_text")
-    hits = F.filter(F.transform("_parts", _longest), lambda t: t.isNotNull())
-    owners = F.transform(hits, lambda t: F.element_at(F.col("_names"), t["variant"]))
-    edges = found.select(*keys, F.col("sender").alias("src"), F.inline(owners)).where("listed")
-    return edges.groupBy(*keys, "src", F.col("target").alias("dst")).agg(F.count("*").alias("cnt"))
+    cut = _with_tries(rows.select(*keys, "sender", "analysis_text"), lookup, "analysis_text")
+    said = cut.select(*keys, F.col("sender").alias("src"), F.explode(F.transform("_parts", lambda p: p["tries"])).alias("_tries"))
+    said = said.groupBy(*keys, "src", "_tries").agg(F.count("*").alias("cnt"))
+    tried = said.select(*keys, "src", "_tries", "cnt", F.inline("_tries")).join(lookup, [*keys, "variant"])
+    # The longest of the names tried that is one.
+    owners = tried.groupBy(*keys, "src", "_tries").agg(F.max(F.struct("n", "target", "listed", "cnt")).alias("_hit"))
+    edges = owners.select(*keys, "src", "_hit.*").where("listed")
+    return edges.groupBy(*keys, "src", F.col("target").alias("dst")).agg(F.sum("cnt").alias("cnt"))
 
 
 def mention_totals(edges: DataFrame, keys=("chat_id",)) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,21 @@ def test_rows_meet_the_names_they_try_only(spark):
     assert {(e.dst, e.cnt) for e in mn.mention_edges(msgs, lookup).collect()} == {("User 12", 1), ("User 7", 1)}
 
 
+def test_no_row_goes_to_its_chat_for_the_lengths_of_names(spark):
+    """Else the texts of a hot chat would be the work of one task."""
+    rows = [(minutes(i), f"User {i}", "x") for i in range(30)] + [(minutes(40), "User 1", "@User 12 and @User 7, @User 12")] * 2
+    msgs = en.enrich(messages(spark, rows))
+    lookup = mn.name_lookup(en.participants(msgs))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (mn.mention_edges(msgs, lookup), mn.without_mentions(msgs, lookup)):
+            assert not re.search(r"hashpartitioning\(chat_id#\d+L?, \d+\)", found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(e.src, e.dst, e.cnt) for e in mn.mention_edges(msgs, lookup).collect()} == {("User 1", "User 12", 4), ("User 1", "User 7", 2)}
+    assert mn.mention_edges(msgs, lookup.where("false")).count() == 0
+
+
 def test_filters_on_real_text_work_out_little(spark):
     texts = ["hm", " ", "", "⁦⁩  ", "<Media omitted>", "<Media omitted> look", "This message was deleted", "Missed voice call", "call me", "⁦x"]
     msgs = messages(spark, [(minutes(i), "A", t) for i, t in enumerate(texts)])
