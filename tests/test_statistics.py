@@ -178,6 +178,18 @@ def test_no_row_goes_to_its_chat_for_the_lengths_of_names(spark):
     assert mn.mention_edges(msgs, lookup.where("false")).count() == 0
 
 
+def test_uses_of_a_term_on_a_day_meet_once(spark):
+    """Days are marked where uses are counted: one shuffle of the uses and one of their terms. Of the last minute the earliest row counts."""
+    rows = [(minutes(i), s, "pear") for i, s in ((0, "A"), (1, "B"), (1, "A"), (1500, "B"), (1500, "B"), (1500, "A"))] + [(minutes(2), "B", "plum")]
+    index = te.day_index(te.word_uses(en.with_lexical(en.enrich(messages(spark, rows))), Profile()))
+    terms = te.term_index(index)
+    assert terms._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    pear = terms.where("term = 'pear'").first()
+    assert (pear.cnt, pear.days, pear.person_days, pear.first_seq) == (6, 2, 4, 0)
+    said = te.with_sayers(terms, index).where("term = 'pear'").first()
+    assert (said.first_by, said.last_by) == ("A", "B")
+
+
 def test_filters_on_real_text_work_out_little(spark):
     texts = ["hm", " ", "", "⁦⁩  ", "<Media omitted>", "<Media omitted> look", "This message was deleted", "Missed voice call", "call me", "⁦x"]
     msgs = messages(spark, [(minutes(i), "A", t) for i, t in enumerate(texts)])
