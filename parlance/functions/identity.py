@@ -1,5 +1,5 @@
 """Keys under which labels and messages are the same. NFKC and case folding have no built-in,
-so these two run as Arrow UDFs; callers apply them to distinct values."""
+so these two run as Arrow UDFs; callers hand over the values that need it only."""
 
 from __future__ import annotations
 
@@ -34,8 +34,11 @@ def alias_key(label: Column) -> Column:
     return strip(folded(strip(F.regexp_replace(strip(bare), NON_CONTACT_PREFIX, ""))))
 
 
-def chain_form(text: Column, ascii_only: bool = False) -> Column:
-    """Message text as chains compare it: folded, no punctuation or plain symbols, emoji kept;
-    placeholders come out empty. For ASCII texts folding is lower case, without leaving the JVM."""
-    bare = squeeze(F.regexp_replace(F.lower(text) if ascii_only else folded(text), r"[\p{P}\p{Sm}\p{Sc}\p{Sk}]", ""))
+def without_signs(folded_text: Column) -> Column:
+    """A folded text as chains compare it: no punctuation or plain symbols, emoji kept."""
+    return squeeze(F.regexp_replace(folded_text, r"[\p{P}\p{Sm}\p{Sc}\p{Sk}]", ""))
+
+
+def without_placeholders(bare: Column) -> Column:
+    """The same with placeholders as empty texts."""
     return F.when(bare.rlike(CHAIN_PLACEHOLDERS), "").otherwise(bare)

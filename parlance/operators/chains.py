@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import times as tm
-from parlance.functions.identity import chain_form
+from parlance.functions.identity import folded, without_placeholders, without_signs
 from parlance.model import Profile
 from parlance.operators.chain_scan import SCAN_ROWS, chains_of, scan
 from parlance.operators.enrich import spoken
@@ -33,12 +33,13 @@ def chain_rows(enriched: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROW
     """(keys, pos, seq, ts, sender, text, norm): the sequence chains are looked for in. System rows
     are not in it; placeholders are, with an empty `norm` that matches nothing."""
     rows = spoken(enriched).select(*keys, "seq", "ts", "sender", "text", "is_real_text")
-    # Only texts that need Unicode folding go through Python, each of them once.
-    folds = F.col("is_real_text") & F.col("text").rlike(r"[^\x00-\x7f]")
-    simple = F.when(F.col("is_real_text"), chain_form(F.col("text"), ascii_only=True)).otherwise("")
-    forms = rows.where(folds).select("text").distinct().withColumn("norm", chain_form(F.col("text")))
-    both = rows.where(~folds).withColumn("norm", simple).unionByName(rows.where(folds).join(forms, "text"))
-    return dense_position(both.drop("is_real_text"), "pos", keys, cell_rows)
+    # Only texts that need Unicode folding go through Python, as they stand: no text is shuffled for it.
+    real = F.col("is_real_text")
+    folds = real & F.col("text").rlike(r"[^\x00-\x7f]")
+    same = F.when(folds, folded(F.when(folds, F.col("text")))).otherwise(F.lower("text"))
+    bare = rows.withColumn("_bare", F.when(real, without_signs(same)))
+    forms = bare.withColumn("norm", F.when(real, without_placeholders(F.col("_bare"))).otherwise(""))
+    return dense_position(forms.drop("is_real_text", "_bare"), "pos", keys, cell_rows)
 
 
 def exact_runs(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:

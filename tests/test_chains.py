@@ -190,6 +190,15 @@ def test_non_ascii_texts_fold_once(spark):
     assert got == ["strasse", "strasse", "hi", "hi", "é", "é", "é"]
 
 
+def test_no_text_is_shuffled_to_be_folded(spark):
+    """Texts are folded where they stand, in one reading of the rows; only the order in cells moves them."""
+    rows = [(0, 0, "A", "É!", True), (0, 1, "B", "É <Media omitted>", False), (0, 2, "A", "Image omitted", True), (0, 3, "B", "AB, c", True)]
+    rows = spark.createDataFrame(rows, "chat_id long, seq long, sender string, text string, is_real_text boolean")
+    found = ch.chain_rows(rows.selectExpr("*", "false AS is_system", "timestamp_ntz'2024-01-01 10:00:00' AS ts"))
+    assert "hashpartitioning(text" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.pos, r.norm) for r in found.orderBy("pos").collect()] == [(0, "é"), (1, ""), (2, ""), (3, "ab c")]
+
+
 def test_similar_column(spark):
     words = ["", "hi", "ho", "hello", "hlelo", "hell", "helloo", "jello", "ehllo", "olleh", "abcd", "badc"]
     pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
