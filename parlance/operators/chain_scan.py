@@ -163,6 +163,11 @@ def margin(rules: Profile) -> int:
     return 2 * rules.chain_max_cycle * (rules.chain_tolerance + 1)
 
 
+def cells_together(cell_rows: int) -> int:
+    """Cells that one call walks, each by itself: together at most the rows of one cell of the usual size."""
+    return max(SCAN_ROWS // cell_rows, 1)
+
+
 def _state(at: int, want: list[str]) -> str:
     return json.dumps([at, *want])
 
@@ -208,18 +213,22 @@ def scan(blocks: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int
             out.insert(i, name, key[i])
         return out
 
-    def cell_of(key, part: pd.DataFrame) -> Cell:
-        low = int(key[-1]) * cell_rows
+    def cell_of(number: int, part: pd.DataFrame) -> Cell:
+        low = number * cell_rows
         return Cell(part["pos"].tolist(), part["norm"].tolist(), part["sender"].tolist(), low, low + cell_rows, profile)
 
     def first_walk(key, part):
-        cell = cell_of(key, part)
-        return frame(key, (r for p in range(1, profile.chain_max_cycle + 1) for r in _walked(cell, int(key[-1]), p, *cell.entry(p))))
+        def found():
+            for number, own in part.groupby("cell"):
+                cell = cell_of(int(number), own)
+                for p in range(1, profile.chain_max_cycle + 1):
+                    yield from _walked(cell, int(number), p, *cell.entry(p))
+        return frame(key, found())
 
     def again(key, part, asked):
         if part.empty:
             return frame(key, ())
-        cell = cell_of(key, part)
+        cell = cell_of(int(key[-1]), part)
 
         def found():
             for p, start, state in zip(asked["cycle_length"].tolist(), asked["start"].tolist(), asked["exit"]):
@@ -235,7 +244,8 @@ def scan(blocks: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int
         pairs = some.groupBy(*keys, "cell").cogroup(asked.groupBy(*keys, "cell"))
         return materialize(pairs.applyInPandas(again, f"{named}, {_FOUND}"), name)
 
-    found = materialize(rows.groupBy(*keys, "cell").applyInPandas(first_walk, f"{named}, {_FOUND}"), "chain-walks")
+    near = F.expr(f"cell div {cells_together(cell_rows)}")
+    found = materialize(rows.groupBy(*keys, near).applyInPandas(first_walk, f"{named}, {_FOUND}"), "chain-walks")
     spot = [*keys, "cycle_length", "cell"]
     while True:  # every cell begins as the one before it ended
         states = found.where("kind = 'state'")

@@ -29,9 +29,9 @@ FINE = 64
 TOGETHER = 1 << 15
 
 
-def chain_rows(enriched: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(keys, pos, seq, ts, sender, text, norm): the sequence chains are looked for in. System rows
-    are not in it; placeholders are, with an empty `norm` that matches nothing."""
+def chain_texts(enriched: DataFrame, keys=("chat_id",)) -> DataFrame:
+    """(keys, seq, ts, sender, text, norm): the rows chains are looked for in. System rows
+    are not among them; placeholders are, with an empty `norm` that matches nothing."""
     rows = spoken(enriched).select(*keys, "seq", "ts", "sender", "text", "is_real_text")
     # Only texts that need Unicode folding go through Python, as they stand: no text is shuffled for it.
     real = F.col("is_real_text")
@@ -39,7 +39,12 @@ def chain_rows(enriched: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROW
     same = F.when(folds, folded(F.when(folds, F.col("text")))).otherwise(F.lower("text"))
     bare = rows.withColumn("_bare", F.when(real, without_signs(same)))
     forms = bare.withColumn("norm", F.when(real, without_placeholders(F.col("_bare"))).otherwise(""))
-    return dense_position(forms.drop("is_real_text", "_bare"), "pos", keys, cell_rows)
+    return forms.drop("is_real_text", "_bare")
+
+
+def chain_rows(enriched: DataFrame, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The same with `pos`, the place in the sequence."""
+    return dense_position(chain_texts(enriched, keys), "pos", keys, cell_rows)
 
 
 def exact_runs(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:

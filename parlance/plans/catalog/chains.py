@@ -54,7 +54,7 @@ def sequence(spark, sf):
 @query(RUNS + """ SELECT chat_id, MIN(seq) AS run, norm, COUNT(*) AS length, COUNT(DISTINCT sender) AS people, MIN(ts) AS start_ts, MAX(ts) AS end_ts
     FROM i GROUP BY chat_id, k, norm HAVING COUNT(*) >= 2 AND COUNT(DISTINCT sender) >= 2""")
 def exact_runs(spark, sf):
-    return ch.exact_runs(sequence(spark, sf), Profile(chain_min_length=2), cell_rows=1024)
+    return ch.exact_runs(ch.chain_texts(messages(spark, sf)), Profile(chain_min_length=2), cell_rows=1024)
 
 
 @query(STRICT + " SELECT * FROM c")

@@ -199,6 +199,18 @@ def test_no_text_is_shuffled_to_be_folded(spark):
     assert [(r.pos, r.norm) for r in found.orderBy("pos").collect()] == [(0, "é"), (1, ""), (2, ""), (3, "ab c")]
 
 
+def test_small_cells_share_a_call(spark):
+    assert (cs.cells_together(16), cs.cells_together(cs.SCAN_ROWS), cs.cells_together(1 << 20)) == (cs.SCAN_ROWS // 16, 1, 1)
+
+
+def test_runs_need_no_positions(spark):
+    rows = spark.createDataFrame([(0, i, s, t, True) for i, (s, t) in enumerate(["Ax", "Bx", "Ay"])],
+                                 "chat_id long, seq long, sender string, text string, is_real_text boolean")
+    texts = ch.chain_texts(rows.selectExpr("*", "false AS is_system", "timestamp_ntz'2024-01-01 10:00:00' AS ts"))
+    assert "pos" not in texts.columns
+    assert [(r.run, r.norm, r.length, r.people) for r in ch.exact_runs(texts, RULES.override(chain_min_length=2)).collect()] == [(0, "x", 2, 2)]
+
+
 def test_similar_column(spark):
     words = ["", "hi", "ho", "hello", "hlelo", "hell", "helloo", "jello", "ehllo", "olleh", "abcd", "badc"]
     pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
