@@ -41,8 +41,8 @@ def bundle(enriched: DataFrame, profile: Profile, segments: DataFrame | None = N
     if "words" in chosen:
         rules, spans = profile.per_slice(), terms.window_days(rows, keys)
         words = materialize(terms.day_index(terms.word_uses(rows, rules, stopwords, keys), keys), "words")
-        said = materialize(terms.phrase_uses(rows, rules, keys), "said")
-        phrases = materialize(terms.day_index(said, keys), "phrases")
+        said = terms.displays(rows, keys)
+        phrases = materialize(terms.day_index(terms.phrase_uses(rows, rules, keys), keys), "phrases")
         out["repeated_phrases"] = terms.repeated_phrases(phrases, said, spans, who, rules, keys)
         out["signature_words"] = terms.signatures(words, spans, who, rules, keys)
         out["signature_phrases"] = terms.signatures(phrases, spans, who, rules, keys)
@@ -52,10 +52,9 @@ def bundle(enriched: DataFrame, profile: Profile, segments: DataFrame | None = N
             # The fingerprint compares like with like, so the whole chat is indexed by the loose rules too.
             loose = profile.loose()
             word_days = materialize(terms.day_index(terms.word_uses(rows, loose, stopwords, keys), keys), "loose-words")
-            loose_said = materialize(terms.phrase_uses(rows, loose, keys), "loose-said")
-            phrase_days = materialize(terms.day_index(loose_said, keys), "loose-phrases")
+            phrase_days = materialize(terms.day_index(terms.phrase_uses(rows, loose, keys), keys), "loose-phrases")
             out["fingerprint_words"] = terms.fingerprints(word_days, spans, who, profile)
-            out["fingerprint_phrases"] = terms.fingerprints(phrase_days, spans, who, profile, uses=loose_said)
+            out["fingerprint_phrases"] = terms.fingerprints(phrase_days, spans, who, profile, uses=said)
     if "funfacts" in chosen:
         gaps = summary.reply_gaps(rows, keys)
         out |= {"busiest_days": summary.extreme_days(daily, keys), "quietest_days": summary.extreme_days(daily, keys, most=False),

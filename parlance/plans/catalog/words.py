@@ -96,9 +96,9 @@ def word_index_people(spark, sf):
 @query(SENT + INDEX + ", f AS (SELECT chat_id, term, arg_min(display, seq) AS display FROM u GROUP BY 1, 2) "
        "SELECT chat_id, term, cnt, days, person_days, first_ts, first_by, last_ts, last_by, display FROM i JOIN f USING (chat_id, term)")
 def phrase_index_terms(spark, sf):
-    said = materialize(te.phrase_uses(rows(spark, sf), PHRASES), "said")
-    index = materialize(te.day_index(said), "phrases")
-    return te.with_sayers(te.with_display(te.term_index(index), said), index)
+    texts = rows(spark, sf)
+    index = materialize(phrase_index(texts), "phrases")
+    return te.with_sayers(te.with_display(te.term_index(index), te.displays(texts)), index)
 
 
 @query(WORDS + " SELECT chat_id, COUNT(DISTINCT term) AS vocab_overall FROM u GROUP BY 1")
@@ -149,9 +149,13 @@ def distinctive_words(spark, sf):
     FROM r LEFT JOIN s ON r.chat_id = s.chat_id AND r.term = s.term JOIN f ON r.chat_id = f.chat_id AND r.term = f.term WHERE rank <= 15""")
 def repeated_phrases(spark, sf):
     texts = rows(spark, sf)
-    said = materialize(te.phrase_uses(texts, PHRASES), "said")
-    index = materialize(te.day_index(said), "phrases")
-    return te.repeated_phrases(index, said, te.window_days(texts), en.participants(texts), PHRASES)
+    index = materialize(phrase_index(texts), "phrases")
+
+    def shown(wanted):  # only texts that are shown are worked out again
+        few = views.documents(spark, sf).join(wanted, ["chat_id", "seq"], "left_semi")
+        return te.displays(en.with_lexical(en.enrich(few)))
+
+    return te.repeated_phrases(index, shown, te.window_days(texts), en.participants(texts), PHRASES)
 
 
 def signature_sql(count: int) -> str:
@@ -194,7 +198,8 @@ def signature_phrases(spark, sf):
     FROM r LEFT JOIN s ON r.chat_id = s.chat_id AND r.term = s.term WHERE rank <= 15""")
 def slice_fingerprint(spark, sf):
     keys = ["chat_id", "slice"]
-    cut = materialize(sliced(rows(spark, sf), SMALL), "sliced")
+    read = ("seq", "ts", "date", "sender", "is_system", "is_real_text", "lexical_text")
+    cut = materialize(sliced(rows(spark, sf), SMALL).select(*keys, *read), "sliced")
     index = materialize(te.day_index(te.word_uses(cut, SMALL.loose(), keys=keys), keys), "words")
     return te.fingerprints(index, te.window_days(cut, keys), slice_participants(cut, 1), SMALL)
 

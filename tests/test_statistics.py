@@ -197,3 +197,19 @@ def test_filters_on_real_text_work_out_little(spark):
     assert [r.is_real_text for r in real] == [True, False, False, False, False, True, False, False, True, True]
     plan = en.worded(en.enrich(msgs)).select("chat_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(") == 1
+
+
+def test_texts_are_shuffled_and_not_their_uses(spark):
+    """Terms are counted and their days marked where a chat's day lies, for words as for phrases; a filter works no form out twice."""
+    rows = [(minutes(i), s, "a pear and a pear") for i, s in ((0, "A"), (1, "B"), (1, "A"), (1500, "B"), (1500, "A"))]
+    lex = en.with_lexical(en.enrich(messages(spark, rows)))
+    for uses in (te.word_uses(lex, Profile()), te.phrase_uses(lex, Profile())):
+        plan = te.day_index(uses)._jdf.queryExecution().executedPlan().toString()
+        assert re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) and len(re.findall("Exchange hashpartitioning", plan)) == 1
+        assert plan.index("HashAggregate") < plan.index("Generate") < plan.index("Exchange hashpartitioning")
+        assert re.search(r"Exchange hashpartitioning\(chat_id#\d+L?, date#\d+, \d+\)", plan)
+    optimized = te.phrase_uses(lex, Profile())._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("lower(") == 1
+    phrases = te.day_index(te.phrase_uses(lex, Profile()))
+    best = te.repeated_phrases(phrases, te.displays(lex), te.window_days(lex), en.participants(lex), Profile(min_repeat_count=2, min_repeat_days=2)).first()
+    assert (best.display, best.cnt, best.days, best.first_by, best.last_by, best.top_sayer) == ("a pear and a pear", 5, 2, "A", "B", "A")
