@@ -78,6 +78,28 @@ def _close(a, b, min_len: int):
     return F.when((a == "") | (b == ""), False).when(a == b, True).when(fuzzy, typos).otherwise(False)
 
 
+def partners(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(keys, seq, p): positions and the cycles for which a row has a partner of its slot within reach."""
+    keys = list(keys)
+    reach = profile.chain_tolerance + 1
+    far = profile.chain_max_cycle * reach
+    # Cells of positions, each with the first rows of the next one, let `lead` run per cell. A row is compared with many: by
+    # bytes Spark would put few large cells into few tasks, so cells are small and the number of tasks is given.
+    step = max(min(cell_rows, RANGE), far)
+    here = F.expr(f"pos div {step}")
+    halo = F.when((F.col("pos") % step < far) & (F.col("pos") >= step), here - 1)
+    cut = rows.select(*keys, "pos", "norm", F.explode(F.array_compact(F.array(here, halo))).alias("cell"))
+    cut = cut.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "cell")
+    ahead = Window.partitionBy(*keys, "cell").orderBy("pos")
+    near = cut.withColumn("_next", F.array(*(
+        F.coalesce(_close(F.col("norm"), F.lead("norm", d).over(ahead), profile.chain_min_fuzzy_len), F.lit(False))
+        for d in range(1, far + 1)
+    ))).where(F.expr(f"pos div {step}") == F.col("cell"))
+    fits = F.array_compact(F.array(*(
+        F.when(F.exists(F.slice("_next", p, p * reach - p + 1), lambda hit: hit), p) for p in range(1, profile.chain_max_cycle + 1))))
+    return near.select(*keys, F.col("pos").alias("seq"), F.explode(fits).alias("p"))
+
+
 def chain_blocks(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
     """Rows that a chain could touch.
 
@@ -89,21 +111,8 @@ def chain_blocks(rows: DataFrame, profile: Profile, keys=("chat_id",), cell_rows
     """
     keys = list(keys)
     reach = profile.chain_tolerance + 1
-    cycles = range(1, profile.chain_max_cycle + 1)
-    far = profile.chain_max_cycle * reach
-    # Cells of positions, each with the first rows of the next one, let `lead` run per cell.
-    here = F.expr(f"pos div {cell_rows}")
-    halo = F.when((F.col("pos") % cell_rows < far) & (F.col("pos") >= cell_rows), here - 1)
-    cut = rows.select(*keys, "pos", "norm", F.explode(F.array_compact(F.array(here, halo))).alias("cell"))
-    ahead = Window.partitionBy(*keys, "cell").orderBy("pos")
-    partners = cut.withColumn("_next", F.array(*(
-        F.coalesce(_close(F.col("norm"), F.lead("norm", d).over(ahead), profile.chain_min_fuzzy_len), F.lit(False))
-        for d in range(1, far + 1)
-    ))).where(F.expr(f"pos div {cell_rows}") == F.col("cell"))
-    fits = F.array_compact(F.array(*(
-        F.when(F.exists(F.slice("_next", p, p * reach - p + 1), lambda hit: hit), p) for p in cycles)))
     # Each step below reads its input twice, so the narrow tables between them are written out.
-    flagged = materialize(partners.select(*keys, F.col("pos").alias("seq"), F.explode(fits).alias("p")), "partners")
+    flagged = materialize(partners(rows, profile, keys, cell_rows), "partners")
     per_p = [*keys, "p"]
     gaps = previous_row(flagged, ["seq"], per_p, cell_rows)
     fresh = F.col("prev").isNull() | (F.col("seq") - F.col("prev.seq") > reach)

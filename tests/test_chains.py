@@ -234,3 +234,13 @@ def test_report(spark):
     assert [(p["name"], p["count"]) for p in r.interrupted_by] == [("B", 1)]
     assert [m.text for m in r.messages] == ["hi", "Hi!", "hi", "other", "HI"]
     assert [p.text for p in r.pattern] == ["hi"]
+
+
+def test_partners_of_a_chat_are_sought_in_many_tasks(spark):
+    """A chat within one large cell is still the work of several tasks, with the same partners as in any other cells."""
+    n = 9 * ch.RANGE
+    rows = spark.range(n).selectExpr("id div 1000000 AS chat_id", "id AS pos", "concat('text ', (id * id) % 7) AS norm")
+    found = ch.partners(rows, RULES)
+    assert found.selectExpr("spark_partition_id() AS t").distinct().count() > 1
+    narrow = ch.partners(rows, RULES, cell_rows=500)
+    assert found.count() == narrow.count() > 0 and found.exceptAll(narrow).isEmpty()
