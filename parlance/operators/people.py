@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +56,8 @@ def person_counts(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> Da
 
 
 def _counts_and_peak(lexical: DataFrame, profile: Profile, keys=("chat_id",)) -> DataFrame:
-    """The counts and the busiest hour, the earliest on ties, from one pass. Rolled up per person, day and
-    hour first, so that a busy person is spread over their days."""
+    """The counts and the busiest hour, the earliest on ties, from one pass. They are summed up on the map side, so a busy person is
+    a row for each task, and only plain (person, day) pairs are shuffled for the days."""
     own = F.col("lexical_text")
     real = F.col("is_real_text")
     night, early = profile.night_owl_hours, profile.early_bird_hours
@@ -78,20 +81,14 @@ def _counts_and_peak(lexical: DataFrame, profile: Profile, keys=("chat_id",)) ->
         "early_messages": F.when(F.col("hour").between(early[0], early[1] - 1), 1),
     }
     sums = [F.sum(F.coalesce(c, F.lit(0)).cast("long")).alias(n) for n, c in per_message.items()]
-    hours = spoken(lexical).groupBy(*keys, "sender", "date", "hour").agg(
-        *sums, F.min("ts").alias("first_message"), F.max("ts").alias("last_message"),
-    )
-    at_hour = [F.sum(F.when(F.col("hour") == h, F.col("total_messages")).otherwise(0)) for h in range(24)]
-    days = hours.groupBy(*keys, "sender", "date").agg(
-        *(F.sum(n).alias(n) for n in per_message), *(c.alias(f"_h{h}") for h, c in enumerate(at_hour)),
-        F.min("first_message").alias("first_message"), F.max("last_message").alias("last_message"),
-    )
-    persons = days.groupBy(*keys, "sender").agg(
-        *(F.sum(n).alias(n) for n in per_message), *(F.sum(f"_h{h}").alias(f"_h{h}") for h in range(24)),
-        F.count("*").alias("active_days"),
-        F.min("first_message").alias("first_message"),
-        F.max("last_message").alias("last_message"),
-    )
+    at_hour = [F.count_if(F.col("hour") == h).alias(f"_h{h}") for h in range(24)]
+    said = spoken(lexical)
+    persons = said.groupBy(*keys, "sender").agg(*sums, *at_hour, F.min("ts").alias("first_message"), F.max("ts").alias("last_message"))
+    days = said.select(*keys, "sender", "date").distinct().groupBy(*keys, "sender").agg(F.count("*").alias("active_days"))
+    # Rows without a sender are somebody too.
+    who = [*keys, "sender"]
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in who))
+    persons = persons.join(days.withColumnsRenamed({c: f"_{c}" for c in who}), same).drop(*(f"_{c}" for c in who))
     most = F.array(*[F.col(f"_h{h}") for h in range(24)])
     peak = (F.array_position(most, F.array_max(most)) - 1).cast("int")
     return persons.withColumn("peak_hour", peak).drop(*(f"_h{h}" for h in range(24)))
@@ -141,14 +138,20 @@ def turn_taking(enriched: DataFrame, profile: Profile, keys=("chat_id",), cell_r
     )
 
 
+def person_rows(lexical: DataFrame, keys=("chat_id",)) -> DataFrame:
+    """The columns that participants, mentions and `person_stats` read, worked out and written once."""
+    read = ("seq", "ts", "date", "hour", "is_system", "is_real_text", "is_media", "is_deleted", "is_edited", "word_count", "char_count", "analysis_text", "lexical_text")
+    return materialize(lexical.select(*keys, "sender", *read, F.left("text", F.lit(300)).alias("text")), "person-rows")
+
+
 def person_stats(lexical: DataFrame, people: DataFrame, profile: Profile, mentions: DataFrame | None = None,
                  keys=("chat_id",), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per participant with every metric. `mentions` is the (src, dst, cnt) edge table. The columns that several
-    of the parts read are worked out and written once."""
+    """One row per participant with every metric. `mentions` is the (src, dst, cnt) edge table. Several parts read the
+    rows, so pass rows that are written (`person_rows` writes what is read)."""
     keys = list(keys)
     who = [*keys, "sender"]
-    read = ("seq", "ts", "date", "hour", "is_system", "is_real_text", "is_media", "is_deleted", "is_edited", "word_count", "char_count", "lexical_text")
-    lexical = materialize(lexical.select(*who, *read, F.left("text", F.lit(300)).alias("text")), "person-rows")
+    # The joins below ask for keys; asked of every part alike, the parts still share a shuffle.
+    lexical = lexical.where(reduce(and_, (F.col(k).isNotNull() for k in keys)))
     totals = lexical.groupBy(*keys).agg((F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("_days"))
     counted = _counts_and_peak(lexical, profile, keys)
     counted = counted.withColumn("_all", F.sum("total_messages").over(Window.partitionBy(*keys)))

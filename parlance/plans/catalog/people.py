@@ -186,7 +186,7 @@ STATS = E + RR + ", ".join([COUNTS, VOCAB, TURNS, PEAK, LONGEST, PEOPLE]) + EDGE
 
 
 def stats(spark, sf):
-    rows = event_rows(spark, sf)
+    rows = pe.person_rows(event_rows(spark, sf))
     who = en.participants(rows, 10)
     return pe.person_stats(rows, who, PROFILE, mn.mention_edges(rows, mn.name_lookup(who)), cell_rows=4096)
 

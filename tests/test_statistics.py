@@ -77,6 +77,23 @@ def test_same_minute_keeps_order_and_own_gaps_do_not_count(spark):
     assert got == {"A": (2, 1), "B": (0, 0)}
 
 
+def test_person_stats_read_written_rows_alone(spark):
+    from parlance.plans.catalog.people import stats
+    assert all("/person-rows-" in f for f in stats(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_person_counts_shuffle_a_person_once_a_task(spark):
+    rows = [(days(d) + minutes(60 * h), s, "so it is!") for d in range(3) for h, s in ((1, "A"), (2, "A"), (2, None), (1, "B"))]
+    lex = en.with_lexical(en.enrich(messages(spark, rows).withColumn("is_system", F.lit(False))))
+    counts = pe._counts_and_peak(lex, Profile())
+    grouped = re.findall(r"HashAggregate\(keys=\[(.*?)\], functions=\[(.*?)\]", counts._jdf.queryExecution().executedPlan().toString())
+    assert grouped and all("sum(" not in f for keys, f in grouped if "date#" in keys)
+    got = {r.sender: (r.total_messages, r.active_days, r.exclamation_count, r.peak_hour, r.first_message, r.last_message) for r in counts.collect()}
+    last = T0 + days(2)
+    assert got == {"A": (6, 3, 6, 10, T0 + minutes(60), last + minutes(120)), "B": (3, 3, 3, 10, T0 + minutes(60), last + minutes(60)),
+                   None: (3, 3, 3, 11, T0 + minutes(120), last + minutes(120))}
+
+
 def days(n):
     return dt.timedelta(days=n)
 
