@@ -16,15 +16,17 @@ repeat a vec_id are vectors of their own; a null vec_id doesn't name a component
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.llm.columns import stored, table
-from parlance.llm.graph import components, forest
+from parlance.llm.graph import components, spanning
 
 COSINE = 0.9
 FAR = float(np.sqrt(2 - 2 * COSINE)) + 1e-9
@@ -33,32 +35,45 @@ BOX = 16
 INTERVAL = 2048
 PIECE = 256
 FAN = 8
-TOGETHER = 8
+COLUMNS = 1024
+FEW = 4096
+ROUND = 32 << 20
+
+
+def _given(data, dim: int, n: int) -> np.ndarray:
+    """Vectors from their bytes, as they were given: a float takes 4 bytes, a double 8."""
+    return np.frombuffer(data, np.float32 if len(data) == 4 * dim * n else np.float64).reshape(n, dim)
+
+
+def _units(given: np.ndarray) -> np.ndarray:
+    x = given.astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]  # the square of a tiny or huge component would be lost
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    return x
 
 
 def _unit(batches):
-    """(vec_id, node, dim, vector) with unit vectors as doubles; nothing in place of vectors that can't link."""
+    """(vec_id, node, dim, vector): the vector as given and the digest of its unit vector; nothing in place of vectors that can't link."""
     for batch in batches:
-        nodes, dims, vectors = [], [], []
-        for x in batch.column("embedding").to_pylist():
-            v = np.array(x, np.float64) if x and None not in x else np.empty(0)
-            long = float(np.abs(v).max()) if len(v) and np.isfinite(v).all() else 0.0
-            if long > 0:
-                v = v / long  # the square of a tiny or huge component would be lost
-                v = v / np.sqrt(v @ v)
-                nodes.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest())
-                vectors.append(v.tobytes())
-            else:
-                nodes.append(None)
-                vectors.append(None)
-            dims.append(len(v) if long > 0 else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.binary()), pa.array(dims, pa.int64()), pa.array(vectors, pa.binary())],
+        column = batch.column("embedding")
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)  # a null component is a NaN
+        nodes, dims, vectors = [None] * len(lengths), np.zeros(len(lengths), np.int64), [None] * len(lengths)
+        for d in np.unique(lengths[lengths > 0]).tolist():
+            at = np.flatnonzero(lengths == d)
+            x = values[(ends[at] - d)[:, None] + np.arange(d)]
+            long = np.abs(x).max(1)
+            good = np.isfinite(long) & (long > 0)
+            at, x = at[good], x[good]
+            dims[at] = d
+            for i, v, u in zip(at.tolist(), x, _units(x)):
+                nodes[i], vectors[i] = hashlib.blake2b(u, digest_size=16).digest(), v.tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(nodes, pa.binary()), pa.array(dims), pa.array(vectors, pa.binary())],
                                          ["vec_id", "node", "dim", "vector"])
 
 
-def _matrix(column) -> np.ndarray:
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _matrix(column, dim: int) -> np.ndarray:
+    return _units(_given(b"".join(column.to_pylist()), dim, len(column)))
 
 
 def _moments(batches):
@@ -66,7 +81,7 @@ def _moments(batches):
     for batch in batches:
         dims = batch.column("dim").to_numpy()
         for d in np.unique(dims).tolist():
-            x = _matrix(batch.column("vector").filter(pa.array(dims == d)))
+            x = _matrix(batch.column("vector").filter(pa.array(dims == d)), d)
             t = total.setdefault(d, [0, 0.0, 0.0])
             t[0], t[1], t[2] = t[0] + len(x), t[1] + x.sum(0), t[2] + x.T @ x
     for d, (n, s, q) in total.items():
@@ -96,7 +111,7 @@ def _cells(axes: dict[int, np.ndarray]):
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
-                at = _matrix(part.column("vector")) @ axes[d][:, :AXES]
+                at = _matrix(part.column("vector"), d) @ axes[d][:, :AXES]
                 cell = np.floor(at / FAR).astype(np.int64)
                 cells = [pa.array(cell[:, k]) if k < cell.shape[1] else pa.array(np.zeros(len(at), np.int64)) for k in range(AXES)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "dim", "many", "vector")), *cells, pa.array(at[:, 0])],
@@ -112,13 +127,13 @@ def _cut(axes: dict[int, np.ndarray]):
         part, number, kept, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out(rows: pa.Table):
-            x = _matrix(rows.column("vector"))
             d = rows.column("dim")[0].as_py()
-            at = x @ axes[d]
+            at = _matrix(rows.column("vector"), d) @ axes[d]
+            nodes, matrix = (b"".join(rows.column(c).to_pylist()) for c in ("node", "vector"))
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([d], pa.int64()), pa.array([at.min(0).tolist()], pa.list_(pa.float64())),
-                pa.array([at.max(0).tolist()], pa.list_(pa.float64())), pa.array([rows.column("node").to_pylist()], pa.list_(pa.binary())),
-                pa.array([rows.column("many").to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], _CUT)
+                pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([d], pa.int64()),
+                pa.array([at.min(0).tolist()], pa.list_(pa.float64())), pa.array([at.max(0).tolist()], pa.list_(pa.float64())), pa.array([nodes], pa.binary()),
+                pa.array([rows.column("many").to_pylist()], pa.list_(pa.int64())), pa.array([matrix], pa.binary()), pa.array([len(nodes) + len(matrix)], pa.int64())], _CUT)
 
         for batch in batches:
             dims = batch.column("dim").to_numpy()
@@ -139,18 +154,23 @@ def _cut(axes: dict[int, np.ndarray]):
     return run
 
 
-_CUT = ["part", "number", "dim", "low", "high", "nodes", "many", "matrix"]
-_CUT_SQL = "part long, number long, dim long, low array<double>, high array<double>, nodes array<binary>, many array<long>, matrix binary"
+_CUT = ["part", "number", "dim", "low", "high", "nodes", "many", "matrix", "bytes"]
+_CUT_SQL = "part long, number long, dim long, low array<double>, high array<double>, nodes binary, many array<long>, matrix binary, bytes long"
 
 
 def intervals(classes: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
-    """The sequence in epsilon grid order, cut; `id` numbers the intervals from 0 without holes."""
+    """The sequence in epsilon grid order, cut; `id` numbers the intervals from 0 without holes.
+
+    Vectors are written once, FAN intervals to a file; the numbers are put beside them when they are read.
+    """
     order = ["dim", *(f"c{k}" for k in range(AXES)), "along", "node"]
+    files = -(-classes.count() // (FAN * INTERVAL))
     cells = classes.mapInArrow(_cells(axes), "node binary, dim long, many long, vector binary, " + ", ".join(f"c{k} long" for k in range(AXES)) + ", along double")
-    cut = stored(cells.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(axes), _CUT_SQL), "vector-intervals")
+    cut = stored(cells.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order).mapInArrow(_cut(axes), _CUT_SQL), "vector-intervals")
     counts = cut.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    return cut.join(before.select("part", F.coalesce("before", F.lit(0)).alias("before")), "part").withColumn("id", F.col("before") + F.col("number")).drop("part", "number", "before")
+    before = stored(before.select("part", F.coalesce("before", F.lit(0)).alias("before")), "vector-before")
+    return cut.join(F.broadcast(before), "part").withColumn("id", F.col("before") + F.col("number")).drop("number", "before")
 
 
 def _apart(low_a, high_a, low_b, high_b):
@@ -182,75 +202,152 @@ def close_pairs(cut: DataFrame, n: int) -> DataFrame:
     return pairs
 
 
-def _compared(axes: dict[int, np.ndarray]):
-    """Counts of links, and a spanning forest of them, between one interval and some that may be close."""
-    def pieces(x, project):
-        for i in range(0, len(x), PIECE):
-            at = project[i:i + PIECE]
-            yield i, x[i:i + PIECE], at.min(0), at.max(0)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        node, other, links = [], [], []
-        for own in left.to_pylist():
-            d = own["dim"]
-            x = np.frombuffer(own["matrix"], np.float64).reshape(-1, d)
-            many = np.array(own["many"], np.int64)
-            mine = list(pieces(x, x @ axes[d]))
-            count = np.zeros(len(x), np.int64)
-            for k in range(right.num_rows):
-                row = right.slice(k, 1).to_pylist()[0]
-                same = row["b"] == own["id"]
-                y = np.frombuffer(row["matrix_b"], np.float64).reshape(-1, d)
-                weight = np.array(row["many_b"], np.int64)
-                theirs = list(pieces(y, y @ axes[d]))
-                back = np.zeros(len(y), np.int64)
-                for i, px, low_x, high_x in mine:
-                    for j, py, low_y, high_y in theirs:
-                        gap = np.maximum(0, np.maximum(low_x - high_y, low_y - high_x))
-                        if gap @ gap > FAR * FAR or (same and j < i):
-                            continue
-                        linked = px @ py.T >= COSINE
-                        if same and i == j:
-                            np.fill_diagonal(linked, False)
-                        if not linked.any():
+class Held:
+    """Intervals of one length of vectors that a task compares others with: one matrix, and the boxes of its pieces."""
+
+    def __init__(self, rows: list, axes: np.ndarray, piece: int):
+        dim = rows[0]["dim"]
+        self.given = [_given(r["matrix"], dim, len(r["many"])) for r in rows]
+        starts = np.cumsum([0, *(len(x) for x in self.given)])
+        self.base = dict(zip((r["id"] for r in rows), starts.tolist()))
+        self.starts = starts[:-1]
+        self.nodes = np.concatenate([np.frombuffer(r["nodes"], np.uint8).reshape(-1, 16) for r in rows])
+        self.many = np.concatenate([np.array(r["many"], np.int64) for r in rows])
+        self.single = np.empty((starts[-1], dim), np.float32)
+        self.links = np.zeros(starts[-1], np.int64)
+        pieces = []
+        for r, x, start in zip(rows, self.given, starts.tolist()):
+            unit = _units(x)
+            self.single[start:start + len(x)] = unit
+            pieces += [(r["id"], start + i, start + i + len(at), at.min(0), at.max(0)) for i, at in _pieces(unit @ axes, piece)]
+        self.of, self.start, self.end, self.low, self.high = map(np.array, zip(*pieces))
+
+    def units(self, at: np.ndarray) -> np.ndarray:
+        """The unit vectors of some positions."""
+        number = np.searchsorted(self.starts, at, "right") - 1
+        out = np.empty((len(at), self.single.shape[1]))
+        for k in np.unique(number).tolist():
+            mine = number == k
+            out[mine] = _units(self.given[k][at[mine] - self.starts[k]])
+        return out
+
+    def runs(self, close: np.ndarray, most: int):
+        """Positions of the pieces chosen, as ranges of at most so many."""
+        k = np.flatnonzero(close)
+        for run in np.split(k, np.flatnonzero(np.diff(k) > 1) + 1) if len(k) else ():
+            first, last = int(self.start[run[0]]), int(self.end[run[-1]])
+            for at in range(first, last, most):
+                yield at, min(at + most, last)
+
+
+def _pieces(at: np.ndarray, piece: int):
+    return [(i, at[i:i + piece]) for i in range(0, len(at), piece)]
+
+
+def _named(nodes: np.ndarray, at: np.ndarray) -> pa.Array:
+    found = np.ascontiguousarray(nodes[at])
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, 16 * len(at) + 1, 16, dtype=np.int32)), pa.py_buffer(found)])
+
+
+def _batch(a: pa.Array, b: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a, pa.nulls(len(a), pa.binary()) if b is None else b, pa.array(n)], ["a", "b", "n"])
+
+
+def _compared(axes: dict[int, np.ndarray], sent):
+    """Counts of links, and a spanning forest of them, between each interval and those of `sent`, a broadcast list, that may be close.
+
+    Products of floats with room for their rounding say which pairs may link; those are compared as doubles.
+    """
+    def linked(x, i, held, first, last, own):
+        """Positions (e, f) of linked pairs among a piece of x and some of what is held; own: position from which x itself is held."""
+        dim = x.shape[1]
+        piece = x[i:i + PIECE]
+        may = piece.astype(np.float32) @ held.single[first:last].T >= np.float32(COSINE - (dim + 8) * 2.0 ** -22)
+        n = np.count_nonzero(may)
+        if not n:
+            return None
+        if n <= FEW:
+            e, f = np.divmod(np.flatnonzero(may), last - first)
+            fits = np.einsum("ij,ij->i", piece[e], held.units(f + first)) >= COSINE
+            e, f = e[fits], f[fits]
+        else:
+            e, f = np.nonzero(piece @ held.units(np.arange(first, last)).T >= COSINE)
+        if own is not None:  # each pair once
+            later = f + first > e + i + own
+            e, f = e[later], f[later]
+        return (e + i, f + first) if len(e) else None
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for own in batch.to_pylist():
+                d = own["dim"]
+                if d not in held:
+                    held[d] = Held([r for r in sent.value if r["dim"] == d], axes[d], PIECE)
+                h, many, nodes = held[d], np.array(own["many"], np.int64), np.frombuffer(own["nodes"], np.uint8).reshape(-1, 16)
+                x = _units(_given(own["matrix"], d, len(many)))
+                wanted = np.isin(h.of, own["near"])
+                count, pairs = np.zeros(len(x), np.int64), []
+                for i, at in _pieces(x @ axes[d], PIECE):
+                    gap = np.maximum(0, np.maximum(at.min(0) - h.high, h.low - at.max(0)))
+                    close = wanted & ((gap * gap).sum(1) <= FAR * FAR)
+                    base = h.base.get(own["id"])
+                    if base is not None:
+                        close &= h.start >= base + i
+                    for first, last in h.runs(close, COLUMNS):
+                        found = linked(x, i, h, first, last, base)
+                        if found is None:
                             continue
-                        count[i:i + len(px)] += linked @ weight[j:j + len(py)]
-                        if not (same and i == j):
-                            back[j:j + len(py)] += linked.T @ many[i:i + len(px)]
-                        square = np.zeros((len(px) + len(py),) * 2, bool)
-                        square[:len(px), len(px):] = linked
-                        square[len(px):, :len(px)] = linked.T
-                        name = lambda e: own["nodes"][i + e] if e < len(px) else row["nodes_b"][j + e - len(px)]  # noqa: E731, B023
-                        for e, f in forest(square):
-                            node.append(name(e))
-                            other.append(name(f))
-                            links.append(0)
-                for e in np.flatnonzero(back):
-                    node.append(row["nodes_b"][e])
-                    other.append(None)
-                    links.append(int(back[e]))
-            for e in np.flatnonzero(count):
-                node.append(own["nodes"][e])
-                other.append(None)
-                links.append(int(count[e]))
-        return pa.table({"a": pa.array(node, pa.binary()), "b": pa.array(other, pa.binary()), "n": pa.array(links, pa.int64())})
+                        e, f = found
+                        np.add.at(count, e, h.many[f])
+                        np.add.at(h.links, f, many[e])
+                        some = spanning(PIECE + last - first, e - i, PIECE + f - first)
+                        pairs.append((e[some], f[some]))
+                if pairs:
+                    e, f = map(np.concatenate, zip(*pairs))
+                    ends, at = np.unique(np.concatenate([e, len(x) + f]), return_inverse=True)
+                    some = spanning(len(ends), at[:len(e)], at[len(e):])
+                    yield _batch(_named(nodes, e[some]), _named(h.nodes, f[some]), np.zeros(len(some), np.int64))
+                    hit = np.flatnonzero(count)
+                    yield _batch(_named(nodes, hit), None, count[hit])
+        for h in held.values():
+            hit = np.flatnonzero(h.links)
+            yield _batch(_named(h.nodes, hit), None, h.links[hit])
     return run
 
 
+def compared(cut: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """(a, b, n): links of a spanning forest as (a, b), and numbers of links as (a, null, n) that add up.
+
+    The later intervals of the pairs are broadcast, at most ROUND bytes at once and in as many passes as that takes; the earlier ones
+    are read where they lie. So no vector is shuffled or written for a pair.
+    """
+    spark, found = cut.sparkSession, []
+    sizes = sorted(cut.select("id", "part", "bytes").collect())  # a row for each interval
+    while sizes:
+        room = np.searchsorted(np.cumsum([r["bytes"] for r in sizes]), ROUND, "right")
+        now, sizes = sizes[:max(1, room)], sizes[max(1, room):]
+        first, last = now[0], now[-1]
+        held = cut.where(F.col("part").between(first["part"], last["part"]) & F.col("id").between(first["id"], last["id"]))
+        sent = spark.sparkContext.broadcast([r.asDict() for r in sorted(held.select("id", "dim", "nodes", "many", "matrix").collect(), key=lambda r: r["id"])])
+        near = pairs.where(F.col("b").between(first["id"], last["id"])).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("near"))
+        own = cut.where(F.col("part") <= last["part"]).join(F.broadcast(near), "id").select("id", "dim", "nodes", "many", "matrix", "near")
+        found.append(stored(own.mapInArrow(_compared(axes, sent), "a binary, b binary, n long"), "vector-links"))
+        sent.destroy()
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a binary, b binary, n long")
+
+
 def links(vectors: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors."""
-    rows = stored(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(
-        _unit, "vec_id long, node binary, dim long, vector binary"), "vector-rows")
-    classes = stored(rows.where("node IS NOT NULL").groupBy("node").agg(
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    units = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).mapInArrow(
+        _unit, "vec_id long, node binary, dim long, vector binary")
+    rows = stored(units.select("vec_id", "node"), "vector-rows")
+    classes = stored(units.where("node IS NOT NULL").groupBy("node").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("dim").alias("dim"), F.first("vector").alias("vector")), "vector-classes")
     axes = principal_axes(classes)
-    cut = stored(intervals(classes.drop("rep"), axes), "vector-cut")
-    pairs = close_pairs(cut, cut.count())
-    dealt = pairs.withColumn("some", F.floor(F.col("b") / TOGETHER))
-    left = dealt.select("a", "some").distinct().join(cut.withColumnRenamed("id", "a"), "a").withColumn("id", F.col("a")).select("a", "some", "id", "dim", "nodes", "many", "matrix")
-    right = dealt.join(cut.withColumnRenamed("id", "b"), "b").select(
-        F.col("a").alias("to"), F.col("some").alias("part"), "b", *[F.col(c).alias(f"{c}_b") for c in ("nodes", "many", "matrix")])
-    found = stored(left.groupBy("a", "some").cogroup(right.groupBy("to", "part")).applyInArrow(_compared(axes), "a binary, b binary, n long"), "vector-links")
+    cut = intervals(classes.drop("rep"), axes)
+    found = compared(cut, close_pairs(cut, cut.count()), axes)
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     named = classes.select("node", "rep", "many").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))

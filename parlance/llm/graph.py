@@ -39,3 +39,28 @@ def forest(linked) -> list[tuple[int, int]]:
         if (low == label).all():
             return [(i, int(r)) for i, r in enumerate(label) if i != r]
         label = low
+
+
+def spanning(n: int, a, b):
+    """Positions of the edges (a, b) between nodes 0 to n - 1 that make a spanning forest of them."""
+    import numpy as np
+
+    label, left, kept = np.arange(n), np.arange(len(a)), []
+    while True:
+        one, two = label[a[left]], label[b[left]]
+        joins = one != two
+        left, low, high = left[joins], np.minimum(one, two)[joins], np.maximum(one, two)[joins]
+        if not len(left):
+            return np.concatenate([left, *kept])
+        least = np.full(n, n)
+        np.minimum.at(least, high, low)
+        to_least = np.flatnonzero(low == least[high])
+        edge = np.full(n, -1)
+        edge[high[to_least]] = to_least  # one for each label that hangs itself under a smaller one
+        edge = edge[edge >= 0]
+        up = np.arange(n)
+        up[high[edge]] = low[edge]
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+        kept.append(left[edge])

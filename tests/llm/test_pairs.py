@@ -192,6 +192,39 @@ def test_embeddings(spark, monkeypatch):
     assert sorted_rows((x.vec_id, x.n_links, x.component_id, x.kept) for x in got) == sorted_rows(want)
 
 
+def test_embeddings_in_passes(spark, monkeypatch):
+    """The same rows whether the intervals are held at once or a few at a time, and whether few or many pairs may link."""
+    monkeypatch.setattr(embeddings, "INTERVAL", 40)
+    monkeypatch.setattr(embeddings, "PIECE", 16)
+    rows = [(i, v) for i, v in vectors(5, 700, 24)] + [(1000 + i, v) for i, (_, v) in enumerate(vectors(6, 300, 7))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = sorted_rows(embeddings.links(df).collect())
+    assert sum(x.n_links for x in want) > 2000
+    for name, value in (("ROUND", 30_000), ("FEW", 0), ("COLUMNS", 50)):
+        monkeypatch.setattr(embeddings, name, value)
+        assert sorted_rows(embeddings.links(df.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding")).collect()) == want
+
+
+def test_embeddings_shuffle_follows_the_vectors(spark, monkeypatch):
+    """64 intervals that are all close to each other: their vectors are not shuffled once per pair."""
+    monkeypatch.setattr(embeddings, "INTERVAL", 40)
+    g = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g.normal(size=(2560, 64)).astype(np.float32))], "vec_id long, embedding array<float>").repartition(3)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    seen = {}
+
+    def look():
+        files = disk.getAllFiles()
+        seen.update((f.getName(), f.length()) for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_"))
+    look()
+    before, write = set(seen), embeddings.stored
+    monkeypatch.setattr(embeddings, "stored", lambda *x: (write(*x), look())[0])  # files of one step may be gone after the next
+    assert embeddings.links(df).where("n_links = 0 AND kept").count() == 2560
+    look()
+    assert 0 < sum(size for name, size in seen.items() if name not in before) < 6 * 2560 * 64 * 8
+
+
 def test_embeddings_levels_of_two_lengths(spark):
     """Three levels; the box that spans both lengths is the first of its eight."""
     rows = [(i, d, [0.0] * d, [0.0] * d) for i in range(128) for d in [8 if i < 68 else 16]]
