@@ -5,8 +5,10 @@ vectors are projected on the leading principal axes, which never makes a distanc
 axes, in lexicographic order, put the vectors in a sequence. The sequence is cut into intervals of 2,048 with
 their bounding boxes. Starting from a few long intervals, pairs are refined level by level into pairs of shorter ones, and a pair
 is dropped as soon as its boxes are further apart than two linked vectors can be. What remains is compared exactly, in
-pieces of 256 x 256 that are skipped by their boxes in the same way; a piece returns counts and a spanning forest of
-links, never the links themselves.
+pieces of 256 that are skipped by their boxes in the same way. The later intervals of the pairs are broadcast, 32 MB at
+once, and the earlier ones compared with them where they lie, so no vector is shuffled for a pair. Products along the leading axes,
+with the lengths of what is left, bound the cosine from above; vectors they don't keep apart are compared whole. A task returns
+counts and a spanning forest of links, never the links themselves.
 
 Equal vectors are one class and count by their number. Defined cases: vectors that are null, empty, zero or hold a null or
 non-finite component link with nothing and are their own component; vectors of different length never link; rows that
@@ -37,6 +39,7 @@ PIECE = 256
 FAN = 8
 COLUMNS = 1024
 FEW = 4096
+STRAYS = 4.5
 ROUND = 32 << 20
 
 
@@ -94,14 +97,21 @@ def _added(rows: pa.Table) -> pa.Table:
 
 
 def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each vector length, up to BOX leading orthonormal axes as columns; one small matrix per partition is summed."""
+    """For each vector length, leading orthonormal axes as columns, BOX where there are as many, and more where it takes more
+    to tell most pairs apart; one small matrix per partition is summed."""
     schema = "dim long, n long, s binary, q binary"
     rows = classes.select("dim", "vector").mapInArrow(_moments, schema).groupBy("dim").applyInArrow(_added, schema).collect()
     out = {}
     for r in rows:
         s, q = np.frombuffer(r["s"], np.float64), np.frombuffer(r["q"], np.float64).reshape(r["dim"], r["dim"])
-        _, axes = np.linalg.eigh(q / r["n"] - np.outer(s, s) / r["n"] ** 2)
-        out[r["dim"]] = np.ascontiguousarray(axes[:, ::-1][:, :BOX])
+        spread, axes = np.linalg.eigh(q / r["n"] - np.outer(s, s) / r["n"] ** 2)
+        spread, axes = np.maximum(spread[::-1], 0), axes[:, ::-1]
+        square = (s / r["n"] @ axes) ** 2
+        # The bound of two vectors' cosine after each axis: its mean, and how far it strays from that.
+        mean = 1 - np.cumsum(spread)
+        strays = np.sqrt(np.cumsum(spread * (spread + 2 * square)))
+        enough = np.flatnonzero(mean + STRAYS * strays <= COSINE)
+        out[r["dim"]] = np.ascontiguousarray(axes[:, :max(BOX, int(enough[0]) + 1 if len(enough) else len(spread))])
     return out
 
 
@@ -128,7 +138,7 @@ def _cut(axes: dict[int, np.ndarray]):
 
         def out(rows: pa.Table):
             d = rows.column("dim")[0].as_py()
-            at = _matrix(rows.column("vector"), d) @ axes[d]
+            at = _matrix(rows.column("vector"), d) @ axes[d][:, :BOX]
             nodes, matrix = (b"".join(rows.column(c).to_pylist()) for c in ("node", "vector"))
             return pa.RecordBatch.from_arrays([
                 pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([d], pa.int64()),
@@ -203,47 +213,55 @@ def close_pairs(cut: DataFrame, n: int) -> DataFrame:
 
 
 class Held:
-    """Intervals of one length of vectors that a task compares others with: one matrix, and the boxes of its pieces."""
+    """Intervals of one length of vectors that a task compares others with, laid end to end, and the boxes of their pieces."""
 
     def __init__(self, rows: list, axes: np.ndarray, piece: int):
         dim = rows[0]["dim"]
-        self.given = [_given(r["matrix"], dim, len(r["many"])) for r in rows]
-        starts = np.cumsum([0, *(len(x) for x in self.given)])
-        self.base = dict(zip((r["id"] for r in rows), starts.tolist()))
-        self.starts = starts[:-1]
-        self.nodes = np.concatenate([np.frombuffer(r["nodes"], np.uint8).reshape(-1, 16) for r in rows])
+        each = [_given(r["matrix"], dim, len(r["many"])) for r in rows]
+        starts = np.cumsum([0, *(len(x) for x in each)]).tolist()
+        self.base = dict(zip((r["id"] for r in rows), starts))
+        self.given = np.concatenate(each)
+        self.nodes = np.concatenate([_digests(r["nodes"]) for r in rows])
         self.many = np.concatenate([np.array(r["many"], np.int64) for r in rows])
-        self.single = np.empty((starts[-1], dim), np.float32)
         self.links = np.zeros(starts[-1], np.int64)
+        self.screen = np.empty((starts[-1], axes.shape[1] + 1), np.float32)
         pieces = []
-        for r, x, start in zip(rows, self.given, starts.tolist()):
-            unit = _units(x)
-            self.single[start:start + len(x)] = unit
-            pieces += [(r["id"], start + i, start + i + len(at), at.min(0), at.max(0)) for i, at in _pieces(unit @ axes, piece)]
+        for r, x, start in zip(rows, each, starts):
+            placed = _placed(_units(x), axes)
+            self.screen[start:start + len(x)] = placed
+            pieces += [(r["id"], start + i, start + i + len(at), *_box(at)) for i, at in _pieces(placed, piece)]
         self.of, self.start, self.end, self.low, self.high = map(np.array, zip(*pieces))
 
-    def units(self, at: np.ndarray) -> np.ndarray:
-        """The unit vectors of some positions."""
-        number = np.searchsorted(self.starts, at, "right") - 1
-        out = np.empty((len(at), self.single.shape[1]))
-        for k in np.unique(number).tolist():
-            mine = number == k
-            out[mine] = _units(self.given[k][at[mine] - self.starts[k]])
-        return out
-
-    def runs(self, close: np.ndarray, most: int):
-        """Positions of the pieces chosen, as ranges of at most so many."""
-        k = np.flatnonzero(close)
+    def close(self, at: np.ndarray, wanted: np.ndarray, most: int):
+        """Positions of the pieces that are wanted and may hold what links with rows `at`, as ranges of at most so many."""
+        low, high = _box(at)
+        gap = np.maximum(0, np.maximum(low - self.high, self.low - high))
+        k = np.flatnonzero(wanted & ((gap * gap).sum(1) <= FAR * FAR))
         for run in np.split(k, np.flatnonzero(np.diff(k) > 1) + 1) if len(k) else ():
             first, last = int(self.start[run[0]]), int(self.end[run[-1]])
-            for at in range(first, last, most):
-                yield at, min(at + most, last)
+            for start in range(first, last, most):
+                yield start, min(start + most, last)
+
+
+def _digests(nodes) -> np.ndarray:
+    return np.frombuffer(nodes, np.uint8).reshape(-1, 16)
+
+
+def _box(placed: np.ndarray):
+    at = placed[:, :-1][:, :BOX]
+    return at.min(0), at.max(0)
 
 
 def _pieces(at: np.ndarray, piece: int):
     return [(i, at[i:i + piece]) for i in range(0, len(at), piece)]
 
 
+def _placed(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors along the axes, and the length of what is left. The product of two such rows is at least that of the vectors."""
+    at = unit @ axes
+    return np.column_stack([at, np.sqrt(np.maximum(0, 1 - (at * at).sum(1)))])
+
+
 def _named(nodes: np.ndarray, at: np.ndarray) -> pa.Array:
     found = np.ascontiguousarray(nodes[at])
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, 16 * len(at) + 1, 16, dtype=np.int32)), pa.py_buffer(found)])
@@ -253,61 +271,75 @@ def _batch(a: pa.Array, b: pa.Array | None, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a, pa.nulls(len(a), pa.binary()) if b is None else b, pa.array(n)], ["a", "b", "n"])
 
 
+def _forest(e: np.ndarray, f: np.ndarray):
+    """The pairs that make a spanning forest; e and f are numbers of different things."""
+    own, one = np.unique(e, return_inverse=True)
+    other, two = np.unique(f, return_inverse=True)
+    some, _ = spanning(len(own) + len(other), one, two + len(own))
+    return e[some], f[some]
+
+
+def _thinned(both: np.ndarray):
+    """Of the pairs (e, f) that a matrix marks those of a spanning forest: the first of each row and column, and what these leave apart."""
+    rows, columns = np.flatnonzero(both.any(1)), np.flatnonzero(both.any(0))
+    e, f = np.concatenate([rows, both[:, columns].argmax(0)]), np.concatenate([both[rows].argmax(1), columns])
+    _, label = spanning(sum(both.shape), e, f + len(both))
+    apart = np.nonzero(both & (label[:len(both), None] != label[len(both):]))
+    return _forest(np.concatenate([e, apart[0]]), np.concatenate([f, apart[1]]))
+
+
 def _compared(axes: dict[int, np.ndarray], sent):
     """Counts of links, and a spanning forest of them, between each interval and those of `sent`, a broadcast list, that may be close.
 
-    Products of floats with room for their rounding say which pairs may link; those are compared as doubles.
+    Products along the leading axes, as floats with room for their rounding, say which pairs may link; those are compared as doubles.
     """
-    def linked(x, i, held, first, last, own):
-        """Positions (e, f) of linked pairs among a piece of x and some of what is held; own: position from which x itself is held."""
-        dim = x.shape[1]
-        piece = x[i:i + PIECE]
-        may = piece.astype(np.float32) @ held.single[first:last].T >= np.float32(COSINE - (dim + 8) * 2.0 ** -22)
-        n = np.count_nonzero(may)
-        if not n:
-            return None
-        if n <= FEW:
-            e, f = np.divmod(np.flatnonzero(may), last - first)
-            fits = np.einsum("ij,ij->i", piece[e], held.units(f + first)) >= COSINE
-            e, f = e[fits], f[fits]
-        else:
-            e, f = np.nonzero(piece @ held.units(np.arange(first, last)).T >= COSINE)
-        if own is not None:  # each pair once
-            later = f + first > e + i + own
-            e, f = e[later], f[later]
-        return (e + i, f + first) if len(e) else None
+    def linked(h: Held, x, screen, many, own, ranges, count, room):
+        """Adds up the links between a piece and ranges of what is held, and gives pairs (e, f) that join what they join; own: where the piece itself is held."""
+        few, n = [], 0
+        for first, last in ranges:
+            product = np.matmul(screen, h.screen[first:last].T, out=room[:len(screen), :last - first])
+            may = product >= np.float32(COSINE - (screen.shape[1] + 8) * 2.0 ** -22)
+            rows = np.flatnonzero(may.any(1))
+            may = may[rows]
+            these = np.count_nonzero(may)
+            if these > FEW:
+                both = x @ _units(h.given[first:last]).T >= COSINE
+                both &= np.arange(first, last) > own + np.arange(len(x))[:, None]  # each pair once
+                weight = both.astype(np.float64)  # whole numbers below 2 ** 53
+                count += (weight @ h.many[first:last]).astype(np.int64)
+                h.links[first:last] += (many @ weight).astype(np.int64)
+                e, f = _thinned(both)
+                yield e, f + first
+            elif these:
+                e, f = np.nonzero(may)
+                few.append((rows[e], f + first))
+                n += these
+            if few and (n > FEW or last == ranges[-1][1]):
+                e, f = map(np.concatenate, zip(*few))
+                fits = (f > e + own) & (np.einsum("ij,ij->i", x[e], _units(h.given[f])) >= COSINE)
+                e, f = e[fits], f[fits]
+                np.add.at(count, e, h.many[f])
+                np.add.at(h.links, f, many[e])
+                yield _forest(e, f)
+                few, n = [], 0
 
     def run(batches):
-        held = {}
+        held, room = {}, np.empty((PIECE, COLUMNS), np.float32)
         for batch in batches:
             for own in batch.to_pylist():
                 d = own["dim"]
                 if d not in held:
                     held[d] = Held([r for r in sent.value if r["dim"] == d], axes[d], PIECE)
-                h, many, nodes = held[d], np.array(own["many"], np.int64), np.frombuffer(own["nodes"], np.uint8).reshape(-1, 16)
+                h, many, nodes = held[d], np.array(own["many"], np.int64), _digests(own["nodes"])
                 x = _units(_given(own["matrix"], d, len(many)))
-                wanted = np.isin(h.of, own["near"])
-                count, pairs = np.zeros(len(x), np.int64), []
-                for i, at in _pieces(x @ axes[d], PIECE):
-                    gap = np.maximum(0, np.maximum(at.min(0) - h.high, h.low - at.max(0)))
-                    close = wanted & ((gap * gap).sum(1) <= FAR * FAR)
-                    base = h.base.get(own["id"])
-                    if base is not None:
-                        close &= h.start >= base + i
-                    for first, last in h.runs(close, COLUMNS):
-                        found = linked(x, i, h, first, last, base)
-                        if found is None:
-                            continue
-                        e, f = found
-                        np.add.at(count, e, h.many[f])
-                        np.add.at(h.links, f, many[e])
-                        some = spanning(PIECE + last - first, e - i, PIECE + f - first)
-                        pairs.append((e[some], f[some]))
+                base = h.base.get(own["id"], -len(x))  # where it is held itself
+                wanted, count, pairs = np.isin(h.of, own["near"]), np.zeros(len(x), np.int64), []
+                for i, at in _pieces(_placed(x, axes[d]), PIECE):
+                    ranges, part = list(h.close(at, wanted & (h.start >= base + i), COLUMNS)), slice(i, i + PIECE)
+                    pairs += [(e + i, f) for e, f in linked(h, x[part], at.astype(np.float32), many[part], base + i, ranges, count[part], room)]
                 if pairs:
-                    e, f = map(np.concatenate, zip(*pairs))
-                    ends, at = np.unique(np.concatenate([e, len(x) + f]), return_inverse=True)
-                    some = spanning(len(ends), at[:len(e)], at[len(e):])
-                    yield _batch(_named(nodes, e[some]), _named(h.nodes, f[some]), np.zeros(len(some), np.int64))
+                    e, f = _forest(*map(np.concatenate, zip(*pairs)))
+                    yield _batch(_named(nodes, e), _named(h.nodes, f), np.zeros(len(e), np.int64))
                     hit = np.flatnonzero(count)
                     yield _batch(_named(nodes, hit), None, count[hit])
         for h in held.values():
@@ -323,17 +355,21 @@ def compared(cut: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray]) -> D
     are read where they lie. So no vector is shuffled or written for a pair.
     """
     spark, found = cut.sparkSession, []
-    sizes = sorted(cut.select("id", "part", "bytes").collect())  # a row for each interval
-    while sizes:
-        room = np.searchsorted(np.cumsum([r["bytes"] for r in sizes]), ROUND, "right")
-        now, sizes = sizes[:max(1, room)], sizes[max(1, room):]
-        first, last = now[0], now[-1]
+
+    def passed(first, last):
         held = cut.where(F.col("part").between(first["part"], last["part"]) & F.col("id").between(first["id"], last["id"]))
         sent = spark.sparkContext.broadcast([r.asDict() for r in sorted(held.select("id", "dim", "nodes", "many", "matrix").collect(), key=lambda r: r["id"])])
         near = pairs.where(F.col("b").between(first["id"], last["id"])).groupBy(F.col("a").alias("id")).agg(F.collect_list("b").alias("near"))
         own = cut.where(F.col("part") <= last["part"]).join(F.broadcast(near), "id").select("id", "dim", "nodes", "many", "matrix", "near")
-        found.append(stored(own.mapInArrow(_compared(axes, sent), "a binary, b binary, n long"), "vector-links"))
+        out = stored(own.mapInArrow(_compared(axes, sent), "a binary, b binary, n long"), "vector-links")
         sent.destroy()
+        return out
+
+    sizes = sorted(cut.select("id", "part", "bytes").collect())  # a row for each interval
+    while sizes:
+        room = max(1, int(np.searchsorted(np.cumsum([r["bytes"] for r in sizes]), ROUND, "right")))
+        found.append(passed(sizes[0], sizes[room - 1]))
+        sizes = sizes[room:]
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "a binary, b binary, n long")
 
 

@@ -42,7 +42,7 @@ def forest(linked) -> list[tuple[int, int]]:
 
 
 def spanning(n: int, a, b):
-    """Positions of the edges (a, b) between nodes 0 to n - 1 that make a spanning forest of them."""
+    """Positions of the edges (a, b) between nodes 0 to n - 1 that make a spanning forest of them, and a number for each node that tells its tree."""
     import numpy as np
 
     label, left, kept = np.arange(n), np.arange(len(a)), []
@@ -51,7 +51,7 @@ def spanning(n: int, a, b):
         joins = one != two
         left, low, high = left[joins], np.minimum(one, two)[joins], np.maximum(one, two)[joins]
         if not len(left):
-            return np.concatenate([left, *kept])
+            return np.concatenate([left, *kept]), label
         least = np.full(n, n)
         np.minimum.at(least, high, low)
         to_least = np.flatnonzero(low == least[high])

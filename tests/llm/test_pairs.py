@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from parlance.llm import decontamination, embeddings, jaccard, suffixes
+from parlance.llm.graph import spanning
 from tests.llm import brute
 
 ODD = [(9000, None), (9001, ""), (9002, " \n "), (9003, "one two"), (9004, "ONE  Two"), (9005, "é É"), (None, "one two"), (9006, "x" * 3000), (9003, "one two")]
@@ -196,15 +197,38 @@ def test_embeddings_in_passes(spark, monkeypatch):
     """The same rows whether the intervals are held at once or a few at a time, and whether few or many pairs may link."""
     monkeypatch.setattr(embeddings, "INTERVAL", 40)
     monkeypatch.setattr(embeddings, "PIECE", 16)
-    rows = [(i, v) for i, v in vectors(5, 700, 24)] + [(1000 + i, v) for i, (_, v) in enumerate(vectors(6, 300, 7))]
+    g = np.random.default_rng(5)
+    far = g.normal(size=(500, 64))
+    near = far[g.integers(0, 40, 500)] + g.normal(size=(500, 64)) * g.choice([0.05, 0.45], size=(500, 1))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([far, near]))] + [(1000 + i, v) for i, v in vectors(6, 300, 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    count = {}
+    for dim in (64, 7):
+        ids, x = zip(*[(i, v) for i, v in rows if len(v) == dim])
+        x = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+        count.update(zip(ids, ((x @ x.T >= 0.9).sum(1) - 1).tolist()))
     want = sorted_rows(embeddings.links(df).collect())
-    assert sum(x.n_links for x in want) > 2000
+    assert {x.vec_id: x.n_links for x in want} == count
     for name, value in (("ROUND", 30_000), ("FEW", 0), ("COLUMNS", 50)):
         monkeypatch.setattr(embeddings, name, value)
         assert sorted_rows(embeddings.links(df.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding")).collect()) == want
 
 
+def test_spanning():
+    """Forests of edges, and of the pairs that a matrix marks, join what all pairs join, with no pair more than it takes."""
+    g = np.random.default_rng(2)
+    for _ in range(200):
+        both = g.random(g.integers(1, 14, 2)) < g.choice([0.1, 0.2, 0.6])
+        n, (e, f) = sum(both.shape), np.nonzero(both)
+        want = brute.least_reachable(range(n), zip(e.tolist(), (f + len(both)).tolist()))
+        some, label = spanning(n, e, f + len(both))
+        thin = embeddings._thinned(both)
+        for one, two in ((e[some], f[some]), thin):
+            assert both[one, two].all() and len(one) == n - len(set(want))
+            assert brute.least_reachable(range(n), zip(one.tolist(), (two + len(both)).tolist())) == want
+        assert label.tolist() == want
+
+
 def test_embeddings_shuffle_follows_the_vectors(spark, monkeypatch):
     """64 intervals that are all close to each other: their vectors are not shuffled once per pair."""
     monkeypatch.setattr(embeddings, "INTERVAL", 40)
