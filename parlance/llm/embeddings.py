@@ -5,7 +5,7 @@ vectors are projected on the leading principal axes, which never makes a distanc
 axes, in lexicographic order, put the vectors in a sequence. The sequence is cut into intervals of 2,048 with
 their bounding boxes. Starting from a few long intervals, pairs are refined level by level into pairs of shorter ones, and a pair
 is dropped as soon as its boxes are further apart than two linked vectors can be. What remains is compared exactly, in
-pieces of 256 that are skipped by their boxes in the same way. The later intervals of the pairs are broadcast, 32 MB at
+pieces of 256 that are skipped by their boxes in the same way. The later intervals of the pairs are broadcast, 16 MB at
 once, and the earlier ones compared with them where they lie, so no vector is shuffled for a pair. Products along the leading axes,
 with the lengths of what is left, bound the cosine from above; vectors they don't keep apart are compared whole. A task returns
 counts and a spanning forest of links, never the links themselves.
@@ -40,7 +40,7 @@ FAN = 8
 COLUMNS = 1024
 FEW = 4096
 STRAYS = 4.5
-ROUND = 32 << 20
+ROUND = 16 << 20
 
 
 def _given(data, dim: int, n: int) -> np.ndarray:
